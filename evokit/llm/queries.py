@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evokit.llm import byte_bpe, token_files, url_filter
+from evokit.llm import byte_bpe, decontaminate, main_text, quality_rules, secret_scan, sql, token_files, url_filter
 from evokit.session import scratch_path, table
 
 
@@ -27,9 +27,25 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.document_checksums(spark, path)
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_url_filter, op5_token_files)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_url_filter, op4_main_text, op5_token_files, op7_decontaminate, op9_quality_rules, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_decontaminate": sql.CONTAMINATED, "op9_quality_rules": sql.QUALITY_RULES}
