@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evokit.llm import byte_bpe, decontaminate, main_text, quality_rules, secret_scan, sql, token_files, url_filter
+from evokit.llm import byte_bpe, decontaminate, jaccard_join, main_text, quality_rules, secret_scan, sql, token_files, url_filter
 from evokit.session import scratch_path, table
 
 
@@ -35,6 +35,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -44,8 +48,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_url_filter, op4_main_text, op5_token_files, op7_decontaminate, op9_quality_rules, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_url_filter, op4_main_text, op5_token_files, op7_decontaminate, op8_jaccard_join, op9_quality_rules, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontaminate": sql.CONTAMINATED, "op9_quality_rules": sql.QUALITY_RULES}
+    return {"op7_decontaminate": sql.CONTAMINATED, "op8_jaccard_join": sql.JACCARD_JOIN, "op9_quality_rules": sql.QUALITY_RULES}

@@ -45,3 +45,18 @@ QUALITY_RULES = f"""
 WITH {QUALITY_RULES_BODY.format(source="documents")}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, loss, NOT base_failed AND loss <= {MAX_LOSS} AS kept FROM f
 """
+
+#: Links between all pairs of texts that share a shingle, then the least id that links reach.
+JACCARD_BODY = r"""
+dd AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM {source}),
+sh AS (SELECT DISTINCT doc_id, list_slice(w, i, i + k - 1) AS s FROM (SELECT doc_id, w, least(5, len(w)) AS k FROM dd WHERE len(w) > 0) x, unnest(range(1, len(w) - k + 2)) t(i)),
+sz AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+pr AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+lk AS (SELECT a, b FROM pr JOIN sz x ON x.doc_id = a JOIN sz y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM dd UNION SELECT r.a, l.b FROM reach r JOIN lk l ON l.a = r.b),
+cls AS (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY 1)
+"""
+JACCARD_JOIN = f"""
+WITH RECURSIVE {JACCARD_BODY.replace("{source}", "documents")}
+SELECT doc_id, class_id, coalesce(n, 0)::BIGINT AS n_links FROM cls LEFT JOIN (SELECT a AS doc_id, count(*) AS n FROM lk GROUP BY 1) USING (doc_id)
+"""
