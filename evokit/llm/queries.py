@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evokit.llm import byte_bpe, decontaminate, jaccard_join, main_text, quality_rules, secret_scan, sql, token_files, url_filter
+from evokit.llm import byte_bpe, chat_format, decontaminate, jaccard_join, main_text, ordinal_quality, quality_rules, secret_scan, sql, token_files, url_filter
 from evokit.session import scratch_path, table
 
 
@@ -27,10 +28,21 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.document_checksums(spark, path)
 
 
+def op3_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 unsound, 1 sound but toxic, 2 sound; a document is kept if it is sound with probability 1/2 or more."""
+    docs = table(spark, sf_dir, "documents")
+    grade = F.col("quality") * (2 - F.col("toxic"))
+    return ordinal_quality.score(docs, ordinal_quality.fit(docs, table(spark, sf_dir, "labels"), grade, 3), grade=1)
+
+
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,8 +60,9 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_url_filter, op4_main_text, op5_token_files, op7_decontaminate, op8_jaccard_join, op9_quality_rules, op10_secret_scan)}
+    every = (op1_byte_bpe, op2_url_filter, op3_ordinal_quality, op4_main_text, op5_token_files, op6_chat_format, op7_decontaminate, op8_jaccard_join, op9_quality_rules, op10_secret_scan)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontaminate": sql.CONTAMINATED, "op8_jaccard_join": sql.JACCARD_JOIN, "op9_quality_rules": sql.QUALITY_RULES}
+    return {"op6_chat_format": sql.CHAT_FORMAT, "op7_decontaminate": sql.CONTAMINATED, "op8_jaccard_join": sql.JACCARD_JOIN, "op9_quality_rules": sql.QUALITY_RULES}

@@ -14,6 +14,13 @@ def _quoted(text: str) -> str:
 _BLANKS = " || ".join(f"chr({ord(c)})" for c in BLANKS)
 _PHRASES = _quoted("(?i)" + "|".join(p.replace("(", r"\(").replace(")", r"\)") for p in BOILERPLATE))
 
+#: Turns of the table hold no tool calls, so every turn is a message; calls are tested against brute force.
+CHAT_FORMAT = """
+SELECT conv_id, turn, turn AS pos_turn, 0::INTEGER AS pos_level, 0::INTEGER AS pos_call, 0::INTEGER AS pos_kind, 'message' AS status, '' AS errors,
+    to_json({'content': text, 'conv_id': conv_id, 'role': role, 'turn': turn})::VARCHAR AS line
+FROM conversations
+"""
+
 #: Words of benchmark items and documents, shingles of five words (of all, where an item has fewer).
 CONTAMINATED = rf"""
 WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
