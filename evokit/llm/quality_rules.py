@@ -124,7 +124,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_l
 
 def clean(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars", max_loss: float = MAX_LOSS) -> DataFrame:
     """The kept documents without their failing lines, with the columns they came with."""
-    rows = with_rules(docs, text_col, max_loss).where("quality.kept")
+    # A number of the row, which is not deterministic, keeps the filter above the projections: moved
+    # below them, it would hold the rules again and again, nested.
+    rows = with_rules(docs, text_col, max_loss)
+    rows = rows.withColumn("quality", F.struct("quality.*", F.monotonically_increasing_id().alias("row"))).where("quality.kept and quality.row >= 0")
     text = F.when(F.col("quality.left_chars") < F.col("quality.word_chars"), F.col("quality.clean_text")).otherwise(F.col(text_col))
     rows = rows.withColumn(text_col, text)
     if length_col in docs.columns:
