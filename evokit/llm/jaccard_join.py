@@ -172,7 +172,8 @@ def _bucket_rows(sets: DataFrame) -> DataFrame:
             small = small.unionByName(rows.join(large, "p"))
         out = small if out is None else out.unionByName(small)
         if d < DEPTH:
-            rows = level(d + 1).join(large.select(F.col("p").alias("up")), "up", "left_semi").drop("up")
+            # Counted and then compared or split again: made once, for the large buckets' sets only.
+            rows = cut(level(d + 1).join(large.select(F.col("p").alias("up")), "up", "left_semi").drop("up"))
     return _blocks(out, "blocks", "rep").select("p", "bi", "bj", "rep", "n", "sketch")
 
 
