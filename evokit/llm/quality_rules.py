@@ -67,8 +67,8 @@ def _any(text: Column, parts: list[str]) -> Column:
     return found
 
 
-def with_rules(docs: DataFrame, text_col: str = "text", max_loss: float = MAX_LOSS) -> DataFrame:
-    """``docs`` with a struct ``quality``: the counts, base_failed, loss, clean_text and kept.
+def with_rules(docs: DataFrame, text_col: str = "text", max_loss: float = MAX_LOSS, out: str = "quality") -> DataFrame:
+    """``docs`` with a struct ``out``: the counts, base_failed, loss, clean_text and kept.
 
     A column of that name is replaced; all others stay.
     """
@@ -82,8 +82,8 @@ def with_rules(docs: DataFrame, text_col: str = "text", max_loss: float = MAX_LO
         "shouts": _any(text, ["!!", "??", "!?", "?!"]),
         "phrases": _any(F.lower(text), BOILERPLATE),
     }
-    rows = docs.withColumn("quality", F.struct(*(v.alias(k) for k, v in first.items())))
-    q = F.col("quality")
+    rows = docs.withColumn(out, F.struct(*(v.alias(k) for k, v in first.items())))
+    q = F.col(out)
     word, n = q.w, F.size(q.w)
     window = lambda i: F.struct(F.xxhash64(F.get(word, i), F.get(word, i + 1), F.get(word, i + 2)).alias("h"), i.alias("p"))
     grams = F.when(n >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), window))).otherwise(F.array().cast("array<struct<h:bigint,p:int>>"))
@@ -95,14 +95,14 @@ def with_rules(docs: DataFrame, text_col: str = "text", max_loss: float = MAX_LO
         "marks": F.struct(q.links.alias("links"), (q.n_symbols > 0).alias("symbols"), q.shouts.alias("shouts"), q.phrases.alias("phrases")),
         "g": grams,
     }
-    rows = rows.withColumn("quality", F.struct(*(v.alias(k) for k, v in second.items())))
+    rows = rows.withColumn(out, F.struct(*(v.alias(k) for k, v in second.items())))
     g = q.g
     twice = F.filter(g, lambda x, k: (F.get(g, k + 1)["h"] == x["h"]) | (F.get(g, k - 1)["h"] == x["h"]))
     third = {c: q[c] for c in ("n_words", "word_chars", "n_symbols", "lines")} | {
         "good": F.filter(q.lines, lambda x: line_passes(x, q.marks)),
         "n_repeat_words": F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["p"], x["p"] + 1, x["p"] + 2))))).cast("long"),
     }
-    rows = rows.withColumn("quality", F.struct(*(v.alias(k) for k, v in third.items())))
+    rows = rows.withColumn(out, F.struct(*(v.alias(k) for k, v in third.items())))
     clean_text = F.array_join(q.good, "\n")
     left = F.when(F.size(q.good) == F.size(q.lines), q.word_chars).otherwise(F.length(F.translate(clean_text, BLANKS, "")).cast("long"))
     counts = {c: q[c] for c in ("n_words", "word_chars", "n_symbols", "n_repeat_words")} | {
@@ -112,8 +112,8 @@ def with_rules(docs: DataFrame, text_col: str = "text", max_loss: float = MAX_LO
         "base_failed": (q.n_words < MIN_WORDS) | (100 * q.n_repeat_words > MAX_REPEATED * q.n_words),
         "loss": F.when(q.word_chars > 0, 1 - left / q.word_chars).otherwise(F.lit(0.0)),
     }
-    rows = rows.withColumn("quality", F.struct(*(v.alias(k) for k, v in counts.items())))
-    return rows.withColumn("quality", F.struct("quality.*", (~q.base_failed & (q.loss <= max_loss)).alias("kept")))
+    rows = rows.withColumn(out, F.struct(*(v.alias(k) for k, v in counts.items())))
+    return rows.withColumn(out, F.struct(f"{out}.*", (~q.base_failed & (q.loss <= max_loss)).alias("kept")))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_loss: float = MAX_LOSS) -> DataFrame:
@@ -124,11 +124,14 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_l
 
 def clean(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars", max_loss: float = MAX_LOSS) -> DataFrame:
     """The kept documents without their failing lines, with the columns they came with."""
+    own = "quality"
+    while own in {c.lower() for c in docs.columns}:
+        own += "_"
+    rows = with_rules(docs, text_col, max_loss, own)
     # A number of the row, which is not deterministic, keeps the filter above the projections: moved
     # below them, it would hold the rules again and again, nested.
-    rows = with_rules(docs, text_col, max_loss)
-    rows = rows.withColumn("quality", F.struct("quality.*", F.monotonically_increasing_id().alias("row"))).where("quality.kept and quality.row >= 0")
-    text = F.when(F.col("quality.left_chars") < F.col("quality.word_chars"), F.col("quality.clean_text")).otherwise(F.col(text_col))
+    rows = rows.withColumn(own, F.struct(f"{own}.*", F.monotonically_increasing_id().alias("row"))).where(f"{own}.kept and {own}.row >= 0")
+    text = F.when(F.col(f"{own}.left_chars") < F.col(f"{own}.word_chars"), F.col(f"{own}.clean_text")).otherwise(F.col(text_col))
     rows = rows.withColumn(text_col, text)
     if length_col in docs.columns:
         rows = rows.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
