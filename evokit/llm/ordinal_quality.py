@@ -32,12 +32,12 @@ MAX_LABELLED = 4000
 ITERATIONS = 40
 RATE = 0.4
 PENALTY = 1e-6
-#: The count that the variety feature stands for.
-VARIETY = 1000
+#: The value of the feature for variety; all n-grams together have length one.
+VARIETY = 1.0
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and values of a text: logarithms of its n-gram counts, of length one together."""
+    """Buckets and values of a text: logarithms of its n-gram counts, of length one together, and their variety."""
     raw = np.frombuffer((text or "").encode(), np.uint8).astype(np.uint64)
     found = []
     for k in SIZES:
@@ -49,13 +49,14 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     if not found:
         return np.empty(0, np.int64), np.empty(0)
     count = np.bincount(np.concatenate(found), minlength=BUCKETS)
-    # One more feature for how varied the n-grams are, in tenths, in place of a bucket's own count.
-    varied = int(10 * np.count_nonzero(count) / count.sum())
-    count[:11] = 0
-    count[varied] = VARIETY
+    # The first buckets hold how varied the n-grams are instead: log(distinct) / log(all) in twentieths.
+    distinct, total = np.count_nonzero(count), int(count.sum())
+    varied = int(20 * np.log(distinct) / np.log(total)) if total > 1 else 20
+    count[:21] = 0
     at = np.flatnonzero(count)
     value = np.log1p(count[at])
-    return at, value / np.sqrt(value @ value)
+    norm = np.sqrt(value @ value) or 1.0
+    return np.append(at, varied), np.append(value / norm, VARIETY)
 
 
 def _logistic(x: np.ndarray | float) -> np.ndarray:
@@ -104,9 +105,10 @@ def fit(docs: DataFrame, ratings: DataFrame, grade: Column, grades: int, max_lab
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [features(t.as_py()) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([a.astype(np.int32) for a, _ in found], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in found], pa.list_(pa.float32())), batch.column(1)], names=["at", "value", "grade"])
+            yield pa.RecordBatch.from_arrays([pa.array([a.astype("<i4").tobytes() for a, _ in found], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary()), batch.column(1)], names=["at", "value", "grade"])
 
-    ready = cut(rows.mapInArrow(prepare, "at array<int>, value array<float>, grade int")).coalesce(8)
+    # Bytes, as every iteration reads them again and lists would be converted number by number.
+    ready = cut(rows.mapInArrow(prepare, "at binary, value binary, grade int")).coalesce(8)
     counts = {r.grade: r.n for r in ready.groupBy("grade").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
@@ -137,8 +139,9 @@ def _summed(ready: DataFrame, weights: np.ndarray, thresholds: np.ndarray) -> np
         for batch in batches:
             if not batch.num_rows:
                 continue
-            at, value = batch.column(0), batch.column(1)
-            flat, values, lengths = at.flatten().to_numpy(), value.flatten().to_numpy(), np.diff(at.offsets.to_numpy())
+            at, value = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            flat, values = np.frombuffer(b"".join(at), "<i4"), np.frombuffer(b"".join(value), "<f4")
+            lengths = np.fromiter(map(len, at), np.int64, len(at)) // 4
             row = np.repeat(np.arange(len(lengths)), lengths)
             score = np.bincount(row, weights=w[flat] * values, minlength=len(lengths))
             by_score, by_threshold, _ = _gradient(score, batch.column(2).to_numpy(), t)
