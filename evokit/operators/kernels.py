@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evokit.operators.regression import Moments
@@ -171,6 +171,6 @@ def poisson_times(units: DataFrame, unit: str, rate_max: float, duration: float,
     n = max(1, math.ceil(rate_max * duration + 6 * math.sqrt(rate_max * duration)))
     draw = lambda u, i, salt: (F.pmod(F.xxhash64(u, i, F.lit(seed), F.lit(salt)), F.lit(1 << 53)) + 0.5) / float(1 << 53)
     gaps = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: -F.log(draw(F.col(unit), i, 1)) / rate_max)
-    times = F.aggregate(gaps, F.array().cast("array<double>"), lambda s, g: F.concat(s, F.array(F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0.0)) + g)))
-    spread = units.select(F.col(unit), F.posexplode(times).alias("i", "t")).where(F.col("t") < duration)
+    spread = units.select(F.col(unit), F.posexplode(gaps).alias("i", "gap"))
+    spread = spread.withColumn("t", F.sum("gap").over(Window.partitionBy(unit).orderBy("i").rowsBetween(Window.unboundedPreceding, 0))).where(F.col("t") < duration)
     return spread.where(draw(F.col(unit), F.col("i"), 2) * rate_max < rate(F.col("t"))).select(unit, "t")

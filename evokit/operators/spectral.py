@@ -127,3 +127,37 @@ def notch(clips: DataFrame, key: str, index: str, value: str, frequency: float,
         return pd.DataFrame({key: g[key].iloc[0], "i": np.arange(len(v), dtype=np.int64), "value": out})
 
     return clips.select(key, index, value).groupBy(key).applyInPandas(run, f"{key} {clips.schema[key].dataType.simpleString()}, i long, value double")
+
+
+def welch(clips: DataFrame, key: str, index: str, value: str, window: int) -> DataFrame:
+    """(key, f, power): mean Hann-windowed periodogram over half-overlapping windows of each channel."""
+    shape = np.hanning(window)
+    kind = clips.schema[key].dataType.simpleString()
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        v = g.sort_values(index)[value].to_numpy(float)
+        parts = [v[s : s + window] for s in range(0, len(v) - window + 1, window // 2)]
+        if not parts:
+            return pd.DataFrame({key: [], "f": [], "power": []})
+        power = np.mean([abs(np.fft.rfft(shape * (p - p.mean()))) ** 2 for p in parts], axis=0) / (shape @ shape)
+        return pd.DataFrame({key: g[key].iloc[0], "f": np.arange(len(power), dtype=np.int32), "power": power})
+
+    return clips.select(key, index, value).groupBy(key).applyInPandas(run, f"{key} {kind}, f int, power double")
+
+
+def bandpass(clips: DataFrame, key: str, index: str, value: str, low: float, high: float, rate: float) -> DataFrame:
+    """(key, i, value): the part of each channel between two frequencies, by a Fourier mask."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        v = g.sort_values(index)[value].to_numpy(float)
+        s, f = np.fft.rfft(v), np.fft.rfftfreq(len(v), 1 / rate)
+        s[(f < low) | (f > high)] = 0
+        return pd.DataFrame({key: g[key].iloc[0], "i": np.arange(len(v), dtype=np.int64), "value": np.fft.irfft(s, len(v))})
+
+    return clips.select(key, index, value).groupBy(key).applyInPandas(run, f"{key} {clips.schema[key].dataType.simpleString()}, i long, value double")
+
+
+def coherence_full(c12: float, m: int) -> float:
+    """What coherence with a mean of ``m`` trials gains over that with one trial, from the halves' coherence."""
+    root = math.sqrt(1 / c12)
+    return (1 + root) / (-m + m * root + 2)

@@ -61,3 +61,26 @@ def coherence_bound(c: Column, m: int) -> Column:
     """Coherence of a noiseless mean from that of halves of ``m`` trials."""
     k = (-m + m * F.sqrt(1 / c)) / 2
     return 1 / (k + 1)
+
+
+def ragged_average(frames: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, i, mean, n): mean of arrays of different lengths, by place: each place counts the arrays that reach it."""
+    cells = frames.select(key, F.posexplode(vector).alias("i", "v"))
+    return cells.groupBy(key, "i").agg(F.avg("v").alias("mean"), F.count("v").alias("n"))
+
+
+def trial_noise(cells: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Adds noise_own (value less the mean of all) and noise_others (less the mean of the others, null for a single one)."""
+    s = cells.groupBy(*keys).agg(F.sum(value).alias("s_"), F.count(value).alias("n_"))
+    j = cells.join(s, keys)
+    others = F.when(F.col("n_") > 1, (F.col("s_") - F.col(value)) / (F.col("n_") - 1))
+    return j.withColumn("noise_own", F.col(value) - F.col("s_") / F.col("n_")).withColumn("noise_others", F.col(value) - others).drop("s_", "n_")
+
+
+def mean_of_means(rows: DataFrame, key: str, value: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.avg(value).alias("m")).agg(F.avg("m").alias("mean_of_means"))
+
+
+def r2_parts(y: Column, pred: Column) -> dict[str, Column]:
+    """Mergeable sums from which R2 and correlation follow."""
+    return {"n": F.count(y), "y": F.sum(y), "yy": F.sum(y * y), "p": F.sum(pred), "pp": F.sum(pred * pred), "yp": F.sum(y * pred)}

@@ -95,14 +95,13 @@ def second_order_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.explode(pairs).alias("x")).select("vec_id", "x.*")
 
 
-@query(f"""WITH {FRAME_SQL}, d AS (SELECT k.i::INT AS draw, y FROM fr, range(20) k(i) WHERE ('0x' || substr(md5(l_orderkey::VARCHAR || ':' || l_linenumber::VARCHAR || ':' || k.i::VARCHAR), 1, 4))::INT < 6554),
+@query(f"""WITH {FRAME_SQL}, h AS (SELECT y, sha256(l_orderkey::VARCHAR || ':' || l_linenumber::VARCHAR) AS h FROM fr), d AS (SELECT k.i::INT AS draw, y FROM h, range(16) k(i) WHERE substr(h, k.i * 4 + 1, 4) < '199a'),
 m AS (SELECT draw, avg(y) AS m FROM d GROUP BY 1) SELECT round(quantile_cont(m, 0.025), 4) AS lower, round(quantile_cont(m, 0.975), 4) AS upper, count(*) AS n FROM m""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles of the mean over twenty hashed subsamples of a tenth, all draws in one pass."""
-    text = F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("draw").cast("string"))
-    draws = frame(spark, sf_dir).select("y", "l_orderkey", "l_linenumber", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("draw"))
-    kept = draws.where(F.conv(F.substring(F.md5(text), 1, 4), 16, 10).cast("int") < 6554)
-    means = kept.groupBy("draw").agg(F.avg("y").alias("m"))
+    """Percentiles of the mean over sixteen hashed subsamples of a tenth, all draws in one pass: each has four digits of a row's hash."""
+    hashed = frame(spark, sf_dir).select("y", F.sha2(F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")), 256).alias("h"))
+    drawn = F.filter(F.sequence(F.lit(0), F.lit(15)), lambda k: F.substr(F.col("h"), k * 4 + 1, F.lit(4)) < "199a")
+    means = hashed.select("y", F.explode(drawn).alias("draw")).groupBy("draw").agg(F.avg("y").alias("m"))
     return means.agg(F.round(F.percentile("m", 0.025), 4).alias("lower"), F.round(F.percentile("m", 0.975), 4).alias("upper"), F.count("*").alias("n"))
 
 
