@@ -24,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evokit.llm.byte_bpe import TOGETHER, codec, read_vocabulary
+from evokit.llm.byte_bpe import codec, read_vocabulary
 
 BLOCK = 512
 SEGMENT_TOKENS = 1 << 20
-SCHEMA = "part int, seg int, n_tokens long, n_docs long, doc_ids array<long>, doc_starts array<long>, codes binary"
+BROADCAST_PARTS = 100_000
+SCHEMA = "part int, seg int, inner_first long, n_tokens long, n_docs long, doc_ids array<long>, doc_starts array<long>, codes binary"
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -106,24 +107,25 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, pattern: str | Non
         end = np.array([end_id], "<u4").tobytes()
         names: list[int | None] = []
         parts: list[bytes] = []
-        size = 0
+        size = done = 0
 
         def close() -> pa.RecordBatch:
             starts = np.cumsum([0, *(len(p) // 4 for p in parts)])
-            values = (part, seg, int(starts[-1]), len(names), names, starts[:-1].tolist(), pack(np.frombuffer(b"".join(parts), "<u4")))
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+            values = (part, seg, done, int(starts[-1]), len(names), names, starts[:-1].tolist(), pack(np.frombuffer(b"".join(parts), "<u4")))
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-        for whole in batches:
-            for at in range(0, whole.num_rows, TOGETHER):
-                batch = whole.slice(at, TOGETHER)
-                for name, ids in zip(batch.column(0).to_pylist(), c.encode(batch.column(1).to_pylist()), strict=True):
-                    names.append(name)
-                    parts.append(ids + end)
-                    size += len(ids) // 4 + 1
+        for batch in batches:
+            ids_of = batch.column(0).to_pylist()
+            for row, ids, bounds in c.encode_column(batch.column(1)):
+                raw = ids.astype("<u4").tobytes()
+                for k, (x, y) in enumerate(zip(bounds.tolist(), bounds[1:].tolist(), strict=False)):
+                    names.append(ids_of[row + k])
+                    parts.append(raw[4 * x : 4 * y] + end)
+                    size += y - x + 1
                     if size >= segment_tokens:
                         yield close()
-                        names, parts, size, seg = [], [], 0, seg + 1
+                        names, parts, done, size, seg = [], [], done + size, 0, seg + 1
         if names:
             yield close()
 
@@ -133,14 +135,16 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, pattern: str | Non
 def segments(spark: SparkSession, path: str) -> DataFrame:
     """The segments with ``first``, the ids in all segments before each.
 
-    Totals of the writing tasks are summed first, so the ordered window sees one row a task.
+    The total of each writing task is summed and ordered, one row a task; those rows are sent to the
+    segments as a broadcast while they are few, which is counted, so the codes are not shuffled.
     """
     table = spark.read.parquet(path)
-    totals = table.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    within = Window.partitionBy("part").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = table.select("part", "seg", "n_tokens").withColumn("inner", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
-    first = sizes.join(totals, "part").select("part", "seg", (F.coalesce("before", F.lit(0)) + F.col("inner")).alias("first"))
-    return table.join(first, ["part", "seg"])
+    totals = table.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    totals = totals.select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    if totals.count() <= BROADCAST_PARTS:
+        totals = F.broadcast(totals)
+    return table.join(totals, "part").withColumn("first", F.col("before") + F.col("inner_first"))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
