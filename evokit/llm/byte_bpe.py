@@ -16,7 +16,6 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import json
 import os
 from collections.abc import Iterator
 
@@ -273,8 +272,3 @@ def round_trip_digests(docs: DataFrame, vocabulary: str, pattern: str | None = N
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("id", id_col)
-
-
-def special_tokens(vocabulary: bytes) -> list[str]:
-    """The added tokens that a tokenizer JSON lists."""
-    return [t["content"] for t in json.loads(vocabulary).get("added_tokens", [])]
