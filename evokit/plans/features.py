@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evokit.catalog import query
-from evokit.operators import intervals, kernels, sequences
+from evokit.operators import designs, intervals, kernels, sequences
 from evokit.operators import regression as rg
 from evokit.plans.events import HOURLY_SQL, hourly
 from evokit.session import table
@@ -82,3 +82,20 @@ def autocorr_separable(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = course.where("lag = 0").select(F.col("acf").alias("first"))
     scaled = course.crossJoin(F.broadcast(first)).select("lag", (F.col("acf") / F.col("first")).alias("k"))  # one row
     return space.crossJoin(F.broadcast(scaled)).select("b1", "b2", "lag", F.round(F.col("space") * F.col("k"), 6).alias("v"))  # seven lags
+
+
+@query()
+def event_kernel_loo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases from kernels of six hours at busy hours of views and of clicks, cross-validated over six-day sets."""
+    cells = hourly(spark, sf_dir)
+    events = cells.where("n > 4 and band in ('view', 'click')").withColumn("kind", (F.col("band") == "click").cast("int")).withColumn("one", F.lit("all"))
+    last = cells.agg(F.max("t")).first()[0] or 0
+    design = sequences.impulse_design(events, "one", "kind", "t", F.lit(1.0), 6, int(last) + 1)
+    design = design.select(F.floor(F.col("t") / 144).alias("s"), "t", (F.col("kind") * 6 + F.col("k")).alias("feature"), "x")
+    response = cells.where("band = 'purchase'").select(F.floor(F.col("t") / 144).alias("s"), "t", F.col("n").alias("y"), F.lit(1.0).alias("w"))
+    by = designs.sparse_moments(design, response, "s", "t", "feature", "x", "y", "w", 12)
+    scores = {r["tol"]: float(r["r2cv"]) for r in rg.ridge_loo(by, [0.2, 0.1, 0.05, 0.01, 0.005, 0.001])}
+    best = max(scores, key=lambda t: (scores[t], t))
+    whole = rg.total(by)
+    coef, _ = rg.ridge(whole, best * max(np.linalg.norm((whole - m).centred()[0]) for m in by.values()))
+    return spark.createDataFrame([("view" if j < 6 else "click", j % 6, float(c), best, scores[best]) for j, c in enumerate(coef)], "kind string, k int, weight double, tol double, r2cv double")

@@ -82,3 +82,17 @@ def test_bandpass_and_welch(spark):
     p = spectral.welch(df, "k", "t", "v", 128).orderBy("f").toPandas()["power"].to_numpy()
     assert int(np.argmax(p[4:])) + 4 == 16
     assert math.isclose(spectral.coherence_full(1.0, 4), 1.0)
+
+
+def test_sparse_design_is_dense_design(spark):
+    from evokit.operators import designs
+
+    r = np.random.default_rng(8)
+    x = r.normal(size=(60, 4)) * (r.random((60, 4)) < 0.3)
+    y, w, s = r.normal(size=60), r.uniform(0.5, 2, 60), np.arange(60) // 20
+    cells = [(int(s[t]), t, j, float(x[t, j])) for t in range(60) for j in range(4) if x[t, j]]
+    frames = [(int(s[t]), t, float(y[t]), float(w[t])) for t in range(60)]
+    by = designs.sparse_moments(spark.createDataFrame(cells, "s int, t int, j int, x double"), spark.createDataFrame(frames, "s int, t int, y double, w double"), "s", "t", "j", "x", "y", "w", 4)
+    for k in range(3):
+        z = np.column_stack((x, np.ones(60), y))[s == k]
+        assert np.allclose(by[k].products, (z * w[s == k][:, None]).T @ z) and by[k].rows == 20
