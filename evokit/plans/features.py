@@ -14,9 +14,9 @@ from evokit.session import table
 
 
 def _evoked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(band, lag, m): mean counts of 30 hours from busy hours on."""
+    """(band, lag, m): mean counts of 30 hours from hours with events on."""
     frames = hourly(spark, sf_dir)
-    cells = intervals.windows_at(frames.where("n > 4").select("band", "t"), frames, "band", "t", "n", 0, 30)
+    cells = intervals.windows_at(frames.where("n > 0").select("band", "t"), frames, "band", "t", "n", 0, 30)
     return cells.groupBy("band", "lag").agg(F.avg("n").alias("m"))
 
 
@@ -86,9 +86,9 @@ def autocorr_separable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def event_kernel_loo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchases from kernels of six hours at busy hours of views and of clicks, cross-validated over six-day sets."""
+    """Purchases from kernels of six hours at hours with views and with clicks, cross-validated over six-day sets."""
     cells = hourly(spark, sf_dir)
-    events = cells.where("n > 4 and band in ('view', 'click')").withColumn("kind", (F.col("band") == "click").cast("int")).withColumn("one", F.lit("all"))
+    events = cells.where("n > 0 and band in ('view', 'click')").withColumn("kind", (F.col("band") == "click").cast("int")).withColumn("one", F.lit("all"))
     last = cells.agg(F.max("t")).first()[0] or 0
     design = sequences.impulse_design(events, "one", "kind", "t", F.lit(1.0), 6, int(last) + 1)
     design = design.select(F.floor(F.col("t") / 144).alias("s"), "t", (F.col("kind") * 6 + F.col("k")).alias("feature"), "x")
