@@ -174,7 +174,7 @@ def logistic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def strf_direct_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+def receptive_field_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A spectro-temporal filter of purchases on the other bands: lagged products by Spark, Fourier ridge on (bands, lags)."""
     cells = hourly(spark, sf_dir)
     cells = cells.join(cells.groupBy("band").agg(F.avg("n").alias("g")), "band").select("band", "t", (F.col("n") - F.col("g")).alias("v"))
