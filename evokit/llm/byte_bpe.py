@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Chunks that a worker remembers before it starts afresh; about 200 bytes each.
-REMEMBERED = 800_000
+REMEMBERED = 300_000
 #: Text encoded together; bounds a worker's memory whatever the size of an Arrow batch. A longer text is a part by itself.
 PART_BYTES = 4 << 20
 #: First bytes of one-byte white space, and the longer white-space characters in UTF-8.
