@@ -11,7 +11,8 @@ Levels of ``after`` are found round by round, each a join of what is still open;
 after one, get level -1 and the status ``cycle``.
 
 Defined results: a null text is the content null; null roles stay null; a text that is no JSON object is an
-ordinary message; a null or missing identifier links to nothing; of calls that repeat an identifier the first (by
+ordinary message, and so is a turn whose ``tool_calls`` is empty; content beside calls is a message before them, unless it is
+null or missing, and stays the JSON value it is; a null or missing identifier links to nothing; of calls that repeat an identifier the first (by
 turn and place) is linked and later ones have the status ``duplicate``; several results of a call are all
 linked; a result without a call is an ``orphan``; repeated rows are kept; an empty table gives an empty
 result; other columns are ignored, whatever their names.
@@ -83,7 +84,7 @@ def format_chats(turns: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]
     schemas = SCHEMAS if schemas is None else schemas
     rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     parsed = F.when(F.col("text").startswith("{"), F.try_parse_json("text"))
-    is_call = F.coalesce((F.col("role") == "assistant") & F.schema_of_variant(F.try_variant_get(parsed, "$.tool_calls", "variant")).startswith("ARRAY<"), F.lit(False))
+    is_call = F.coalesce((F.col("role") == "assistant") & (F.size(F.try_variant_get(parsed, "$.tool_calls", "array<variant>")) > 0), F.lit(False))
     is_result = F.coalesce((F.col("role") == "tool") & F.try_variant_get(parsed, "$.tool_call_id", "string").isNotNull(), F.lit(False))
 
     plain = rows.where(~is_call & ~is_result).select(
@@ -91,6 +92,12 @@ def format_chats(turns: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]
         _canonical(content=F.col("text"), conv_id=F.col("conv"), role=F.col("role"), turn=F.col("turn")).alias("line"),
     )
 
+    beside = rows.where(is_call).withColumn("content", F.try_variant_get(F.try_parse_json("text"), "$.content", "variant")).where(F.col("content").isNotNull() & ~F.is_variant_null("content"))
+    beside = beside.select(
+        "conv", "turn", F.col("turn").alias("pos_turn"), F.lit(0).alias("pos_level"), F.lit(0).alias("pos_call"), F.lit(0).alias("pos_kind"), F.lit("message").alias("status"), F.lit("").alias("errors"),
+        _canonical(content=F.col("content"), conv_id=F.col("conv"), role=F.col("role"), turn=F.col("turn")).alias("line"),
+    )
+
     spread = rows.where(is_call).select("conv", "turn", F.posexplode(F.try_variant_get(F.try_parse_json("text"), "$.tool_calls", "array<variant>")).alias("place", "c"))
     calls = spread.select(
         "conv", "turn", "place", F.try_variant_get("c", "$.id", "string").alias("id"), F.try_variant_get("c", "$.name", "string").alias("name"),
@@ -115,5 +122,5 @@ def format_chats(turns: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]
         F.when(F.col("at").isNull(), "orphan").otherwise("result").alias("status"), F.lit("").alias("errors"),
         _canonical(content=F.col("content"), conv_id=F.col("conv"), id=F.col("id"), role=F.lit("tool"), turn=F.col("turn")).alias("line"),
     )
-    out = plain.unionByName(call_rows).unionByName(result_rows)
+    out = plain.unionByName(beside).unionByName(call_rows).unionByName(result_rows)
     return out.withColumnsRenamed({"conv": conv_col, "turn": turn_col})

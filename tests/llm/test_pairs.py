@@ -132,6 +132,30 @@ def test_chat_format(spark):
     assert chat_format.format_chats(d.where("false")).count() == 0
 
 
+def test_chat_text_of_call_turns(spark):
+    call = {"id": "a", "name": "calculate", "arguments": {"expression": "1"}}
+    texts = [
+        json.dumps({"content": "none needed", "tool_calls": []}), json.dumps({"content": 'see "é"', "tool_calls": [call]}), json.dumps({"content": [{"type": "text", "text": "p"}], "tool_calls": [call, call]}),
+        json.dumps({"content": None, "tool_calls": [call]}), json.dumps({"tool_calls": [call]}), json.dumps({"content": "", "tool_calls": [call]}), json.dumps({"content": "x", "tool_calls": None}),
+    ]
+    d = spark.createDataFrame([(1, k, "assistant", t) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    expected = []
+    for k, t in enumerate(texts):
+        calls, content = json.loads(t).get("tool_calls"), json.loads(t).get("content")
+        if not calls:
+            expected.append((k, 0, "assistant", t))
+        elif content is not None:
+            expected.append((k, 0, "assistant", content))
+        expected += [(k, 1, "call", None) for _ in calls or []]
+    got = []
+    for x in sorted(chat_format.format_chats(d).collect(), key=lambda x: (x.pos_turn, x.pos_level, x.pos_call, x.pos_kind)):
+        parsed = json.loads(x.line)
+        assert x.line == json.dumps(parsed, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        assert x.pos_kind or (x.status, x.errors, x.pos_level, x.pos_call) == ("message", "", 0, 0)
+        got.append((x.turn, x.pos_kind, parsed["role"], parsed.get("content")))
+    assert got == expected
+
+
 def test_pipeline(spark, tmp_path):
     r = random.Random(11)
     item = prose(r, 40, 2)
