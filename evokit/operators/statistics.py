@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,3 +86,37 @@ def mean_of_means(rows: DataFrame, key: str, value: str) -> DataFrame:
 def r2_parts(y: Column, pred: Column) -> dict[str, Column]:
     """Mergeable sums from which R2 and correlation follow."""
     return {"n": F.count(y), "y": F.sum(y), "yy": F.sum(y * y), "p": F.sum(pred), "pp": F.sum(pred * pred), "yp": F.sum(y * pred)}
+
+
+def pair_covariances(frames: DataFrame, vector: str) -> DataFrame:
+    """(d1, d2, cov, n): population covariance of each two channels, d1 <= d2 from 1, over the frames that have both.
+
+    A batch gives its product matrices as rows of channel pairs, which Spark sums in the task before the shuffle.
+    Channels that are null or NaN are left out; arrays may differ in length.
+    """
+
+    def products(batches):
+        for pdf in batches:
+            rows = [v for v in pdf["v"] if v is not None and len(v)]
+            if not rows:
+                continue
+            x = np.full((len(rows), max(map(len, rows))), np.nan)
+            for to, v in zip(x, rows):
+                to[: len(v)] = np.asarray(v, float)
+            has = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x, posinf=np.inf, neginf=-np.inf)
+            n, s, p = has.T @ has, x.T @ has, x.T @ x
+            i, j = np.triu_indices(len(n))
+            yield pd.DataFrame({"d1": i + 1, "d2": j + 1, "n": n[i, j].astype(int), "a": s[i, j], "b": s[j, i], "p": p[i, j]})
+
+    parts = frames.select(F.col(vector).cast("array<double>").alias("v")).mapInPandas(products, "d1 int, d2 int, n long, a double, b double, p double")
+    s = parts.groupBy("d1", "d2").agg(*(F.sum(c).alias(c) for c in ("n", "a", "b", "p"))).where("n > 0")
+    return s.select("d1", "d2", (F.col("p") / F.col("n") - F.col("a") / F.col("n") * (F.col("b") / F.col("n"))).alias("cov"), "n")
+
+
+def near_products(frames: DataFrame, key: str, vector: str, locality: int) -> DataFrame:
+    """(key, d1, d2, p): products of each two channels at most ``locality`` apart, d1 <= d2 from 1."""
+    v = F.col(vector).cast("array<double>")
+    near = lambda i: F.filter(F.sequence(i, i + locality), lambda j: j <= F.size(vector))
+    pairs = F.transform(F.sequence(F.lit(1), F.size(vector)), lambda i: F.transform(near(i), lambda j: F.struct(i.alias("d1"), j.alias("d2"), (F.get(v, i - 1) * F.get(v, j - 1)).alias("p"))))
+    return frames.where(F.size(vector) > 0).select(key, F.explode(F.flatten(pairs)).alias("x")).select(key, "x.*")

@@ -95,6 +95,19 @@ def second_order_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.explode(pairs).alias("x")).select("vec_id", "x.*")
 
 
+@query(f"""WITH {_CELLS}, y AS (SELECT * FROM x WHERE label = 3), m AS (SELECT d, avg(v) m FROM y GROUP BY 1), c AS (SELECT vec_id, d, v - m AS v FROM y JOIN m USING (d))
+SELECT a.d AS d1, b.d AS d2, round(avg(a.v * b.v), 6) + 0.0::DOUBLE AS cov FROM c a JOIN c b USING (vec_id) WHERE a.d <= b.d GROUP BY 1, 2""")
+def stc_cov_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Covariance of the triggering frames over all channels (``stc_cov`` is of the first twelve)."""
+    return st.pair_covariances(table(spark, sf_dir, "embeddings").where("label = 3"), "embedding").select("d1", "d2", F.round("cov", 6).alias("cov"))
+
+
+@query("""SELECT vec_id, a.i::INT AS d1, b.i::INT AS d2, round(embedding[a.i]::DOUBLE * embedding[b.i]::DOUBLE, 6) + 0.0::DOUBLE AS p FROM embeddings, unnest(range(1, len(embedding) + 1)) a(i), unnest(range(1, len(embedding) + 1)) b(i) WHERE a.i <= b.i AND b.i - a.i <= 2""")
+def second_order_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products of channels at most two apart among all (``second_order_terms`` is of the first eight); the SQL adds 0 to make -0 a 0, as Spark's round does."""
+    return st.near_products(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 2).withColumn("p", F.round("p", 6))
+
+
 @query(f"""WITH {FRAME_SQL}, h AS (SELECT y, sha256(l_orderkey::VARCHAR || ':' || l_linenumber::VARCHAR) AS h FROM fr), d AS (SELECT k.i::INT AS draw, y FROM h, range(16) k(i) WHERE substr(h, k.i * 4 + 1, 4) < '199a'),
 m AS (SELECT draw, avg(y) AS m FROM d GROUP BY 1) SELECT round(quantile_cont(m, 0.025), 4) AS lower, round(quantile_cont(m, 0.975), 4) AS upper, count(*) AS n FROM m""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -221,3 +221,19 @@ def test_sources(spark, tmp_path):
         readers.load(spark, "x.unknown")
     writers.electrode_configs(spark, str(tmp_path / "c"), 3, {"points": 120})
     assert spark.read.json(str(tmp_path / "c")).count() == 3
+
+
+def test_all_channels(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(3, 1, (70, 20)).tolist()
+    x[3][19] = None
+    x[4] = x[4][:15]
+    frames = spark.createDataFrame([(i, v) for i, v in enumerate([*x, None, []])], "id long, v array<double>").repartition(3)
+    got = {(c.d1, c.d2): (c.cov, c.n) for c in statistics.pair_covariances(frames, "v").collect()}
+    assert len(got) == 20 * 21 // 2
+    for (i, j), (cov, n) in got.items():
+        both = [(v[i - 1], v[j - 1]) for v in x if len(v) >= j and v[i - 1] is not None and v[j - 1] is not None]
+        assert n == len(both) and abs(cov - np.cov(np.array(both).T, bias=True)[0, 1]) < 1e-9
+    near = {(p.id, p.d1, p.d2): p.p for p in statistics.near_products(frames, "id", "v", 2).collect()}
+    assert set(near) == {(k, i + 1, j + 1) for k, v in enumerate(x) for i in range(len(v)) for j in range(i, min(i + 3, len(v)))}
+    assert near[0, 18, 20] == x[0][17] * x[0][19] and near[3, 20, 20] is None
