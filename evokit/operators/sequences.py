@@ -87,7 +87,7 @@ def pruned_peaks(peaks: DataFrame, key: str, index: str, value: str, distance: i
     return runs.groupBy(key, "run").applyInPandas(prune, runs.schema).drop("run")
 
 
-def impulse_design(events: DataFrame, key: str, kind: str, index: str, value: Column, points: int, frames: int) -> DataFrame:
+def impulse_design(events: DataFrame, key: str, kind: str, index: str, value: Column, points: int, frames: int | Column) -> DataFrame:
     """(key, kind, t, k, x): the sparse design in which event ``kind`` acts k samples after its index, for t < frames."""
     spread = events.withColumn("v", value).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("t", F.col(index) + F.col("k"))
     return spread.where(F.col("t") < frames).groupBy(key, kind, "t", "k").agg(F.sum("v").alias("x"))
@@ -109,7 +109,7 @@ def gaussians(t: Column, m1: float, s1: float, a1: float, m2: float, s2: float,
     return F.lit(a1) * bell(m1, s1) - F.lit(a2) * bell(m2, s2)
 
 
-def basis_features(events: DataFrame, basis: DataFrame, key: str, kind: str, index: str, value: str, frames: int) -> DataFrame:
+def basis_features(events: DataFrame, basis: DataFrame, key: str, kind: str, index: str, value: str, frames: int | Column) -> DataFrame:
     """(key, kind, order, t, x): events convolved with each basis function; ``basis`` has (order, k, b) and is small."""
     spread = events.join(F.broadcast(basis)).withColumn("t", F.col(index) + F.col("k")).where(F.col("t") < frames)
     return spread.groupBy(key, kind, "order", "t").agg(F.sum(F.col(value) * F.col("b")).alias("x"))

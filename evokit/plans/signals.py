@@ -81,11 +81,17 @@ def delay_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.delay_embedding(hourly(spark, sf_dir), "band", "t", "n", (1, 2, 24))
 
 
+def _busy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours with more than four events, with the number of frames of the table's whole span. The SQL has the 720 of the driver's tables."""
+    cells = hourly(spark, sf_dir)
+    frames = cells.agg((F.max("t") + 1).alias("frames"))
+    return cells.where("n > 4").withColumn("kind", F.lit("busy")).crossJoin(F.broadcast(frames))  # one row
+
+
 @query(f"""WITH {HOURLY_SQL}, e AS (SELECT band, t, n FROM hourly WHERE n > 4)
 SELECT band, e.t + k.i AS t, k.i::INT AS k, sum(n)::BIGINT AS x FROM e, range(6) k(i) WHERE e.t + k.i < 720 GROUP BY 1, 2, 3""")
 def impulse_design(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = hourly(spark, sf_dir).where("n > 4").withColumn("kind", F.lit("busy"))
-    return sequences.impulse_design(e, "band", "kind", "t", F.col("n"), 6, 720).drop("kind")
+    return sequences.impulse_design(_busy(spark, sf_dir), "band", "kind", "t", F.col("n"), 6, F.col("frames")).drop("kind")
 
 
 def _laguerre_sql(order: int, tau: float, alpha: float) -> str:
@@ -102,8 +108,7 @@ def laguerre_design(spark: SparkSession, sf_dir: str) -> DataFrame:
     for o in range(3):
         own = ks.select(F.lit(o).alias("order"), "k", sequences.laguerre(F.col("k"), o, 3.0, 2.0).alias("b"))
         basis = own if basis is None else basis.unionByName(own)
-    e = hourly(spark, sf_dir).where("n > 4").withColumn("kind", F.lit("busy"))
-    return sequences.basis_features(e, basis, "band", "kind", "t", "n", 720).select("band", "order", "t", F.round("x", 6).alias("x"))
+    return sequences.basis_features(_busy(spark, sf_dir), basis, "band", "kind", "t", "n", F.col("frames")).select("band", "order", "t", F.round("x", 6).alias("x"))
 
 
 @query(f"""WITH {HOURLY_SQL}, basis AS (SELECT i::INT AS k, 1.0::DOUBLE * exp(-0.5 * pow((i - 2.0::DOUBLE) / 1.0, 2)) - 0.5::DOUBLE * exp(-0.5 * pow((i - 5.0::DOUBLE) / 2.0, 2)) AS b FROM range(12) r(i)),
@@ -111,8 +116,7 @@ e AS (SELECT band, t, n FROM hourly WHERE n > 4) SELECT band, e.t + k AS t, roun
 def dog_design(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Busy hours convolved with a difference of Gaussians."""
     basis = spark.range(12).select(F.lit(0).alias("order"), F.col("id").cast("int").alias("k"), sequences.gaussians(F.col("id"), 2.0, 1.0, 1.0, 5.0, 2.0, 0.5).alias("b"))
-    e = hourly(spark, sf_dir).where("n > 4").withColumn("kind", F.lit("busy"))
-    return sequences.basis_features(e, basis, "band", "kind", "t", "n", 720).select("band", "t", F.round("x", 6).alias("x"))
+    return sequences.basis_features(_busy(spark, sf_dir), basis, "band", "kind", "t", "n", F.col("frames")).select("band", "t", F.round("x", 6).alias("x"))
 
 
 @query(f"""WITH {HOURLY_SQL}, k(d, w) AS (VALUES (0, 0.5::DOUBLE), (1, 0.3::DOUBLE), (3, 0.2::DOUBLE))

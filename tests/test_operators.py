@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as hs
 from pyspark.sql import functions as F
 
+from evokit import catalog
 from evokit.functions import scalars
 from evokit.operators import components, encoders, histograms, intervals, regression, sequences, spectral, statistics
 from evokit.sources import readers, writers
@@ -237,3 +238,14 @@ def test_all_channels(spark):
     near = {(p.id, p.d1, p.d2): p.p for p in statistics.near_products(frames, "id", "v", 2).collect()}
     assert set(near) == {(k, i + 1, j + 1) for k, v in enumerate(x) for i in range(len(v)) for j in range(i, min(i + 3, len(v)))}
     assert near[0, 18, 20] == x[0][17] * x[0][19] and near[3, 20, 20] is None
+
+
+def test_designs_of_longer_tables(spark, tmp_path):
+    hours = [0] + [719] * 6 + [722] * 5 + [998] * 7 + [1000]
+    spark.createDataFrame([(i, "view", h * 3600) for i, h in enumerate(hours)], "event_id long, event_type string, s long").withColumn("ts", F.timestamp_seconds("s")).write.parquet(str(tmp_path / "events.parquet"))
+    run = lambda name: catalog.queries()[name](spark, str(tmp_path)).collect()
+    impulses = {(h + k, k): n for h, n in ((719, 6), (722, 5), (998, 7)) for k in range(6) if h + k <= 1000}
+    assert {(x.t, x.k): x.x for x in run("impulse_design")} == impulses
+    reached = {h + k for h in (719, 722, 998) for k in range(12) if h + k <= 1000}
+    assert {x.t for x in run("dog_design")} == reached
+    assert {(x.order, x.t) for x in run("laguerre_design")} == {(o, t) for o in range(3) for t in reached}
