@@ -43,7 +43,7 @@ NOT_ARTICLE = re.compile(
 ARTICLE = re.compile(r"article|body|content|entry|main|page|post|story|text", re.IGNORECASE)
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
-TAG_END = re.compile(r"""[^>"']*(?:"[^"]*"|'[^']*'|[^>"'])*>""")
+VALUE_OR_END = re.compile(r""">|=\s*(["'])""")
 SENTENCE = re.compile(r"[.!?…。]['\"”’»)]*$")
 COMMAS = re.compile(r"[,،、，]")
 #: A sibling joins the best container from this share of its score.
@@ -67,10 +67,16 @@ def _tag_end(page: str, at: int) -> int:
     if close < 0:
         return len(page)
     inner = page[at:close]
-    if inner.count('"') % 2 == 0 and inner.count("'") % 2 == 0:
+    if '"' not in inner and "'" not in inner:
         return close + 1
-    m = TAG_END.match(page, at, at + 4096)
-    return m.end() if m else close + 1
+    while m := VALUE_OR_END.search(page, at):
+        if not m[1]:
+            return m.end()
+        at = page.find(m[1], m.end()) + 1
+        if not at:  # never closed: not a quote
+            end = page.find(">", m.end())
+            return len(page) if end < 0 else end + 1
+    return len(page)
 
 
 def parse(page: str) -> Node:

@@ -79,6 +79,19 @@ def test_main_text(spark):
     assert main_text.extract(pages.where("false")).count() == 0
 
 
+def test_main_text_long_attributes():
+    frame = lambda tag: f"<nav>menu</nav><article><p>Before, it, all.</p>{tag}<p>After, it, all.</p></article>"
+    whole = main_text.main_text(frame(""))
+    assert whole == "Before, it, all. After, it, all."
+    for size in (10, 1000, 100_000):
+        value = "<p>Spilt, words, of a value.</p></article>" * (size // 10)
+        for tag in (f'<div data-props="{value}" id=x></div>', f"<div a=1 srcdoc = '{value}\"{value}'></div>", f'<img alt="a > b" data-x="{value}">', f'<div class="a"" data-x="{value}"></div>', f"""<img alt="it's" data-x='{value}'>"""):
+            assert main_text.main_text(frame(tag)) == whole
+    assert main_text.main_text(frame('<div class="a"">Own, text, here.</div>')) == "Before, it, all. Own, text, here. After, it, all."
+    assert main_text.main_text("<article><p>One, two.</p><b title='x>y>Three, four.</b></article>") == "One, two. y>Three, four."
+    assert main_text.main_text("<p>x</p>" + "<a b='>' " * 100_000 + "c='") == "x"
+
+
 def brute_counts(text):
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
