@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -120,3 +122,55 @@ def near_products(frames: DataFrame, key: str, vector: str, locality: int) -> Da
     near = lambda i: F.filter(F.sequence(i, i + locality), lambda j: j <= F.size(vector))
     pairs = F.transform(F.sequence(F.lit(1), F.size(vector)), lambda i: F.transform(near(i), lambda j: F.struct(i.alias("d1"), j.alias("d2"), (F.get(v, i - 1) * F.get(v, j - 1)).alias("p"))))
     return frames.where(F.size(vector) > 0).select(key, F.explode(F.flatten(pairs)).alias("x")).select(key, "x.*")
+
+
+#: P(W <= k) of a Poisson variable of mean 1, k = 0..18; above, the chance is under a double's last digit.
+_POISSON_CDF = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(19)])
+#: Bins that a task sums before it hands them on.
+_BINS_HELD = 2048
+
+
+def poisson_weights(keys: np.ndarray, draws: int) -> np.ndarray:
+    """(len(keys), draws): how often each draw takes a row, Poisson of mean 1, from the row's 64-bit hash and the draw."""
+    x = keys.astype(np.int64).view(np.uint64)[:, None] + np.arange(1, draws + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x = x ^ (x >> np.uint64(31))
+    return np.searchsorted(_POISSON_CDF, (x >> np.uint64(11)) * 2.0**-53, side="right")
+
+
+def bootstrap_means(rows: DataFrame, trial: list[str], bin_col: str, value: str, draws: int = 100, lower: float = 0.025, upper: float = 0.975) -> DataFrame:
+    """(bin, mean, lower, upper, n, draws): percentiles of the bin's mean over resamples with replacement of all rows.
+
+    Each draw takes each trial Poisson(1) times by a hash of (trial, draw), which is resampling with replacement without a
+    count over all trials; rows of one trial are taken together. A task sums its rows by (bin, draw) before the shuffle.
+    Rows with a null bin or value are left out; a draw that takes no row of a bin has no mean there, and ``draws`` counts the others.
+    """
+    kind = rows.schema[bin_col].dataType.simpleString()
+    good = rows.where(F.col(bin_col).isNotNull() & F.col(value).isNotNull()).select(F.xxhash64(*trial).alias("h"), F.col(bin_col).alias("b"), F.col(value).cast("double").alias("v"))
+
+    def sums(batches):
+        held: dict[object, np.ndarray] = {}
+
+        def out():
+            b, s = list(held), np.array(list(held.values()))
+            return pd.DataFrame({"b": np.repeat(np.array(b, dtype=object), draws + 1), "draw": np.tile(np.arange(draws + 1), len(b)), "w": s[:, 0].ravel(), "s": s[:, 1].ravel()})
+
+        for pdf in batches:
+            w = np.column_stack((np.ones(len(pdf)), poisson_weights(pdf["h"].to_numpy(), draws)))  # draw 0 is all rows as they are
+            v = pdf["v"].to_numpy(float)[:, None]
+            for b, at in pdf.groupby("b", sort=False).indices.items():
+                part = np.stack((w[at].sum(axis=0), (w[at] * v[at]).sum(axis=0)))
+                held[b] = held[b] + part if b in held else part
+            if len(held) > _BINS_HELD:
+                yield out()
+                held = {}
+        if held:
+            yield out()
+
+    parts = good.mapInPandas(sums, f"b {kind}, draw int, w double, s double")
+    means = parts.groupBy("b", "draw").agg(F.sum("w").alias("w"), F.sum("s").alias("s")).where("w > 0").withColumn("m", F.col("s") / F.col("w"))
+    drawn = F.when(F.col("draw") > 0, F.col("m"))
+    whole = F.col("draw") == 0
+    by = means.groupBy("b").agg(F.max(F.when(whole, F.col("m"))).alias("mean"), F.percentile(drawn, lower).alias("lower"), F.percentile(drawn, upper).alias("upper"), F.max(F.when(whole, F.col("w"))).cast("long").alias("n"), F.count(drawn).alias("draws"))
+    return by.withColumnRenamed("b", bin_col)

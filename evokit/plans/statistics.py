@@ -118,6 +118,13 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return means.agg(F.round(F.percentile("m", 0.025), 4).alias("lower"), F.round(F.percentile("m", 0.975), 4).alias("upper"), F.count("*").alias("n"))
 
 
+@query()
+def bootstrap_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of the mean price by month of shipping over 100 resamples of all rows (``bootstrap_ci``'s are of sixteen samples of a tenth)."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.date_format("l_shipdate", "yyyy-MM").alias("month"), (F.col("l_extendedprice") / 1000).alias("y"))
+    return st.bootstrap_means(li, ["l_orderkey", "l_linenumber"], "month", "y").select("month", *(F.round(c, 4).alias(c) for c in ("mean", "lower", "upper")), "n", "draws")
+
+
 @query("SELECT c_custkey, (('0x' || substr(md5(c_custkey::VARCHAR || ':fold'), 1, 6))::INT % 5)::INT AS fold FROM customer")
 def kfold_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folds by hash: no order over all rows is needed."""

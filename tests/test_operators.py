@@ -249,3 +249,24 @@ def test_designs_of_longer_tables(spark, tmp_path):
     reached = {h + k for h in (719, 722, 998) for k in range(12) if h + k <= 1000}
     assert {x.t for x in run("dog_design")} == reached
     assert {(x.order, x.t) for x in run("laguerre_design")} == {(o, t) for o in range(3) for t in reached}
+
+
+def test_bootstrap_of_all_rows(spark):
+    w = statistics.poisson_weights(np.arange(-20_000, 20_000), 10)
+    for k in range(5):
+        assert abs((w == k).mean() - math.exp(-1) / math.factorial(k)) < 0.005
+    assert abs(np.corrcoef(w.T) - np.eye(10)).max() < 0.03
+    r = np.random.default_rng(8)
+    values = [(i, i % 3, float(v)) for i, v in enumerate(r.normal(50, 10, 6000))]
+    extra = [(6000, 3, 7.0), (6001, None, 1.0), (6002, 0, None)]
+    rows = spark.createDataFrame(values + extra, "id long, b int, v double").withColumn("h", F.xxhash64("id"))
+    keys = {x.id: x.h for x in rows.collect()}
+    got = {x.b: x for x in statistics.bootstrap_means(rows.repartition(5), ["id"], "b", "v").collect()}
+    assert set(got) == {0, 1, 2, 3} and (got[3].lower, got[3].upper, got[3].n) == (7.0, 7.0, 1) and 40 <= got[3].draws <= 85
+    for b in range(3):
+        own = [(keys[i], v) for i, c, v in values if c == b]
+        v, w = np.array([x for _, x in own]), statistics.poisson_weights(np.array([h for h, _ in own]), 100)
+        means = (w * v[:, None]).sum(axis=0) / w.sum(axis=0)
+        assert got[b].n == 2000 and got[b].draws == 100 and abs(got[b].mean - v.mean()) < 1e-9
+        assert np.allclose([got[b].lower, got[b].upper], np.percentile(means, [2.5, 97.5]))
+        assert 0.7 < (got[b].upper - got[b].lower) / (2 * 1.96 * v.std() / len(v) ** 0.5) < 1.3
