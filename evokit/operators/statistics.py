@@ -67,6 +67,12 @@ def coherence_bound(c: Column, m: int) -> Column:
     return 1 / (k + 1)
 
 
+def coherence_single(c: Column, m: int) -> Column:
+    """What coherence with a mean of ``m`` trials becomes with one trial, as a factor, from that of halves."""
+    root = F.sqrt(1 / c)
+    return (1 + root) / (-m + m * root + 2)
+
+
 def ragged_average(frames: DataFrame, key: str, vector: str) -> DataFrame:
     """(key, i, mean, n): mean of arrays of different lengths, by place: each place counts the arrays that reach it."""
     cells = frames.select(key, F.posexplode(vector).alias("i", "v"))

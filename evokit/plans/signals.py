@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evokit.catalog import query
 from evokit.operators import sequences, spectral, statistics
-from evokit.plans.events import HOURLY_SQL, hourly
+from evokit.plans.events import HOUR, HOURLY_SQL, hourly, micros
 from evokit.session import table
 
 HANN = sequences.hann(7)
@@ -157,6 +157,36 @@ def coherence_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _coherence(spark, sf_dir).select("f", F.round(c, 6).alias("coherence"), F.round(statistics.coherence_bound(c, 4), 6).alias("bound"))
 
 
+@query(f"""WITH {_COH}, hv AS (SELECT user_id % 2 AS half, epoch_us(ts) // 3600000000 AS h, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1, 2),
+hc2 AS (SELECT k.i AS half, (r.h - a) // 24 AS chunk, (r.h - a) % 24 AS u, coalesce(n, 0) AS n FROM hb, unnest(range(a, z + 1)) r(h), range(2) k(i) LEFT JOIN hv ON hv.half = k.i AND hv.h = r.h),
+hf AS (SELECT half, chunk, f.i AS f, sum(n * cos(2 * pi() / 24 * f.i * u)) AS re, sum(-n * sin(2 * pi() / 24 * f.i * u)) AS im FROM hc2, range(13) f(i) GROUP BY 1, 2, 3),
+h2 AS (SELECT l.f, (pow(sum(l.re * r.re + l.im * r.im), 2) + pow(sum(l.im * r.re - l.re * r.im), 2)) / (sum(l.re * l.re + l.im * l.im) * sum(r.re * r.re + r.im * r.im)) AS c12 FROM hf l JOIN hf r USING (chunk, f) WHERE l.half = 0 AND r.half = 1 GROUP BY 1)
+SELECT f::INT AS f, round(c12, 6) AS halves, round(c * (1 + sqrt(1 / c12)) / (2 - 4 + 4 * sqrt(1 / c12)), 6) AS single FROM co JOIN h2 USING (f) WHERE f BETWEEN 1 AND 11""")
+def coherence_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coherence of clicks with one trial of views: that with their mean, corrected by the coherence of the views of even and odd users, as four trials."""
+    hours = hourly(spark, sf_dir).select("t").distinct()
+    e = table(spark, sf_dir, "events")
+    start = micros(e).agg(F.min(F.floor(F.col("t") / HOUR)).alias("a"))
+    own = micros(e.where("event_type = 'view'")).crossJoin(F.broadcast(start)).select((F.col("user_id") % 2).alias("half"), (F.floor(F.col("t") / HOUR) - F.col("a")).alias("t"))  # one row
+    grid = hours.withColumn("half", F.explode(F.array(F.lit(0), F.lit(1))))
+    cells = grid.join(own.groupBy("half", "t").agg(F.count("*").alias("n")), ["half", "t"], "left").select("half", F.floor(F.col("t") / 24).alias("chunk"), (F.col("t") % 24).alias("u"), F.coalesce("n", F.lit(0)).alias("n"))
+    ft = spectral.fourier(cells, ["half", "chunk"], "u", "n", 24)
+    halves = spectral.coherence(ft.where("half = 0").drop("half"), ft.where("half = 1").drop("half"), ["chunk"]).withColumnRenamed("coherence", "c12")
+    both = _coherence(spark, sf_dir).join(halves, "f").where("f between 1 and 11")
+    return both.select("f", F.round("c12", 6).alias("halves"), F.round(F.col("coherence") * statistics.coherence_single(F.col("c12"), 4), 6).alias("single"))
+
+
+@query(f"""WITH {HOURLY_SQL}, x AS (SELECT band, t // 24 AS trial, t % 24 AS u, (n > 4)::INT AS v FROM hourly),
+p AS (SELECT a.trial, l.i AS lag, sum(a.v * b.v) / count(*) AS r FROM x a, range(-12, 13) l(i) JOIN x b ON b.trial = a.trial AND b.u = a.u + l.i AND b.band = 'click' WHERE a.band = 'view' GROUP BY 1, 2)
+SELECT lag::INT AS lag, round(avg(r), 6) AS r, count(*) AS trials FROM p GROUP BY 1""")
+def xcorr_unbiased(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean over days, as trials, of the products of busy hours of views and clicks by lag, over the number of hours that overlap."""
+    x = hourly(spark, sf_dir).select("band", F.floor(F.col("t") / 24).alias("trial"), F.col("t"), (F.col("n") > 4).cast("int").alias("v"))
+    x = x.withColumn("at_day", F.col("trial") * 48 + F.col("t") % 24)  # days stand further apart than a lag
+    pairs = sequences.lag_products(x.where("band = 'view'"), x.where("band = 'click'"), "at_day", range(-12, 13), ["l.trial"], F.col("l.v") * F.col("r.v"))
+    return pairs.groupBy("lag").agg(F.round(F.avg(F.col("s") / F.col("n")), 6).alias("r"), F.count("*").alias("trials"))
+
+
 @query(f"WITH {_COH} SELECT f::INT AS f, round(-ln(1 - c) / ln(2), 6) AS bits, round(sum(-ln(1 - c) / ln(2)) OVER (ORDER BY f), 6) AS total FROM co WHERE f BETWEEN 1 AND 11")
 def info_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Information by frequency and its running total; a dozen rows are ordered."""

@@ -270,3 +270,17 @@ def test_bootstrap_of_all_rows(spark):
         assert got[b].n == 2000 and got[b].draws == 100 and abs(got[b].mean - v.mean()) < 1e-9
         assert np.allclose([got[b].lower, got[b].upper], np.percentile(means, [2.5, 97.5]))
         assert 0.7 < (got[b].upper - got[b].lower) / (2 * 1.96 * v.std() / len(v) ** 0.5) < 1.3
+
+
+def test_unbiased_crosscorrelation(spark, tmp_path):
+    r = random.Random(3)
+    busy = {b: {(d, h) for d in range(4) for h in range(24) if r.random() < 0.3} | {(0, 0), (3, 23)} for b in ("view", "click")}
+    rows = [(b, (d * 24 + h) * 3600) for b, at in busy.items() for d, h in at for _ in range(5)]
+    spark.createDataFrame(rows, "event_type string, s long").withColumn("ts", F.timestamp_seconds("s")).write.parquet(str(tmp_path / "events.parquet"))
+    got = {x.lag: (x.r, x.trials) for x in catalog.queries()["xcorr_unbiased"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(range(-12, 13))
+    for lag, (value, trials) in got.items():
+        each = [sum((d, h) in busy["view"] and (d, h + lag) in busy["click"] for h in range(24)) / (24 - abs(lag)) for d in range(4)]
+        assert trials == 4 and abs(value - sum(each) / 4) < 1e-6
+    factor = spark.range(1).select(statistics.coherence_single(F.lit(0.4), 6).alias("x")).first().x
+    assert math.isclose(factor, spectral.coherence_full(0.4, 6))
