@@ -2,18 +2,24 @@
 
 Tags are read once from left to right into a tree of block elements; inline tags leave no trace but
 the share of link text. Paragraph-like blocks give points for their length and commas to their parent
-and, halved and less, to the ancestors above it; an element's points are discounted by its link
-density. The best container is kept with those of its siblings that score well or read like prose.
+and half as many to each next ancestor; an element's points are discounted by its link density. The best
+container is kept with those of its siblings that score well or read like prose.
 
-Defined results: null or empty html gives an empty text; pages of any length are read whole; tags
-that are cut off, never closed or closed twice are repaired as far as the tree needs; repeated rows
-give equal rows; an empty table gives an empty result; other columns are ignored.
+Elements that are furniture by their tag are left out. Those that only their class, id or role calls so are
+left out too, unless they hold what the article begins with (the first main, h1, article or element named as content,
+whichever of these the page has first in this order) and over half of the prose that no other such element holds: wrappers carry such names.
+Names of states ("has-sidebar", "menu-open") say nothing, and a name that says content beside one that says furniture leaves the element to its score.
+
+Defined results: null or empty html gives an empty text; pages of any length and depth are read whole in linear time; tags
+that are cut off, never closed or closed twice are repaired as far as the tree needs; of containers with equal scores the
+first in the page is best; repeated rows give equal rows; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,19 +34,29 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
 #: Their content is no markup; it ends at their own end tag only.
 RAW = frozenset("script style noscript template textarea title xmp iframe noembed noframes".split())
-#: Never part of an article.
-FURNITURE = frozenset("head nav header footer aside form menu dialog button select option fieldset search svg canvas object video audio map iframe".split())
+#: Never part of an article; a form may wrap a page, so it is judged as an element named furniture is.
+FURNITURE = frozenset("head nav header footer aside menu dialog button select option fieldset search svg canvas object video audio map iframe title".split())
 #: An open p ends where one of these begins; other elements end where their like begins.
 PARAGRAPH_ENDS = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 LIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
 SCOPES = frozenset("ul ol dl table select body html article section div main".split())
-#: Names in class, id or role that mark furniture, notices, adverts and reader comments.
-NOT_ARTICLE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|disqus|replies|cookies?|consent|gdpr|notice|alert|dialog|footer|foot|footnav|header|masthead|menu|nav|navbar|navigation|newsletter|pagination|pager|popup|modal|overlay|promo\w*|"
-    r"related|recommend\w*|share|sharing|social|sidebar|sidenav|skip|sponsor\w*|subscribe|subscription|toolbar|widget|contentinfo|complementary|search|login|signup|toc)(?:$|[\s_-]|\d)",
+_BIT = {name: 1 << k for k, name in enumerate(sorted(set().union(*LIKE.values())))}
+_LIKE_BITS = {name: sum(_BIT[x] for x in likes) for name, likes in LIKE.items()}
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.IGNORECASE) for name in RAW}
+#: Words in names (class, id, role, label) that mark furniture, notices, adverts and reader comments.
+FURNITURE_WORD = re.compile(
+    r"(?:ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|disqus|replies|cookies?|consent|gdpr|notice|alert|dialog|footer|foot|footnav|header|masthead|menu|nav|navbar|navigation|newsletter|pagination|pager|popup|modal|overlay|promo\w*|"
+    r"related|recommend\w*|share|sharing|social|sidebar|sidenav|skip|sponsor\w*|subscribe|subscription|toolbar|widget|contentinfo|complementary|search|login|signup|toc)\d*\Z",
     re.IGNORECASE,
 )
 ARTICLE = re.compile(r"article|body|content|entry|main|page|post|story|text", re.IGNORECASE)
+#: First and last words of names that tell a state of the page, not what the element is.
+STATE_FIRST = frozenset("has have no with without is not js show hide".split())
+STATE_LAST = frozenset("open opened closed enabled disabled visible hidden active inactive on off collapsed expanded allowed layout".split())
+WORD_BOUND = re.compile(r"[_-]+|(?<=[a-z])(?=[A-Z])")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Their text belongs to the element around them, which is the container.
+PARAGRAPHS = HEADINGS | frozenset("p pre li td blockquote dd dt".split())
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 VALUE_OR_END = re.compile(r""">|=\s*(["'])""")
@@ -49,16 +65,38 @@ COMMAS = re.compile(r"[,،、，]")
 #: A sibling joins the best container from this share of its score.
 SIBLING_SHARE = 0.2
 LINKY = 0.5
+#: What of its points an element hands to the one around it.
+HANDED_ON = 0.5
+#: An element named furniture with more than this share of the page's prose may be a wrapper.
+WRAPPER_SHARE = 0.5
 
 
 class Node:
-    __slots__ = ("chars", "children", "drop", "links", "name", "parent", "score", "bonus")
+    __slots__ = ("bonus", "chars", "children", "drop", "in_p", "like", "links", "name", "named", "parent", "prose", "score")
 
-    def __init__(self, name: str, parent: Node | None, drop: bool, bonus: float):
-        self.name, self.parent, self.drop, self.bonus = name, parent, drop, bonus
+    def __init__(self, name: str, parent: Node | None, drop: bool = False, named: bool = False, bonus: float = 0.0):
+        self.name, self.parent, self.drop, self.named, self.bonus = name, parent, drop, named, bonus
         self.children: list = []  # nodes, and texts as (string, link characters)
         self.score = 0.0
-        self.chars = self.links = 0
+        self.chars = self.links = self.prose = 0
+        # Whether a p, and which elements of LIKE, are open around here within the scope: what a start tag may close.
+        scope = name in SCOPES or parent is None
+        self.in_p = name == "p" or (not scope and parent.in_p)
+        self.like = 0 if scope else parent.like | _BIT.get(name, 0)
+
+
+def _names(value: str) -> tuple[bool, bool]:
+    """Whether a class, id, role or label has a name of furniture, and one of an article."""
+    furniture = article = False
+    for name in value.split():
+        words = [w for w in WORD_BOUND.split(name) if w]
+        if not words or words[0].lower() in STATE_FIRST or words[-1].lower() in STATE_LAST:
+            continue
+        if any(map(FURNITURE_WORD.match, words)):
+            furniture = True
+        elif ARTICLE.search(name):
+            article = True
+    return furniture, article
 
 
 def _tag_end(page: str, at: int) -> int:
@@ -81,10 +119,11 @@ def _tag_end(page: str, at: int) -> int:
 
 def parse(page: str) -> Node:
     """The tree of block elements with their texts."""
-    root = Node("#root", None, False, 0)
+    root = Node("#root", None)
     node, pieces, in_link, linked = root, [], 0, 0
     at, size = 0, len(page)
-    low = None
+    open_of: Counter[str] = Counter()
+    endless: set[str] = set()  # raw elements without an end tag in the rest of the page
 
     def flush() -> None:
         nonlocal pieces, linked
@@ -100,6 +139,15 @@ def parse(page: str) -> Node:
         if in_link:
             linked += len(t.strip())
 
+    def close(names: frozenset[str] | set[str]) -> None:
+        """Closes the nearest open element of these names with all in it; there is one."""
+        nonlocal node
+        while True:
+            open_of[node.name] -= 1
+            found, node = node.name in names, node.parent
+            if found:
+                return
+
     while at < size:
         lt = page.find("<", at)
         if lt < 0:
@@ -133,25 +181,22 @@ def parse(page: str) -> Node:
                 in_link = 0
             elif name in BLOCKS:
                 flush()
-                up = node
-                while up is not root and up.name != name:
-                    up = up.parent
-                if up is not root:
-                    node = up.parent
+                if open_of[name]:
+                    close({name})
                 in_link = 0
             elif name == "br":
                 text(" ")
             continue
         if name in RAW:
-            if low is None:
-                low = page.lower() if len(page.lower()) == size else page
-            end = low.find("</" + name, at)
-            if end < 0:
-                end = size if name in ("script", "style") else at
-            at = end
+            end = None if name in endless else _RAW_END[name].search(page, at)
+            if end:
+                at = end.start()
+            else:
+                endless.add(name)
+                at = size if name in ("script", "style") else at
             if name not in BLOCKS:
-                if at < size and page.startswith("</", at):
-                    at = _tag_end(page, at + 2)
+                if end:
+                    at = _tag_end(page, end.end())
                 continue
         if name == "a":
             in_link = 1
@@ -162,35 +207,33 @@ def parse(page: str) -> Node:
         if name not in BLOCKS:
             continue
         flush()
-        if name in PARAGRAPH_ENDS:
-            up = node
-            while up is not root and up.name != "p" and up.name not in SCOPES:
-                up = up.parent
-            if up.name == "p":
-                node = up.parent
-        if name in LIKE:
-            up = node
-            while up is not root and up.name not in LIKE[name] and up.name not in SCOPES:
-                up = up.parent
-            while up.name in LIKE[name]:
-                node, up = up.parent, up.parent
+        if name in PARAGRAPH_ENDS and node.in_p:
+            close({"p"})
+        if node.like & _LIKE_BITS.get(name, 0):
+            close(LIKE[name])
+            while node.name in LIKE[name]:
+                close(LIKE[name])
         if name in VOID:
             continue
-        drop, bonus = name in FURNITURE or name == "title", 0.0
+        drop, named, bonus = name in FURNITURE, name == "form", 0.0
         tag = page[m.end() : at]
         if "=" in tag or "hidden" in tag:
+            article = False
             for key, value in ATTRIBUTE.findall(tag):
                 key, value = key.lower(), value.strip("\"'")
                 if key in ("class", "id", "role", "aria-label"):
-                    if NOT_ARTICLE.search(value) and name not in ("body", "html", "article", "main"):
-                        drop = True
-                    elif ARTICLE.search(value):
-                        bonus = 5.0
+                    x, y = _names(value)
+                    named, article = named or x, article or y
                 elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
                     drop = True
-        bonus += 10.0 if name in ("article", "main") else 0.0
-        child = Node(name, node, drop, bonus)
+            if name in ("body", "html", "article", "main") and article or name in ("body", "html"):
+                named = False
+            bonus = 5.0 if article and not named else 0.0
+            named = named and not (article and name != "form")
+        bonus += 10.0 if name in ("article", "main") and not named else 0.0
+        child = Node(name, node, drop, named, bonus)
         node.children.append(child)
+        open_of[name] += 1
         node = child
         in_link = 0
     flush()
@@ -198,7 +241,7 @@ def parse(page: str) -> Node:
 
 
 def _walk(root: Node) -> Iterator[Node]:
-    """Kept nodes, parents first."""
+    """Kept nodes, parents first, in page order."""
     stack = [root]
     while stack:
         node = stack.pop()
@@ -206,11 +249,44 @@ def _walk(root: Node) -> Iterator[Node]:
         stack += [c for c in reversed(node.children) if isinstance(c, Node) and not c.drop]
 
 
+def _drop_named(root: Node) -> None:
+    """Drops the elements named furniture, but for wrappers of the article."""
+    nodes = list(_walk(root))
+    if not any(n.named for n in nodes):
+        return
+    kinds = (lambda n: n.name == "main", lambda n: n.name == "h1", lambda n: n.name == "article", lambda n: n.bonus > 0)
+    starts: list[Node | None] = [None] * len(kinds)
+    for node in nodes:
+        node.prose = sum(len(c[0]) - c[1] for c in node.children if not isinstance(c, Node))
+        if not node.named:
+            for k, fits in enumerate(kinds):
+                if starts[k] is None and fits(node):
+                    starts[k] = node
+    for node in reversed(nodes):
+        if node.parent is not None:
+            node.parent.prose += node.prose
+    around, up = set(), next((s for s in starts if s is not None), None)  # what the article begins with, and all around it
+    while up is not None:
+        around.add(up)
+        up = up.parent
+    # The prose outside such elements is what a wrapper has to hold the larger part of: long comments do not count.
+    inside, others = set(), 0
+    for node in nodes:
+        if node.parent in inside:
+            inside.add(node)
+        elif node.named and node not in around:
+            inside.add(node)
+            others += node.prose
+    for node in nodes:
+        node.drop = node.drop or (node.named and not (node in around and node.prose > WRAPPER_SHARE * (root.prose - others)))
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks in page order, joined by one space."""
     if not page:
         return ""
     root = parse(page)
+    _drop_named(root)
     nodes = list(_walk(root))
     for node in nodes:
         for c in node.children:
@@ -220,21 +296,18 @@ def main_text(page: str | None) -> str:
             node.chars += len(text)
             node.links += links
             points = (1 + len(COMMAS.findall(text)) + min(len(text) / 100, 3)) * (1 - links / len(text))
-            # A paragraph's own element holds it; the container is the element around it.
-            up = node.parent if node.parent is not None and node.name in ("p", "pre", "li", "td", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "dd", "dt") else node
-            level = 0
-            while up is not None and level < 10:
-                up.score += points / max(1, 2 * level)
-                up, level = up.parent, level + 1
+            holder = node.parent if node.name in PARAGRAPHS else node
+            holder.score += points
     for node in reversed(nodes):
         if node.parent is not None:
+            node.parent.score += HANDED_ON * node.score
             node.parent.chars += node.chars
             node.parent.links += node.links
     final = {}
     for node in nodes:
         density = node.links / node.chars if node.chars else 0.0
         final[node] = (node.score + node.bonus * bool(node.score)) * (1 - density)
-    boxes = [n for n in nodes if n.score > 0 and n.name not in ("p", "h1", "h2", "h3", "h4", "h5", "h6")]
+    boxes = [n for n in nodes if n.score > 0 and n.name != "p" and n.name not in HEADINGS]
     if not boxes:
         return ""
     best = max(boxes, key=final.__getitem__)
@@ -247,9 +320,8 @@ def main_text(page: str | None) -> str:
                 chosen.append(c)
             elif isinstance(c, Node):
                 if not c.drop and c.chars and c.links < LINKY * c.chars:
-                    heading = c.name in ("h1", "h2", "h3", "h4", "h5", "h6")
                     prose = c.name == "p" and c.links < 0.25 * c.chars
-                    if heading or prose or final[c] >= need:
+                    if c.name in HEADINGS or prose or final[c] >= need:
                         chosen.append(c)
             elif best.parent.name not in ("body", "html", "#root") and c[1] == 0 and SENTENCE.search(c[0]):
                 chosen.append(c)

@@ -3,6 +3,7 @@ import hashlib
 import random
 import re
 import string
+import time
 
 from pyspark.sql import functions as F
 
@@ -92,6 +93,82 @@ def test_main_text_long_attributes():
     assert main_text.main_text("<p>x</p>" + "<a b='>' " * 100_000 + "c='") == "x"
 
 
+def test_main_text_wrappers():
+    article = "<h1>Title here</h1><p>One, two, three and more words, of an article.</p><p>Second, long enough, with commas.</p>"
+    whole = "Title here One, two, three and more words, of an article. Second, long enough, with commas."
+    comments = '<div id="comments"><p>' + "Nice, long, comment, indeed. " * 30 + "</p></div>"
+    for name in ("content has-sidebar", "post comments-open", "site-content menu-open", "social-science", "sidebar-layout", "no-ads", "wrapperWithMenu", "plain"):
+        page = f'<body><nav><a href=x>Home</a></nav><div class="{name}">{article}</div>{comments}<div class="ad">Buy, buy, buy, now.</div></body>'
+        assert main_text.main_text(page) == whole, name
+    for name in ("sidebar", "site-footer", "siteFooter", "post-comments", "ad1", "cookie-banner", "related posts"):
+        assert main_text.main_text(f'<div class="content">{article}</div><div class="{name}">{comments}</div>') == whole, name
+    assert main_text.main_text("<form id=all>" + article + "<form class=mail><p>Your, mail</p></form>") == whole
+    assert main_text.main_text('<div class="ad">Buy, buy</div>') == ""
+
+
+def test_main_text_repairs():
+    assert main_text.main_text("\u0130<article><p>First, one, two.</p><SCRIPT>x='</p>'</Script ><p>Second, one.</p></article>") == "First, one, two. Second, one."
+    assert main_text.main_text("<article><p>A, b.</p><script>var s='</scripts>';</script><p>C, d.</p></article>") == "A, b. C, d."
+    started = time.time()
+    assert main_text.main_text("<div><p>" + "<div>" * 20_000 + "deep, text" + "</p></section>" * 20_000) == "deep, text"
+    assert main_text.main_text("<center>" * 20_000 + "deep" + "<hr>" * 20_000) == "deep"
+    main_text.main_text("<textarea>" * 20_000 + "x")
+    assert time.time() - started < 5
+    box = "<table><tr><td><div><p>{}</p></div></td></tr></table>"
+    assert main_text.main_text(box.format("One, two, six.") + box.format("Uno, dos, six.")) == "One, two, six."  # of equal ones the first
+
+
+def slow_scores(root):
+    """The definition by itself: every text's points to each container around it, halved a level, less its links' share."""
+    texts = []
+
+    def texts_in(node, around):
+        for c in node.children:
+            if isinstance(c, main_text.Node):
+                if not c.drop:
+                    texts_in(c, [*around, c])
+            else:
+                texts.append((c, around))
+
+    texts_in(root, [root])
+    scores = {}
+    for (text, links), around in texts:
+        points = (1 + len(re.findall("[,،、，]", text)) + min(len(text) / 100, 3)) * (len(text) - links) / len(text)
+        holders = around if around[-1].name not in main_text.PARAGRAPHS else around[:-1]
+        for level, node in enumerate(reversed(holders)):
+            scores[node] = scores.get(node, 0) + points / 2**level
+    out = {}
+    for node, s in scores.items():
+        held = [c for c, around in texts if node in around]
+        out[node] = (s + node.bonus) * (1 - sum(c[1] for c in held) / sum(len(c[0]) for c in held))
+    return out
+
+
+def test_main_text_scores_as_defined(monkeypatch):
+    r = random.Random(8)
+
+    def block(depth):
+        kind = r.choice(["div", "section", "td", "ul", "p", "p", "h2", "article", "div class=content", "div id=side", "nav"])
+        if depth == 0 or kind in ("p", "h2"):
+            words = prose(r, r.randrange(4, 60), 1).replace(" ", r.choice([" ", ", "]))
+            return f"<{kind}>{words}" + (f"<a href=x>{words[:20]}</a>" if r.random() < 0.4 else "") + f"</{kind.split()[0]}>"
+        return f"<{kind}>" + "".join(block(depth - 1) for _ in range(r.randrange(1, 4))) + f"</{kind.split()[0]}>"
+
+    seen = []
+    parse = main_text.parse
+    monkeypatch.setattr(main_text, "parse", lambda page: seen.append(parse(page)) or seen[-1])
+    for _ in range(200):
+        page = "".join(block(4) for _ in range(3))
+        text = main_text.main_text(page)
+        scores = {n: s for n, s in slow_scores(seen[-1]).items() if n.name != "p" and n.name not in main_text.HEADINGS and n.score > 0}
+        if not scores:
+            assert text == ""
+            continue
+        best = max(scores.values())
+        own = [" ".join(main_text._texts([n])) for n, s in scores.items() if s > best - 1e-9]
+        assert any(x in text for x in own)
+
+
 def brute_counts(text):
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
