@@ -43,6 +43,31 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def woven_calls(turns: DataFrame) -> DataFrame:
+    """Conversations as agents: each assistant turn k calls tools as c<k> (after c<k - 2>), d<k> (after that and c<k>) and e, user turns answer c<k - 1>, or nothing in every seventh."""
+    k = F.col("turn")
+    name = lambda x, i: F.concat(F.lit(x), i.cast("string"))
+    before = F.when(k >= 2, F.array(name("c", k - 2))).otherwise(F.array().cast("array<string>"))
+    call = lambda i, tool, arguments, after: F.to_json(F.struct(after.alias("after"), arguments.alias("arguments"), i.alias("id"), F.lit(tool).alias("name")))
+    none = F.array().cast("array<string>")
+    calls = [
+        call(name("c", k), "search", F.struct((k % 4).alias("limit"), F.col("text").alias("query")), before),
+        call(name("d", k), "weather", F.struct(F.col("role").alias("city"), (k / 2).alias("days"), k.alias("hours")), F.concat(before, F.array(name("c", k)))),
+        call(F.lit("e"), "calculate", F.struct(k.alias("expression")), none),
+    ]
+    said = F.regexp_replace(F.to_json(F.struct(F.col("text").alias("content"))), r"\}$", "")
+    asked = F.concat(F.lit(" "), said, F.lit(',"tool_calls":['), F.concat_ws(",", *calls), F.lit("]}"))
+    answer = F.to_json(F.struct(F.col("text").alias("content"), F.when(k % 7 == 3, "none").otherwise(name("c", k - 1)).alias("tool_call_id")))
+    text = F.when(F.col("role") == "assistant", asked).when((F.col("role") == "user") & (k > 0), answer).otherwise(F.col("text"))
+    role = F.when((F.col("role") == "user") & (k > 0), "tool").otherwise(F.col("role"))
+    return turns.where("text is not null and turn is not null").select("conv_id", "turn", role.alias("role"), text.alias("text"))
+
+
+def chat_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 6 on the same table with tool calls woven in, as the table has none."""
+    return chat_format.format_chats(woven_calls(table(spark, sf_dir, "conversations")))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -61,8 +86,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (op1_byte_bpe, op2_url_filter, op3_ordinal_quality, op4_main_text, op5_token_files, op6_chat_format, op7_decontaminate, op8_jaccard_join, op9_quality_rules, op10_secret_scan)
-    return {f.__name__: f for f in every}
+    return {f.__name__: f for f in (*every, chat_calls)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_format": sql.CHAT_FORMAT, "op7_decontaminate": sql.CONTAMINATED, "op8_jaccard_join": sql.JACCARD_JOIN, "op9_quality_rules": sql.QUALITY_RULES}
+    return {"op6_chat_format": sql.CHAT_FORMAT, "chat_calls": sql.CHAT_CALLS, "op7_decontaminate": sql.CONTAMINATED, "op8_jaccard_join": sql.JACCARD_JOIN, "op9_quality_rules": sql.QUALITY_RULES}

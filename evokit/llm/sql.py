@@ -21,6 +21,27 @@ SELECT conv_id, turn, turn AS pos_turn, 0::INTEGER AS pos_level, 0::INTEGER AS p
 FROM conversations
 """
 
+#: The calls that ``chat_calls`` weaves in, linked by their own rules: levels by following every chain of calls.
+CHAT_CALLS = """
+WITH RECURSIVE t AS (SELECT conv_id, turn, role, text, (role = 'user' AND turn > 0) AS answers FROM conversations WHERE text IS NOT NULL AND turn IS NOT NULL),
+c AS (SELECT conv_id, turn, 0 AS place, 'c' || turn AS id, 'search' AS name, to_json({'limit': turn % 4, 'query': text})::VARCHAR AS arguments, CASE WHEN turn >= 2 THEN ['c' || (turn - 2)] ELSE [] END AS after, '' AS errors FROM t WHERE role = 'assistant'
+UNION ALL SELECT conv_id, turn, 1, 'd' || turn, 'weather', '{"city":"' || role || '","days":' || CASE WHEN turn % 2 = 0 THEN (turn // 2)::VARCHAR ELSE (turn // 2)::VARCHAR || '.5' END || ',"hours":' || turn || '}',
+    CASE WHEN turn >= 2 THEN ['c' || (turn - 2), 'c' || turn] ELSE ['c' || turn] END, CASE WHEN turn % 2 = 1 THEN 'days is no integer; unknown hours' ELSE 'unknown hours' END FROM t WHERE role = 'assistant'
+UNION ALL SELECT conv_id, turn, 2, 'e', 'calculate', '{"expression":' || turn || '}', [], 'expression is no string' FROM t WHERE role = 'assistant'),
+first AS (SELECT conv_id, id, min({'turn': turn, 'place': place}) AS pos FROM c GROUP BY 1, 2),
+need AS (SELECT DISTINCT conv_id, c.id, n.need FROM c, unnest(after) n(need) WHERE EXISTS (SELECT 1 FROM first f WHERE f.conv_id = c.conv_id AND f.id = n.need)),
+walk AS (SELECT conv_id, id, 0 AS level FROM first UNION SELECT n.conv_id, n.id, w.level + 1 FROM walk w JOIN need n ON n.conv_id = w.conv_id AND n.need = w.id),
+lv AS (SELECT conv_id, id, max(level) AS level FROM walk GROUP BY 1, 2),
+r AS (SELECT conv_id, turn, text, CASE WHEN turn % 7 = 3 THEN 'none' ELSE 'c' || (turn - 1) END AS id FROM t WHERE answers)
+SELECT conv_id, turn, turn AS pos_turn, 0::INTEGER AS pos_level, 0::INTEGER AS pos_call, 0::INTEGER AS pos_kind, 'message' AS status, '' AS errors,
+    to_json({'content': text, 'conv_id': conv_id, 'role': role, 'turn': turn})::VARCHAR AS line FROM t WHERE NOT coalesce(answers, false)
+UNION ALL SELECT c.conv_id, c.turn, c.turn, lv.level::INTEGER, c.place, 1, CASE WHEN c.turn <> pos.turn OR c.place <> pos.place THEN 'duplicate' WHEN EXISTS (SELECT 1 FROM r WHERE r.conv_id = c.conv_id AND r.id = c.id) THEN 'linked' ELSE 'unanswered' END, c.errors,
+    '{"arguments":' || c.arguments || ',"conv_id":' || c.conv_id || ',"id":"' || c.id || '","name":"' || c.name || '","role":"call","turn":' || c.turn || '}'
+    FROM c JOIN first USING (conv_id, id) JOIN lv USING (conv_id, id)
+UNION ALL SELECT r.conv_id, r.turn, coalesce(pos.turn, r.turn), coalesce(lv.level, 0), coalesce(pos.place, 0), 2, CASE WHEN pos IS NULL THEN 'orphan' ELSE 'result' END, '',
+    to_json({'content': text, 'conv_id': r.conv_id, 'id': r.id, 'role': 'tool', 'turn': r.turn})::VARCHAR FROM r LEFT JOIN first USING (conv_id, id) LEFT JOIN lv USING (conv_id, id)
+"""
+
 #: Words of benchmark items and documents, shingles of five words (of all, where an item has fewer).
 CONTAMINATED = rf"""
 WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),

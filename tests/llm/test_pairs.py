@@ -2,7 +2,9 @@ import itertools
 import json
 import random
 import re
+from decimal import Decimal
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ import corpus_pipeline
 from evokit.llm import chat_format, decontaminate, jaccard_join, quality_rules, secret_scan
 from evokit.llm import queries as llm_queries
 from tests.llm.test_text import prose
+from tests.test_queries import rows as rows_of
 
 
 def shingles(words, k=5):
@@ -156,6 +159,47 @@ def test_chat_text_of_call_turns(spark):
     assert got == expected
 
 
+def brute_levels(after):
+    """{id: level} of {id: ids it follows}, by taking calls off whose predecessors are done."""
+    level, left = {}, {i: [x for x in xs if x in after] for i, xs in after.items()}
+    while ready := [i for i, xs in left.items() if all(x in level for x in xs)]:
+        level |= {i: 1 + max((level[x] for x in left.pop(i)), default=-1) for i in ready}
+    return level | dict.fromkeys(left, -1)
+
+
+def test_chat_levels(spark):
+    r = random.Random(5)
+    graphs = [{f"c{k}": [f"c{k - 1}"] if k else [] for k in range(70)}, {"a": ["b"], "b": ["c"], "c": ["a"], "d": ["a"], "e": ["d", "f"], "f": [], "g": ["g"], "h": ["f", "gone"]}]
+    graphs += [{f"c{k}": [f"c{r.randrange(k + r.choice([0, 0, 0, 2]))}" for _ in range(r.choice([0, 1, 1, 1, 2, 3])) if k] for k in range(30)} for _ in range(6)]
+    rows = [(g, 0, "assistant", "\n " + json.dumps({"tool_calls": [{"id": i, "name": "calculate", "arguments": {"expression": "1"}, "after": xs} for i, xs in after.items()]})) for g, after in enumerate(graphs)]
+    rows += [rows[0], (None, 0, "assistant", rows[0][3])]
+    out = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    got = {(x.conv_id, json.loads(x.line)["id"]): (x.pos_level, x.status) for x in out if x.conv_id is not None}
+    expected = {(g, i): (v, "cycle" if v < 0 else "unanswered") for g, after in enumerate(graphs) for i, v in brute_levels(after).items()}
+    assert got == expected and len(out) == sum(map(len, graphs)) + 2 * len(graphs[0])
+
+
+def test_chat_numbers(spark):
+    numbers = "0 -0 -0.0 1.0 1.50 -2.5 1e2 1E-7 1.5e3 12345678.25 1e22 -3.25e-5 0.1 100 123456789012345678901234567890".split()
+    rows = [(k, 0, "tool", f'{{"tool_call_id":"a","content":{{"x":[{v}],"y":"{v} \\" 1.0"}}}}') for k, v in enumerate(numbers)]
+    rows += [(100, 0, "assistant", json.dumps({"tool_calls": [{"id": "a", "name": "weather", "arguments": {"city": "1.0", "days": v}} for v in (1.0, 1.5, 2, 1e2)]}))]
+    out = sorted(chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect(), key=lambda x: (x.conv_id, x.pos_call))
+    for x, v in zip(out, numbers, strict=False):
+        plain = format(Decimal(v), "f")
+        plain = "0" if float(v) == 0 else plain.rstrip("0").rstrip(".") if "." in plain else plain
+        assert f'"content":{{"x":[{plain}],"y":"{v} \\" 1.0"}}' in x.line, (v, x.line)
+    assert [x.errors for x in out[-4:]] == ["", "days is no integer", "", ""] and '"arguments":{"city":"1.0","days":100}' in out[-1].line
+
+
+def test_sql(spark):
+    """The queries with SQL against it, on the smallest tables."""
+    duck = duckdb.connect()
+    for name in ("documents", "benchmark", "conversations", "pages"):
+        duck.sql(f"CREATE VIEW {name} AS SELECT * FROM '/root/testdata/sf0.001/{name}.parquet'")
+    for name, text in llm_queries.oracle_sql().items():
+        assert rows_of(llm_queries.queries()[name](spark, "/root/testdata/sf0.001").toPandas()) == rows_of(duck.sql(text).df()), name
+
+
 def test_pipeline(spark, tmp_path):
     r = random.Random(11)
     item = prose(r, 40, 2)
@@ -181,7 +225,7 @@ def test_pipeline(spark, tmp_path):
 
 def test_registered():
     names = list(llm_queries.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{k}" for k in range(1, 11)] and names[10:] == ["chat_calls"]
     assert len(corpus_pipeline.STAGES) == 5 and set(llm_queries.oracle_sql()) < set(names)
 
 
