@@ -6,10 +6,9 @@ from decimal import Decimal
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline
-from evokit.llm import chat_format, decontaminate, jaccard_join, quality_rules, secret_scan
+from evokit.llm import chat_format, decontaminate, jaccard_join, quality_rules
 from evokit.llm import queries as llm_queries
 from tests.llm.test_text import prose
 from tests.test_queries import rows as rows_of
@@ -233,4 +232,3 @@ def test_native_plans(spark):
     d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     for df in (quality_rules.judge(d), quality_rules.clean(d), decontaminate.contaminated(d, d.withColumnRenamed("doc_id", "item_id"))):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
-    assert "ArrowEvalPython" not in secret_scan.digests(d).select(F.col("doc_id"))._jdf.queryExecution().executedPlan().toString()

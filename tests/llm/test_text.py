@@ -212,6 +212,37 @@ def brute_spans(text):
     return sorted(out)
 
 
+def test_battery_by_length():
+    """Names of the model are discoveries as seldom as stated; random keys the more often the longer they are."""
+    r = random.Random(3)
+    alphabet = string.ascii_letters + string.digits
+    found = {}
+    for n in (20, 32, 48, 64, 200):
+        names = [secret_scan.evidence(secret_scan._name(r, "base62", n)) or 0 for _ in range(400)]
+        assert sum(x > 2 for x in names) <= 16 and sum(x > 3 for x in names) <= 4
+        keys = [secret_scan.evidence("".join(r.choices(alphabet, k=n))) or 0 for _ in range(100)]
+        counts = collections.Counter(int(x / secret_scan.BIN_WIDTH) for x in names + keys)
+        least = secret_scan.least_bin(counts)
+        found[n] = sum(int(x / secret_scan.BIN_WIDTH) >= least for x in keys)
+        assert sum(int(x / secret_scan.BIN_WIDTH) >= least for x in names) <= 3
+    assert found[20] >= 10 and found[32] >= 60 and found[48] >= 95 and found[64] >= 98 and found[200] >= 98, found
+    for name in ("CamelCaseIdentifierNumberOne2", "some-long-slug-with-2023-05-17-in-it", "a" * 30 + "1", "0" * 40 + "a", "abcdefghijklmnopqrstuvwxyz0123456789", "2023-05-17T12-30-00-000000Z"):
+        assert (secret_scan.evidence(name) or 0) < 2, name
+    long = "".join(r.choices(alphabet, k=50_000))
+    assert secret_scan.evidence(long) > 3 and secret_scan.evidence("sk-live-" + long[:48]) > 3 and secret_scan.evidence(long[:19]) is None
+
+
+def test_discoveries_as_by_definition():
+    r = random.Random(4)
+    for _ in range(300):
+        bins = [min(2000, int(r.expovariate(1 / r.choice([15, 60, 200])))) for _ in range(r.randrange(1, 60))]
+        p = sorted(10 ** (-b * secret_scan.BIN_WIDTH) if b else 1.0 for b in bins)
+        allowed = [x for i, x in enumerate(p, 1) if x <= 0.05 * i / len(p)]
+        least = secret_scan.least_bin(collections.Counter(bins), 0.05)
+        assert sorted(b for b in bins if b >= least) == sorted(b for b in bins if allowed and b and 10 ** (-b * secret_scan.BIN_WIDTH) <= max(allowed))
+    assert secret_scan.least_bin({}) == secret_scan.BINS
+
+
 def test_secrets(spark):
     r = random.Random(6)
     codes = ["".join(r.choices(string.ascii_letters + string.digits, k=48)) for _ in range(20)]
@@ -231,4 +262,11 @@ def test_secrets(spark):
     assert texts[i][a:b] == codes[i - 10]
     masked = {x.doc_id: x for x in secret_scan.mask(docs).collect()}
     assert masked[5].text == "x [access] y" and masked[5].n_chars == 12 and masked[0].text is None and codes[i - 10] not in masked[i].text and masked[35].text == texts[35]
-    assert secret_scan.digests(docs.where("false")).count() == 0
+    assert got[5].n_noise == 0 and got[7].n_noise == 0 and sum(x.n_random for x in got.values()) == len(found)
+    keyed = "token=" + codes[0] + ", " + codes[1]
+    two = spark.createDataFrame([(1, keyed), (1, keyed), (None, None)], "doc_id long, text string")
+    for x in secret_scan.digests(two).where("doc_id = 1").collect():
+        assert (x.n_assign, x.n_random, x.n_noise) == (1, 1, 1) and x.spans == "assign:0:54,random:56:104"
+    assert secret_scan.digests(docs.where("false")).count() == 0 == secret_scan.mask(docs.where("false")).count()
+    many = " ".join(["password=hunter2hunter2", codes[2]] * 3000)
+    assert len(secret_scan.tested_spans(many)) == 6000
