@@ -6,6 +6,7 @@ from decimal import Decimal
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from evokit.llm import chat_format, decontaminate, jaccard_join, quality_rules
@@ -48,13 +49,31 @@ def test_decontamination(spark):
             expected[i, j] = (len(s), found)
     got = {(x.doc_id, x.item_id): (x.n_shingles, x.n_found) for x in decontaminate.contaminated(d, b).collect()}
     assert got == expected and len(got) >= 10
-    kept = decontaminate.clean(d, b)
-    assert kept.columns == d.columns
-    ids = [x.doc_id for x in kept.collect()]
-    assert set(ids) == ({i for i in range(len(docs))} | {None}) - {i for i, _ in expected}
+    # Rows are judged by their own text: (None, docs[20]) goes, and what shares its id with a document that goes stays.
+    more = d.unionByName(spark.createDataFrame([(20, docs[0], "c"), (None, docs[1], "c"), (None, None, "c")], d.schema)).withColumn("text_key", F.lit(1))
+    kept = decontaminate.clean(more, b)
+    assert kept.columns == more.columns
+    ids = [(x.doc_id, x.text) for x in kept.collect()]
+    clean = [(i, t) for i, t in enumerate(docs) if i not in {i for i, _ in expected}] + [(20, docs[0]), (None, docs[1]), (None, None)]
+    assert sorted(map(str, ids)) == sorted(map(str, clean))
+    assert decontaminate.clean(d.where("false"), b).count() == 0 and decontaminate.clean(d, b.where("false")).count() == d.count()
     assert decontaminate.contaminated(d.where("false"), b).count() == 0 == decontaminate.contaminated(d, b.where("false")).count()
 
 
+def test_sketches_lose_nothing(spark):
+    """Whatever a document lacks of an item, up to the threshold, enough of the sketch is left; and the sketch is a part only."""
+    items = [(n, " ".join(f"w{n}x{i}" for i in range(n + 4))) for n in (*range(1, 60), 100, 200, 500, 3000)]
+    shingles = decontaminate.item_shingles(spark.createDataFrame(items, "item_id long, text string"))
+    by = {}
+    for x in decontaminate.sketches(shingles).collect():
+        by.setdefault(x.item, []).append(x)
+    for n, _ in items:
+        rows, lacks = by[n], int(0.2 * n + 1e-9)
+        assert {x.n for x in rows} == {n} and len({(x.bound, x.need) for x in rows}) == 1
+        assert 1 <= rows[0].need == len(rows) - lacks and rows[0].need >= 0.25 * lacks - 1
+    assert len(by[3000]) < 1300 and len(by[200]) < 120
+
+
 def brute_classes(rows):
     """{id: (class, links)} of (id, text) rows with distinct ids."""
     sets = {i: shingles((t or "").encode().split()) for i, t in rows}
