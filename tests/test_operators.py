@@ -191,6 +191,14 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUB", 30)
+    edges = [(5, 1000 + i) for i in range(200)] + [(1000 + i, 3000 + i) for i in range(150)] + [(3000 + i, 3 if i == 7 else 5000 + i) for i in range(40)] + [(9000 + i, 8000) for i in range(60)]
+    got = {x.node: x.component for x in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    nodes = {v for e in edges for v in e}
+    assert got == {v: 8000 if v >= 8000 else 3 for v in nodes}
+
+
 def test_encoders_and_scalars(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), (None,), ("c",)], "v string")
     assert [(x.v, x.code) for x in encoders.label_codes(df, "v").orderBy("code").collect()] == [("a", 0), ("b", 1), ("c", 2)]
