@@ -326,8 +326,26 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = TARGET_RECALL, k: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each class, the one of the least id; rows without an id stay."""
-    found = near_duplicates(docs, threshold, recall, k, id_col, text_col)
-    others = found.where(F.col(id_col) != F.col("class_id")).select(id_col).distinct()
-    kept = docs.where(F.col(id_col).isNotNull()).join(others, id_col, "left_anti").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
+    """``docs`` with one document of each class: the one of the least id.
+
+    Each row is judged by its own text: rows without an id, and those whose id another text has too, are told apart by a hash
+    of id and text that is greater than any id below 2^62. Rows that repeat an id and its text are one document, of which one row stays.
+    """
+    own = "row_key"
+    while own in {c.lower() for c in docs.columns}:
+        own += "_"
+    stand_in = F.lit(1 << 62) + F.xxhash64(id_col, text_col).bitwiseAND(F.lit((1 << 62) - 1))
+    tie = F.xxhash64(F.lit(31), text_col)
+    # Ids with several texts: found from two hashes an id, without the texts.
+    several = cut(docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(own)).agg(F.min(tie).alias("a"), F.max(tie).alias("b")).where("a <> b").select(own))
+    few = several.limit(BROADCAST_ROWS + 1).count()
+    keyed = docs.withColumn(own, F.col(id_col).cast("long"))
+    if few:
+        several = several.withColumn("several", F.lit(True)).withColumnsRenamed({own: f"{own}2", "several": f"{own}3"})
+        keyed = keyed.join(F.broadcast(several) if few <= BROADCAST_ROWS else several, F.col(own) == F.col(f"{own}2"), "left")
+        keyed = keyed.withColumn(own, F.when(F.col(own).isNull() | F.col(f"{own}3"), stand_in).otherwise(F.col(own))).select(*docs.columns, own)
+    else:
+        keyed = keyed.withColumn(own, F.coalesce(own, stand_in))
+    found = near_duplicates(keyed, threshold, recall, k, own, text_col)
+    others = found.where(F.col(own) != F.col("class_id")).select(own).distinct()
+    return keyed.join(others, own, "left_anti").dropDuplicates([own]).select(*docs.columns)

@@ -120,7 +120,14 @@ def test_jaccard_edges(spark):
     d = spark.createDataFrame([(5, t), (5, t), (7, t), (None, t), (None, None), (9, prose(r))], "doc_id long, text string")
     got = sorted((x.doc_id or -1, x.class_id, x.n_links) for x in jaccard_join.near_duplicates(d).collect())
     assert got == [(-1, None, 0), (-1, None, 0), (5, 5, 1), (5, 5, 1), (7, 5, 1), (9, 9, 0)]
-    assert sorted((x.doc_id or -1) for x in jaccard_join.keep_one(d).collect()) == [-1, -1, 5, 9]
+    # The row without an id that copies 5 goes; the one without a text stays.
+    assert sorted((x.doc_id or -1) for x in jaccard_join.keep_one(d).collect()) == [-1, 5, 9]
+    other, third = prose(r), prose(r)
+    more = d.unionByName(spark.createDataFrame([(9, t), (9, other), (9, other), (None, other), (None, third), (None, third)], d.schema)).withColumn("row_key", F.lit("c"))
+    kept = jaccard_join.keep_one(more)
+    assert kept.columns == more.columns
+    left = kept.collect()
+    assert [x.doc_id for x in left if x.text == t] == [5] and sum(x.text == other for x in left) == 1 and [x.doc_id for x in left if x.text == third] == [None] and len(left) == 5
     assert jaccard_join.near_duplicates(d.where("false")).count() == 0
     assert jaccard_join.runs_for(0.99) > jaccard_join.runs_for(0.9) >= 1
 
