@@ -28,11 +28,14 @@ ENDINGS = r"[.!?…。！？:;][\"'”’»)\]*_]*" + SPACE + r"*\z"
 #: A line of so many words with a sentence end inside passes although its last sentence was cut off.
 INNER_END = r"[.!?…]" + SPACE
 CLIPPED_WORDS = 20
-#: Phrases of notices, site furniture and licence lines.
+#: Phrases of notices, site furniture and licence lines, in English, German, French and Spanish.
 BOILERPLATE = [
     "all rights reserved", "privacy policy", "cookie policy", "use of cookies", "uses cookies", "accept cookies", "terms of use", "terms of service", "terms and conditions",
     "enable javascript", "lorem ipsum", "sign in", "log in to", "sign up for", "subscribe to", "newsletter", "click here", "read more", "share this", "follow us", "skip to content", "back to top",
     "licensed under", "released under the", "copyright (c)", "copyright ©",
+    "alle rechte vorbehalten", "datenschutzerklärung", "verwendet cookies", "cookies akzeptieren", "nutzungsbedingungen", "jetzt anmelden", "newsletter abonnieren", "hier klicken", "weiterlesen", "zum seitenanfang", "lizenziert unter",
+    "tous droits réservés", "politique de confidentialité", "utilise des cookies", "accepter les cookies", "conditions d'utilisation", "cliquez ici", "lire la suite", "suivez-nous", "retour en haut", "sous licence",
+    "todos los derechos reservados", "política de privacidad", "utiliza cookies", "aceptar cookies", "términos de uso", "iniciar sesión", "haga clic aquí", "leer más", "síguenos", "volver arriba", "bajo licencia", "bajo la licencia",
 ]
 MIN_WORDS = 50
 MAX_REPEATED = 50
@@ -54,7 +57,7 @@ def line_passes(line: Column, marks: Column) -> Column:
     navigation = marks.links & (_count(line, SEPARATORS) >= 3) & (_count(line, SEPARATORS) * 5 >= words)
     symbols = marks.symbols & (_count(line, SYMBOLS) > MAX_SYMBOL_SHARE * F.length(line))
     shouting = marks.shouts & (F.regexp_count(line, F.lit(r"[!?]{2,}")) * 5 > words)
-    phrases = marks.phrases & line.rlike("(?i)" + "|".join(p.replace("(", r"\(").replace(")", r"\)") for p in BOILERPLATE))
+    phrases = marks.phrases & line.rlike("(?iu)" + "|".join(p.replace("(", r"\(").replace(")", r"\)") for p in BOILERPLATE))
     ends = F.right(F.rtrim(line), F.lit(6)).rlike(ENDINGS)
     clipped = line.rlike(INNER_END) & (words >= CLIPPED_WORDS)
     return (ends | clipped) & ~navigation & ~symbols & ~shouting & ~phrases
