@@ -335,17 +335,17 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = TARG
     while own in {c.lower() for c in docs.columns}:
         own += "_"
     stand_in = F.lit(1 << 62) + F.xxhash64(id_col, text_col).bitwiseAND(F.lit((1 << 62) - 1))
-    tie = F.xxhash64(F.lit(31), text_col)
-    # Ids with several texts: found from two hashes an id, without the texts.
-    several = cut(docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(own)).agg(F.min(tie).alias("a"), F.max(tie).alias("b")).where("a <> b").select(own))
-    few = several.limit(BROADCAST_ROWS + 1).count()
+    # Ids that rows share, and whether their texts differ: found from a hash a row, without the texts.
+    tie, differ, again = F.xxhash64(F.lit(31), text_col), f"{own}2", f"{own}3"
+    counts = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias(own)).agg(F.count("*").alias("n"), F.min(tie).alias("a"), F.max(tie).alias("b"))
+    shared = cut(counts.where("n > 1").select(own, (F.col("a") != F.col("b")).alias(differ)))
+    few = shared.limit(BROADCAST_ROWS + 1).count()
     keyed = docs.withColumn(own, F.col(id_col).cast("long"))
-    if few:
-        several = several.withColumn("several", F.lit(True)).withColumnsRenamed({own: f"{own}2", "several": f"{own}3"})
-        keyed = keyed.join(F.broadcast(several) if few <= BROADCAST_ROWS else several, F.col(own) == F.col(f"{own}2"), "left")
-        keyed = keyed.withColumn(own, F.when(F.col(own).isNull() | F.col(f"{own}3"), stand_in).otherwise(F.col(own))).select(*docs.columns, own)
-    else:
-        keyed = keyed.withColumn(own, F.coalesce(own, stand_in))
+    keyed = keyed.join(F.broadcast(shared) if few <= BROADCAST_ROWS else shared, own, "left") if few else keyed.withColumn(differ, F.lit(None).cast("boolean"))
+    apart = F.col(own).isNull() | F.coalesce(differ, F.lit(False))
+    keyed = keyed.select(*docs.columns, F.when(apart, stand_in).otherwise(F.col(own)).alias(own), (F.col(own).isNull() | F.col(differ).isNotNull()).alias(again))
     found = near_duplicates(keyed, threshold, recall, k, own, text_col)
     others = found.where(F.col(own) != F.col("class_id")).select(own).distinct()
-    return keyed.join(others, own, "left_anti").dropDuplicates([own]).select(*docs.columns)
+    kept = keyed.join(others, own, "left_anti")
+    # Only rows that may be repeated are shuffled to drop repeats.
+    return kept.where(~F.col(again)).unionByName(kept.where(again).dropDuplicates([own])).select(*docs.columns)
