@@ -39,6 +39,49 @@ def test_urls(spark):
     assert sum(judged[i] == v for i, (_, v) in enumerate(held)) >= 5
 
 
+def brute_parts(url):
+    """Host, path and rule by the contract, from string operations alone."""
+    if url is None or "://" not in url:
+        return "", "", None
+    rest = url[url.index("://") + 3 :]
+    host_end = min((rest.find(c) for c in "/?#" if c in rest), default=len(rest))
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:host_end])
+    tail = rest[host_end:]
+    path = tail[: min((tail.find(c) for c in "?#" if c in tail), default=len(tail))]
+    fits = [h + p for _, h, p in url_filter.RULES if ("." + host).endswith("." + h) and path.startswith(p)]
+    return host, path, max(fits, key=len, default=None)
+
+
+def test_url_rules_by_brute_force(spark):
+    r = random.Random(7)
+    parts = ["http", "://", "://", "example.com", "Example.NET", "a.", ".org", "com", "net", "/en/", "/de/8", "/es/", "/en/7", "?", "#", "É", "x", "/", "..", " ", "\n"]
+    urls = ["".join(r.choice(parts) for _ in range(r.randrange(9))) for _ in range(3000)]
+    urls += ["http://" + r.choice(["", "a.", "b.a.", "x"]) + r.choice(["com", "example.com", "net", "example.net", "org"]) + r.choice(["/en/", "/en/7", "/de/8", "/de/", "/es/", "?/en/", "/EN/"]) + r.choice(["", "9", "?q=/de/", "#x"]) for _ in range(500)]
+    pages = spark.createDataFrame([*enumerate(urls), (1, urls[1]), (-1, None)], "page_id long, url string")
+    model = url_filter.fit(url_filter.labelled_urls(spark))
+    for x in url_filter.judge(pages, model).collect():
+        url = urls[x.page_id] if x.page_id >= 0 else None
+        assert (x.host, x.path, x.rule) == brute_parts(url), url
+        what = {h + p: v for v, h, p in url_filter.RULES}.get(x.rule, "block" if x.score >= 0.5 else "allow")
+        assert x.verdict == what
+    assert len(set(pages.join(url_filter.judge(pages, model), "page_id").where("page_id = 1").collect())) == 1
+
+
+def test_url_model_on_hosts_it_has_not_seen(spark):
+    host = lambda u: re.sub(r"^(www|m|blog)\.", "", u.split("/")[2])
+    rows = url_filter.labelled_rows()
+    held = set(sorted({host(u) for u, _ in rows})[::5])
+    model = url_filter.fit(spark.createDataFrame([x for x in rows if host(x[0]) not in held], "url string, label double").coalesce(1))
+    test = [(i, u, v) for i, (u, v) in enumerate(rows) if host(u) in held]
+    judged = {x.page_id: x.verdict == "block" for x in url_filter.judge(spark.createDataFrame(test, "page_id long, url string, label double"), model).collect()}
+    wrongly = [i for i, _, v in test if judged[i] and not v]
+    assert sum(judged[i] == bool(v) for i, _, v in test) >= 0.85 * len(test) and len(wrongly) <= 0.03 * len(test)
+    assert not set(url_filter.hosts(url_filter.BLOCK_FAMILIES)) & set(url_filter.hosts(url_filter.ALLOW_FAMILIES))
+    long = spark.createDataFrame([(1, "http://a.test/" + "xy" * 200_000)], "page_id long, url string")
+    started = time.time()
+    assert len(url_filter.judge(long, model).first().path) == 400_001 and time.time() - started < 30
+
+
 def test_ordinal_model(spark):
     r = random.Random(2)
     rows, ratings = [], []
