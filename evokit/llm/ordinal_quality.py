@@ -5,18 +5,19 @@ into P(grade <= k) = logistic(t_k - s). The expected grade ranks documents, and
 P(grade >= g) selects them.
 
 The model is fitted to at most ``MAX_LABELLED`` rated documents, those least by a hash of their id: a
-bounded sample, the same at every run. Its features stay on the executors; an iteration sends the weights out and
-gets one gradient a partition back, so what the driver holds is bounded by buckets and partitions.
-Scoring is one map over all rows and whole texts, without a shuffle.
+bounded sample, the same at every run. Its features stay on the executors; a step of the limited-memory quasi-Newton
+method sends the weights out and gets one gradient a partition back, so what the driver holds is bounded by buckets and partitions.
+Weights are scaled by how seldom their feature is, so that few steps do. Scoring is one map over all rows and whole texts, without a shuffle.
 
 Defined results: a null or empty text has no features, so its score is 0; unrated documents are only
 scored; ratings that are null are not fitted; with no rating at all every document gets equal grades and is kept;
+of ratings of one document each is a row of the fit; texts that share an id are each fitted with its ratings;
 long texts count whole; repeated rows give equal rows; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,11 +30,18 @@ from evokit.session import cut
 BUCKETS = 1 << 15
 SIZES = (2, 3, 5)
 MAX_LABELLED = 4000
-ITERATIONS = 40
-RATE = 0.4
-PENALTY = 1e-6
+#: Steps of the fit, and the gradients and steps that it remembers.
+ITERATIONS = 12
+MEMORY = 8
+PENALTY = 1e-3
+#: A weight's scale is (mean square of its feature + SCALE_FLOOR) ^ -SCALE_POWER.
+SCALE_FLOOR, SCALE_POWER = 1e-5, 0.25
+FIT_PARTITIONS = 8
 #: The value of the feature for variety; all n-grams together have length one.
 VARIETY = 1.0
+#: Variety is told in so many steps, each with a weight of its own after those of the buckets.
+VARIETIES = 21
+WEIGHTS = BUCKETS + VARIETIES
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -49,14 +57,12 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     if not found:
         return np.empty(0, np.int64), np.empty(0)
     count = np.bincount(np.concatenate(found), minlength=BUCKETS)
-    # The first buckets hold how varied the n-grams are instead: log(distinct) / log(all) in twentieths.
+    # How varied the n-grams are: log(distinct) / log(all) in twentieths.
     distinct, total = np.count_nonzero(count), int(count.sum())
-    varied = int(20 * np.log(distinct) / np.log(total)) if total > 1 else 20
-    count[:21] = 0
+    varied = int((VARIETIES - 1) * np.log(distinct) / np.log(total)) if total > 1 else VARIETIES - 1
     at = np.flatnonzero(count)
     value = np.log1p(count[at])
-    norm = np.sqrt(value @ value) or 1.0
-    return np.append(at, varied), np.append(value / norm, VARIETY)
+    return np.append(at, BUCKETS + varied), np.append(value / np.sqrt(value @ value), VARIETY)
 
 
 def _logistic(x: np.ndarray | float) -> np.ndarray:
@@ -95,6 +101,34 @@ def _thresholds(free: np.ndarray) -> np.ndarray:
     return np.cumsum(np.concatenate((free[:1], np.exp(free[1:]))))
 
 
+def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, rounds: int, memory: int = MEMORY) -> np.ndarray:
+    """Quasi-Newton steps from ``x`` on f, which gives value and gradient; a step that does not lessen the value enough is halved."""
+    value, g = f(x)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        d, used = g.copy(), []
+        for s, y in reversed(steps):
+            a = (s @ d) / (y @ s)
+            used.append(a)
+            d -= a * y
+        d *= (steps[-1][0] @ steps[-1][1]) / (steps[-1][1] @ steps[-1][1]) if steps else 1 / max(np.linalg.norm(g), 1e-12)
+        for (s, y), a in zip(steps, reversed(used), strict=True):
+            d += s * (a - (y @ d) / (y @ s))
+        size = 1.0
+        while True:
+            new, grad = f(x - size * d)
+            if new <= value - 1e-4 * size * (g @ d):
+                break
+            size /= 2
+            if size < 1e-3:
+                return x
+        s, y = -size * d, grad - g
+        if s @ y > 1e-12:
+            steps = [*steps, (s, y)][-memory:]
+        x, value, g = x + s, new, grad
+    return x
+
+
 def fit(docs: DataFrame, ratings: DataFrame, grade: Column, grades: int, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel | None:
     """The model of the rated documents; None if there are none."""
     rated = ratings.select(F.col(id_col).alias("id"), grade.cast("int").alias("grade")).where(f"id is not null and grade between 0 and {grades - 1}")
@@ -108,56 +142,79 @@ def fit(docs: DataFrame, ratings: DataFrame, grade: Column, grades: int, max_lab
             yield pa.RecordBatch.from_arrays([pa.array([a.astype("<i4").tobytes() for a, _ in found], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary()), batch.column(1)], names=["at", "value", "grade"])
 
     # Bytes, as every iteration reads them again and lists would be converted number by number.
-    ready = cut(rows.mapInArrow(prepare, "at binary, value binary, grade int")).coalesce(8)
-    counts = {r.grade: r.n for r in ready.groupBy("grade").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    ready = cut(rows.mapInArrow(prepare, "at binary, value binary, grade int")).coalesce(FIT_PARTITIONS)
+    squares, counts = _squares(ready, grades)
+    total = counts.sum()
+    if not total:
         return None
-    total = sum(counts.values())
-    share = np.cumsum([(counts.get(g, 0) + 1) / (total + grades) for g in range(grades)])[:-1]
+    scale = (squares / total + SCALE_FLOOR) ** -SCALE_POWER
+    share = np.cumsum((counts + 1) / (total + grades))[:-1]
     logit = np.log(share / (1 - share))
     free = np.concatenate((logit[:1], np.log(np.maximum(np.diff(logit), 1e-3))))
-    x = np.concatenate((np.zeros(BUCKETS), free))
-    m, v = np.zeros_like(x), np.zeros_like(x)
-    for step in range(1, ITERATIONS + 1):
-        g = _summed(ready, x[:BUCKETS], _thresholds(x[BUCKETS:])) / total
-        by_threshold = g[BUCKETS:]
-        later = np.cumsum(by_threshold[::-1])[::-1]
-        g[BUCKETS:] = np.concatenate((later[:1], later[1:] * np.exp(x[BUCKETS + 1 :])))
-        g[:BUCKETS] += PENALTY * x[:BUCKETS]
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        x = x - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return OrdinalModel(x[:BUCKETS], _thresholds(x[BUCKETS:]))
-
-
-def _summed(ready: DataFrame, weights: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
-    """The gradient over all rows: each partition sends the sum of its own."""
-    sent = ready.sparkSession.sparkContext.broadcast((weights, thresholds))
+
+    def objective(x: np.ndarray) -> tuple[float, np.ndarray]:
+        g, value = _summed(ready, x[:WEIGHTS] * scale, _thresholds(x[WEIGHTS:]))
+        g /= total
+        later = np.cumsum(g[WEIGHTS:][::-1])[::-1]
+        g[WEIGHTS:] = np.concatenate((later[:1], later[1:] * np.exp(x[WEIGHTS + 1 :])))
+        g[:WEIGHTS] = g[:WEIGHTS] * scale + PENALTY * x[:WEIGHTS]
+        return value / total + PENALTY / 2 * float(x[:WEIGHTS] @ x[:WEIGHTS]), g
+
+    x = minimise(objective, np.concatenate((np.zeros(WEIGHTS), free)), ITERATIONS)
+    return OrdinalModel(x[:WEIGHTS] * scale, _thresholds(x[WEIGHTS:]))
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indices, values and row numbers of all features of a batch."""
+    at, value = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+    lengths = np.fromiter(map(len, at), np.int64, len(at)) // 4
+    return np.frombuffer(b"".join(at), "<i4"), np.frombuffer(b"".join(value), "<f4"), np.repeat(np.arange(len(lengths)), lengths)
+
+
+def _collected(ready: DataFrame, part: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
+    """The sum of ``part`` over all batches: each of the few partitions sends one row of ``size`` numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, t = sent.value
-        out = np.zeros(len(w) + len(t))
+        out = np.zeros(size)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            at, value = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            flat, values = np.frombuffer(b"".join(at), "<i4"), np.frombuffer(b"".join(value), "<f4")
-            lengths = np.fromiter(map(len, at), np.int64, len(at)) // 4
-            row = np.repeat(np.arange(len(lengths)), lengths)
-            score = np.bincount(row, weights=w[flat] * values, minlength=len(lengths))
-            by_score, by_threshold, _ = _gradient(score, batch.column(2).to_numpy(), t)
-            out[: len(w)] += np.bincount(flat, weights=by_score[row] * values, minlength=len(w))
-            out[len(w) :] += by_threshold
+            if batch.num_rows:
+                out += part(batch)
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()])], names=["g"])
 
-    total = sum(np.frombuffer(r.g, np.float64) for r in ready.mapInArrow(run, "g binary").collect())  # a row of a few hundred KB for each of the eight partitions
+    return sum((np.frombuffer(r.g, np.float64) for r in ready.mapInArrow(run, "g binary").collect()), np.zeros(size))
+
+
+def _squares(ready: DataFrame, grades: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of squares of each feature, and the number of rows of each grade."""
+
+    def part(batch: pa.RecordBatch) -> np.ndarray:
+        flat, values, _ = _flat(batch)
+        return np.concatenate((np.bincount(flat, weights=values * values, minlength=WEIGHTS), np.bincount(batch.column(2).to_numpy(), minlength=grades)))
+
+    both = _collected(ready, part, WEIGHTS + grades)
+    return both[:WEIGHTS], both[WEIGHTS:]
+
+
+def _summed(ready: DataFrame, weights: np.ndarray, thresholds: np.ndarray) -> tuple[np.ndarray, float]:
+    """The gradient over all rows by weights and thresholds, and the loss."""
+    sent = ready.sparkSession.sparkContext.broadcast((weights, thresholds))
+
+    def part(batch: pa.RecordBatch) -> np.ndarray:
+        w, t = sent.value
+        flat, values, row = _flat(batch)
+        score = np.bincount(row, weights=w[flat] * values, minlength=batch.num_rows)
+        by_score, by_threshold, loss = _gradient(score, batch.column(2).to_numpy(), t)
+        return np.concatenate((np.bincount(flat, weights=by_score[row] * values, minlength=WEIGHTS), by_threshold, [loss]))
+
+    total = _collected(ready, part, len(weights) + len(thresholds) + 1)
     sent.destroy()
-    return total
+    return total[:-1], float(total[-1])
 
 
 def score(docs: DataFrame, model: OrdinalModel | None, grade: int = 1, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, expected_grade, tail_probability, kept): kept if P(grade >= ``grade``) is ``least`` or more."""
     if model is None:
-        model = OrdinalModel(np.zeros(BUCKETS), np.zeros(1))
+        model = OrdinalModel(np.zeros(WEIGHTS), np.zeros(1))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

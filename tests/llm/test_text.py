@@ -1,10 +1,12 @@
 import collections
 import hashlib
+import math
 import random
 import re
 import string
 import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from evokit.llm import main_text, ordinal_quality, quality_rules, secret_scan, url_filter
@@ -104,6 +106,35 @@ def test_ordinal_model(spark):
     assert all(0 <= x.tail_probability <= 1 for x in got.values())
     assert all(x.kept for x in ordinal_quality.score(docs, ordinal_quality.fit(docs, rated.where("false"), F.col("g"), 3)).collect())
     assert ordinal_quality.score(docs.where("false"), model).count() == 0
+    again = ordinal_quality.score(docs.unionByName(docs.where("doc_id < 3")), model).where("doc_id = 1").collect()
+    assert len(again) == 2 and again[0] == again[1] == got[1]
+    twice = ordinal_quality.fit(docs.unionByName(docs), rated, F.col("g"), 3)
+    assert (twice.thresholds[1:] > twice.thresholds[:-1]).all()
+
+
+def test_ordinal_gradient_and_steps():
+    r = np.random.default_rng(3)
+    score, grade, t = r.normal(size=40) * 2, r.integers(0, 4, 40), np.array([-1.0, 0.2, 1.5])
+    by_score, by_threshold, loss = ordinal_quality._gradient(score, grade, t)
+    cut = lambda s, t: -sum(math.log(1 / (1 + math.exp(-(([*t, 1e3])[g] - x))) - (1 / (1 + math.exp(-(t[g - 1] - x))) if g else 0)) for x, g in zip(s, grade))
+    assert math.isclose(loss, cut(score, t), rel_tol=1e-9)
+    for i in range(40):
+        e = np.eye(40)[i] * 1e-6
+        assert math.isclose(by_score[i], (cut(score + e, t) - cut(score - e, t)) / 2e-6, rel_tol=1e-4, abs_tol=1e-6)
+    for i in range(3):
+        e = np.eye(3)[i] * 1e-6
+        assert math.isclose(by_threshold[i], (cut(score, t + e) - cut(score, t - e)) / 2e-6, rel_tol=1e-4, abs_tol=1e-6)
+    a = r.normal(size=(12, 12))
+    a = a @ a.T + np.eye(12)
+    x = ordinal_quality.minimise(lambda x: (float(x @ a @ x / 2 - x.sum()), a @ x - 1), np.zeros(12), 60)
+    assert np.allclose(a @ x, 1, atol=1e-4)
+
+
+def test_ordinal_features_lose_nothing():
+    at, value = ordinal_quality.features("abcab")
+    grams = collections.Counter("abcab"[i : i + k] for k in ordinal_quality.SIZES for i in range(6 - k))
+    assert len(at) == len(set(at)) == len(grams) + 1 and at[-1] >= ordinal_quality.BUCKETS and math.isclose((value[:-1] ** 2).sum(), 1)
+    assert len(ordinal_quality.features("a")[0]) == 0 == len(ordinal_quality.features(None)[0])
 
 
 def test_main_text(spark):
