@@ -29,6 +29,8 @@ from evokit.llm.byte_bpe import codec, read_vocabulary
 BLOCK = 512
 SEGMENT_TOKENS = 1 << 20
 BROADCAST_PARTS = 100_000
+#: Positions that are looked up in one copy of a segment.
+POSITIONS = 1 << 16
 SCHEMA = "part int, seg int, inner_first long, n_tokens long, n_docs long, doc_ids array<long>, doc_starts array<long>, codes binary"
 
 
@@ -68,22 +70,34 @@ class Codes:
         if not 0 <= i < len(self):
             raise IndexError(i)
         value = shift = 0
-        for chunks, bits, ranks in self.levels:
+        for level, (chunks, bits, _) in enumerate(self.levels):
             value |= int(chunks[i]) << shift
             if not bits[i >> 3] >> (i & 7) & 1:
                 break
-            first = i // BLOCK * BLOCK
-            within = np.unpackbits(bits[first >> 3 : (i >> 3) + 1], bitorder="little")[: i - first]
-            i, shift = int(ranks[i // BLOCK]) + int(within.sum()), shift + 8
+            i, shift = self.rank(level, i), shift + 8
         return value
 
-    def all(self) -> np.ndarray:
-        """Every id in order."""
-        value = None
-        for chunks, bits, _ in reversed(self.levels):
-            own = chunks.astype(np.uint32)
-            if value is not None:
-                own[np.unpackbits(bits, count=len(own), bitorder="little").astype(bool)] |= value << 8
+    def rank(self, level: int, i: int) -> int:
+        """The ids before place ``i`` of a level that go on to the next one: a look-up and at most a block of the bitmap."""
+        _, bits, ranks = self.levels[level]
+        first = i // BLOCK * BLOCK
+        return int(ranks[i // BLOCK]) + int(np.unpackbits(bits[first >> 3 : (i + 7) >> 3], bitorder="little")[: i - first].sum())
+
+    def between(self, a: int, b: int) -> np.ndarray:
+        """The ids from place ``a`` to before ``b``, and no others: their chunks are next to each other in every level, from the rank of ``a`` to that of ``b``."""
+        if not 0 <= a <= b <= len(self):
+            raise IndexError((a, b))
+        parts = []
+        for level, (chunks, bits, _) in enumerate(self.levels):
+            more = np.unpackbits(bits[a >> 3 : (b + 7) >> 3], bitorder="little")[a & 7 : (a & 7) + b - a].astype(bool)
+            parts.append((chunks[a:b].astype(np.uint32), more))
+            if not more.any():
+                break
+            a = self.rank(level, a)
+            b = a + int(more.sum())
+        value = np.empty(0, np.uint32)
+        for own, more in reversed(parts):
+            own[more] |= value << 8
             value = own
         return value
 
@@ -153,7 +167,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                ids = Codes(r["codes"]).all().astype(np.int32)
+                ids = Codes(r["codes"]).between(0, r["n_tokens"]).astype(np.int32)
                 bounds = [*r["doc_starts"], r["n_tokens"]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(r["doc_ids"], pa.int64()), pa.array([r["first"] + s for s in r["doc_starts"]], pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))], names=["doc_id", "start", "n_tokens", "ids"]
@@ -163,14 +177,13 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def document_checksums(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document, each read from the files by its own place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                raw = memoryview(Codes(r["codes"]).all().astype("<u4").tobytes())
-                bounds = [*r["doc_starts"], r["n_tokens"]]
-                sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(bounds, bounds[1:])]
+                codes, bounds = Codes(r["codes"]), [*r["doc_starts"], r["n_tokens"]]
+                sums = [zlib.crc32(codes.between(a, b).astype("<u4").tobytes()) for a, b in zip(bounds, bounds[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(r["doc_ids"], pa.int64()), pa.array([r["first"] + s for s in r["doc_starts"]], pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"]
                 )
@@ -179,21 +192,26 @@ def document_checksums(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_at(spark: SparkSession, path: str, positions: DataFrame) -> DataFrame:
-    """(position, id) for a table of global positions: each is looked up in its segment, none is decoded."""
+    """(position, id) for a table of global positions, each once: they are looked up in their segments, none is decoded.
+
+    Positions find their segment without its codes and are gathered, at most ``POSITIONS`` of them, before the codes are joined to them.
+    Null positions and those outside the files give no row.
+    """
     table = segments(spark, path)
     # A segment has about SEGMENT_TOKENS ids; buckets of that width make the range join an equi-join.
     width = SEGMENT_TOKENS
-    spread = table.withColumn("bucket", F.explode(F.sequence((F.col("first") / width).cast("long"), ((F.col("first") + F.col("n_tokens") - 1) / width).cast("long"))))
-    wanted = positions.select(F.col("position").cast("long")).withColumn("bucket", (F.col("position") / width).cast("long"))
-    found = wanted.join(spread.select("bucket", "part", "seg", "first", "n_tokens", "codes"), "bucket").where("position >= first and position < first + n_tokens")
+    last = ((F.col("first") + F.col("n_tokens") - 1) / width).cast("long")
+    spread = table.select("part", "seg", "first", "n_tokens", F.explode(F.sequence((F.col("first") / width).cast("long"), last)).alias("bucket"))
+    wanted = positions.select(F.col("position").cast("long")).where("position >= 0").distinct().withColumn("bucket", (F.col("position") / width).cast("long"))
+    found = wanted.join(spread, "bucket").where("position >= first and position < first + n_tokens")
+    chunk = ((F.col("position") - F.col("first")) / POSITIONS).cast("long").alias("chunk")
+    gathered = found.groupBy("part", "seg", "first", chunk).agg(F.collect_list("position").alias("positions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            last, codes, out = None, None, []
-            for p, part, seg, first, raw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if (part, seg) != last:
-                    last, codes = (part, seg), Codes(raw)
-                out.append((p, codes[p - first]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["position", "id"])
-
-    return found.select("position", "part", "seg", "first", "codes").mapInArrow(run, "position long, id long")
+            for r in batch.to_pylist():
+                codes = Codes(r["codes"])
+                ids = [codes[p - r["first"]] for p in r["positions"]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (r["positions"], ids)], names=["position", "id"])
+
+    return gathered.join(table.select("part", "seg", "codes"), ["part", "seg"]).select("first", "positions", "codes").mapInArrow(run, "position long, id long")

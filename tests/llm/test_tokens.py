@@ -78,14 +78,32 @@ def test_digests_of_edge_rows(spark, reference):
 @pytest.mark.parametrize("ids", [[], [0], [255, 256, 65536, 7], list(range(0, 200_000, 7))])
 def test_codes(ids):
     codes = token_files.Codes(token_files.pack(np.array(ids, np.uint32)))
-    assert len(codes) == len(ids) and codes.all().tolist() == ids
+    assert len(codes) == len(ids) and codes.between(0, len(ids)).tolist() == ids
+    r = random.Random(len(ids))
+    for _ in range(200):
+        a, b = sorted((r.randrange(len(ids) + 1), r.randrange(len(ids) + 1)))
+        b = min(b, a + r.choice([0, 1, 600, 10**6]))
+        assert codes.between(a, b).tolist() == ids[a:b]
     for i in {0, 1, len(ids) // 2, len(ids) - 1} & set(range(len(ids))):
         assert codes[i] == ids[i]
     with pytest.raises(IndexError):
         codes[len(ids)]
 
 
-def test_token_files_round_trip(spark, tmp_path):
+def test_equal_ids_and_repeated_rows(spark, tmp_path):
+    rows = [(1, "b c d"), (1, "a"), (1, "b c d"), (0, None), (2, "x y" * 400)]
+    path = str(tmp_path / "f")
+    token_files.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path, JSON, partitions=2, segment_tokens=3)
+    tokenizer = Tokenizer.from_file(JSON)
+    ids = sorted((i, tokenizer.encode(t or "", add_special_tokens=False).ids + [0]) for i, t in rows)
+    found = token_files.read_documents(spark, path).orderBy("start").collect()
+    assert sorted((x.doc_id, x.ids) for x in found) == ids and [x.doc_id for x in found] == [0, 1, 1, 1, 2]
+    assert [x.start for x in found] == [sum(x.n_tokens for x in found[:k]) for k in range(5)]
+    assert [x.ids for x in found[1:4]] in ([found[1].ids] * 2 + [found[3].ids], [found[1].ids] + [found[3].ids] * 2)
+
+
+def test_token_files_round_trip(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "POSITIONS", 7)
     rows = [(i * 3 % 17, t, "x") for i, t in enumerate(TEXTS)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, part string")
     path = str(tmp_path / "f")
@@ -99,7 +117,7 @@ def test_token_files_round_trip(spark, tmp_path):
         assert tuple(found[i]) == (i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         assert whole[i] == ids
         at, every = at + len(ids), every + ids
-    asked = spark.createDataFrame([(p,) for p in range(0, at, 5)], "position long")
+    asked = spark.createDataFrame([(p,) for p in [*range(0, at, 5), 0, 5, None, -1, at, at + 10**7]], "position long")
     assert {r.position: r.id for r in token_files.token_at(spark, path, asked).collect()} == {p: every[p] for p in range(0, at, 5)}
 
 
