@@ -18,6 +18,11 @@ def rectify(x: Column) -> Column:
     return F.greatest(x, F.lit(0))
 
 
+def skip_nan(x: Column) -> Column:
+    """NaN as null, which sums and means leave out."""
+    return F.nanvl(x, F.lit(None).cast("double"))
+
+
 def saturate(x: Column) -> Column:
     return F.least(F.greatest(x, F.lit(0)), F.lit(1))
 

@@ -9,11 +9,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def contained(trials: DataFrame, intervals: DataFrame, key: str, start: str, stop: str, own_start: str, own_stop: str) -> DataFrame:
-    """Trials that an interval of the same key holds, strictly on both ends: a semi join on the key with a residual."""
-    t, i = trials.alias("t"), intervals.alias("i")
-    held = (F.col(f"t.{key}") == F.col(f"i.{key}")) & (F.col(f"i.{own_start}") < F.col(f"t.{start}")) & (F.col(f"i.{own_stop}") > F.col(f"t.{stop}"))
-    return t.join(i, held, "left_semi")
+def contained(trials: DataFrame, intervals: DataFrame, key: str, start: str, stop: str, own_start: str, own_stop: str, width: int = 1 << 20) -> DataFrame:
+    """Trials that an interval of the same key holds, strictly on both ends: a semi join.
+
+    Trials are dealt out by key and by the bucket of ``width`` in which they start, intervals by all buckets they touch, so a key with a large share of
+    the rows spreads; ``width`` should be near the usual interval's length.
+    """
+    bucket = lambda c: F.floor(F.col(c) / width)
+    t = trials.withColumn("bucket", bucket(start)).alias("t")
+    i = intervals.where(F.col(own_stop) > F.col(own_start)).withColumn("bucket", F.explode(F.sequence(bucket(own_start), bucket(own_stop)))).alias("i")
+    same = (F.col(f"t.{key}") == F.col(f"i.{key}")) & (F.col("t.bucket") == F.col("i.bucket"))
+    held = same & (F.col(f"i.{own_start}") < F.col(f"t.{start}")) & (F.col(f"i.{own_stop}") > F.col(f"t.{stop}"))
+    return t.join(i, held, "left_semi").select(*trials.columns)
 
 
 def points_in_intervals(points: DataFrame, intervals: DataFrame, key: str, time: str, start: str, stop: str, width: int) -> DataFrame:
@@ -50,10 +57,12 @@ def long_runs(series: DataFrame, key: str, index: str, value: str, longer_than:
     return runs.where(F.col("n") > longer_than).select(key, "start", "stop")
 
 
-def masked(series: DataFrame, runs: DataFrame, key: str, index: str, weight: str) -> DataFrame:
-    """``series`` with weight 0 inside the runs, whose ends count as inside."""
-    s, r = series.alias("s"), runs.alias("r")
-    inside = (F.col(f"s.{key}") == F.col(f"r.{key}")) & F.col(f"s.{index}").between(F.col("r.start"), F.col("r.stop"))
+def masked(series: DataFrame, runs: DataFrame, key: str, index: str, weight: str, width: int = 1024) -> DataFrame:
+    """``series`` with weight 0 inside the runs, whose ends count as inside. Both sides are dealt out by key and bucket of ``width``."""
+    bucket = lambda c: F.floor(F.col(c) / width)
+    s = series.select(key, index, bucket(index).alias("bucket")).alias("s")
+    r = runs.withColumn("bucket", F.explode(F.sequence(bucket("start"), bucket("stop")))).alias("r")
+    inside = (F.col(f"s.{key}") == F.col(f"r.{key}")) & (F.col("s.bucket") == F.col("r.bucket")) & F.col(f"s.{index}").between(F.col("r.start"), F.col("r.stop"))
     quiet = s.join(r, inside, "left_semi").select(key, index).withColumn("quiet", F.lit(True))
     return series.join(quiet, [key, index], "left").withColumn(weight, F.when(F.col("quiet"), 0).otherwise(F.col(weight))).drop("quiet")
 

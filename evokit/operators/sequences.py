@@ -37,6 +37,12 @@ def smooth(series: DataFrame, key: str, index: str, value: str, kernel: list[flo
     return series.withColumn("smooth", terms)
 
 
+def padded(clip: Column, before: int, length: int) -> Column:
+    """A clip, an array, with ``before`` zeros ahead, then zeros up to ``length`` or cut there."""
+    whole = F.concat(F.array_repeat(F.lit(0.0), before), clip, F.array_repeat(F.lit(0.0), length))
+    return F.slice(whole, 1, length)
+
+
 def delay_embedding(series: DataFrame, key: str, index: str, value: str, delays: Iterable[int]) -> DataFrame:
     """Adds x_k, the value k samples before (null at the start)."""
     w = Window.partitionBy(key).orderBy(index)
@@ -64,6 +70,26 @@ def local_maxima(series: DataFrame, key: str, index: str, value: str, height: fl
     return series.withColumn("peak", F.coalesce(peak, F.lit(False))).where("peak").drop("peak")
 
 
+def plateau_peaks(series: DataFrame, key: str, index: str, value: str, height: float) -> DataFrame:
+    """(key, index, value): maxima of at least ``height``; a flat top counts once, at its middle (the earlier of two). Ends of a series are no peaks."""
+    w = Window.partitionBy(key).orderBy(index)
+    flat = series.withColumn("change", F.coalesce((F.col(value) != F.lag(value).over(w)).cast("int"), F.lit(1)))
+    flat = flat.withColumn("top", F.sum("change").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    tops = flat.groupBy(key, "top").agg(F.min(index).alias("a"), F.max(index).alias("z"), F.min(value).alias(value))
+    w = Window.partitionBy(key).orderBy("top")
+    peak = (F.lag(value).over(w) < F.col(value)) & (F.lead(value).over(w) < F.col(value)) & (F.col(value) >= height)
+    return tops.withColumn("peak", F.coalesce(peak, F.lit(False))).where("peak").select(key, F.floor((F.col("a") + F.col("z")) / 2).alias(index), value)
+
+
+def onset_offset_events(series: DataFrame, key: str, index: str, value: str, height: float) -> DataFrame:
+    """(key, index, onset, offset, value): peaks of the rise are onsets, those of the fall offsets, each as a share of the key's highest of its kind."""
+    diff = first_difference(series, key, index, value).where("diff is not null")
+    kinds = [plateau_peaks(diff.withColumn("diff", sign * F.col("diff")), key, index, "diff", height).withColumn("onset", F.lit(onset)) for sign, onset in ((1, 1), (-1, 0))]
+    events = kinds[0].unionByName(kinds[1])
+    top = events.groupBy(key, "onset").agg(F.max("diff").alias("top"))
+    return events.join(top, [key, "onset"]).select(key, index, "onset", (1 - F.col("onset")).alias("offset"), (F.col("diff") / F.col("top")).alias("value"))
+
+
 def pruned_peaks(peaks: DataFrame, key: str, index: str, value: str, distance: int) -> DataFrame:
     """Peaks at least ``distance`` apart: the highest first removes its neighbours (ties: the later one stays).
 

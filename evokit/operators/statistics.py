@@ -25,7 +25,10 @@ def total_minus_own(rows: DataFrame, own: list[str], over: list[str], sums: dict
     Sums are made once a group; the totals are sums of those, so the cost does not grow with the groups' number.
     """
     per = rows.groupBy(*over, *own).agg(*(c.alias(k) for k, c in sums.items()))
-    w = Window.partitionBy(*over) if over else Window.partitionBy(F.lit(0))
+    if not over:  # one row of totals goes to all groups, so they are not gathered in one task
+        whole = per.agg(*(F.sum(k).alias(f"all_{k}") for k in sums))
+        return per.crossJoin(F.broadcast(whole)).select(*own, *(F.col(k) for k in sums), *((F.col(f"all_{k}") - F.col(k)).alias(f"rest_{k}") for k in sums))
+    w = Window.partitionBy(*over)
     return per.select(*over, *own, *(F.col(k) for k in sums), *((F.sum(k).over(w) - F.col(k)).alias(f"rest_{k}") for k in sums))
 
 
@@ -96,6 +99,39 @@ def r2_parts(y: Column, pred: Column) -> dict[str, Column]:
     return {"n": F.count(y), "y": F.sum(y), "yy": F.sum(y * y), "p": F.sum(pred), "pp": F.sum(pred * pred), "yp": F.sum(y * pred)}
 
 
+def single_trial_snr(cells: DataFrame, key: str, trial: Column, place: Column, value: str, trials: str) -> DataFrame:
+    """(key, r, k, snr): the correlation r of the sums of even and odd trials over places, among the first k (column ``trials``) of them, and the single-trial ratio of signal to noise.
+
+    Keys whose halves do not vary are left out.
+    """
+    halves = cells.select(key, (trial % 2).alias("half"), place.alias("u"), trial.alias("trial"), F.col(value).alias("v"), F.col(trials).alias("k")).where("trial < k")
+    sums = halves.groupBy(key, "u").agg(*(F.sum(F.when(F.col("half") == h, F.col("v")).otherwise(0)).cast("double").alias(f"h{h}") for h in (0, 1)), F.max("k").alias("k"))
+    r = sums.groupBy(key).agg(F.corr("h0", "h1").alias("r"), F.max("k").alias("k"), F.var_pop("h0").alias("v0"), F.var_pop("h1").alias("v1")).where("v0 > 0 and v1 > 0")
+    return r.select(key, "r", "k", (2 * F.col("r") / (1 - F.col("r")) / F.col("k")).alias("snr"))
+
+
+def hashed_sample(rows: DataFrame, key: str, salt: str, k: int) -> DataFrame:
+    """``k`` rows without replacement: the least by a hash of key and salt, found without sorting all rows."""
+    return rows.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{salt}"))), key).limit(k)
+
+
+def group_bootstrap(rows: DataFrame, group: str, key: str, draws: int, share: float) -> DataFrame:
+    """``rows`` for each draw with ``test``, whether its group is among the ``share`` set apart in the draw, and ``w``, how often the draw takes the row.
+
+    Groups are a list of their distinct values, ranked by a hash within each draw; row weights are Poisson of mean 1 by a hash of (key, draw),
+    which is sampling with replacement on either side without a count of it.
+    """
+    hashed = lambda c: F.md5(F.concat(F.col(c).cast("string"), F.lit(":"), F.col("draw").cast("string")))
+    drawn = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
+    groups = rows.select(group).distinct()
+    apart = groups.agg(F.ceil(F.lit(share) * F.count("*")).alias("apart"))
+    sides = groups.select(group, drawn).crossJoin(F.broadcast(apart))  # one row
+    sides = sides.withColumn("test", F.row_number().over(Window.partitionBy("draw").orderBy(hashed(group), group)) <= F.col("apart")).drop("apart")
+    p = F.conv(F.substring(hashed(key), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    w = sum(((p >= float(c)).cast("int") for c in _POISSON_CDF[1:9]), (p >= float(_POISSON_CDF[0])).cast("int"))
+    return rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", w).join(sides, [group, "draw"])
+
+
 def pair_covariances(frames: DataFrame, vector: str) -> DataFrame:
     """(d1, d2, cov, n): population covariance of each two channels, d1 <= d2 from 1, over the frames that have both.
 

@@ -78,7 +78,7 @@ def interval_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = micros(table(spark, sf_dir, "events"))
     spans = e.where("event_type in ('signup', 'purchase')").groupBy("user_id").agg(F.min("t").alias("a"), F.max("t").alias("z"))
     views = e.where("event_type = 'view'").select("event_id", "user_id", F.col("t").alias("start"), (F.col("t") + HOUR).alias("stop"))
-    return intervals.contained(views, spans, "user_id", "start", "stop", "a", "z").select("event_id", "user_id")
+    return intervals.contained(views, spans, "user_id", "start", "stop", "a", "z", DAY).select("event_id", "user_id")
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:

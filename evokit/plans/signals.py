@@ -31,14 +31,19 @@ def smooth_hann_shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.smooth(hourly(spark, sf_dir), "band", "t", "n", HANN, 1).select("band", "t", F.round("smooth", 6).alias("smooth"))
 
 
-@query(f"""WITH {HOURLY_SQL}, m AS (SELECT band, avg(n) AS g FROM hourly GROUP BY 1), c AS (SELECT band, t, n - g AS v FROM hourly JOIN m USING (band))
-SELECT a.band AS b1, b.band AS b2, l.i::INT AS lag, round(sum(a.v * b.v), 4) AS s, count(*) AS n FROM c a, range(-6, 7) l(i) JOIN c b ON b.t = a.t + l.i WHERE a.band <= b.band GROUP BY ALL""")
+@query(f"""WITH {HOURLY_SQL}, m AS (SELECT band, sum(n)::DOUBLE / count(*) AS g FROM hourly GROUP BY 1),
+p AS (SELECT a.band AS b1, b.band AS b2, l.i::INT AS lag, sum(a.n * b.n)::DOUBLE AS xy, sum(a.n)::DOUBLE AS x, sum(b.n)::DOUBLE AS y, count(*) AS n FROM hourly a, range(-6, 7) l(i) JOIN hourly b ON b.t = a.t + l.i WHERE a.band <= b.band GROUP BY ALL)
+SELECT b1, b2, lag, round(xy - mb.g * x - ma.g * y + n * ma.g * mb.g, 4) AS s, n FROM p JOIN m ma ON ma.band = b1 JOIN m mb ON mb.band = b2""")
 def autocorr_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lagged products of demeaned bands, upper triangle, with their overlaps."""
-    cells = _centred(spark, sf_dir)
-    pairs = sequences.lag_products(cells, cells, "t", range(-6, 7), ["l.band", "r.band"], F.col("l.v") * F.col("r.v"))
-    named = pairs.toDF("b1", "b2", "lag", "s", "n")
-    return named.where("b1 <= b2").select("b1", "b2", "lag", F.round("s", 4).alias("s"), "n")
+    """Lagged products of demeaned bands, upper triangle, with their overlaps. Counts are summed as whole numbers and centred once, so no order of adding matters."""
+    cells = hourly(spark, sf_dir)
+    left = cells.withColumn("lag", F.explode(F.sequence(F.lit(-6), F.lit(6)))).select(F.col("band").alias("b1"), "lag", F.col("n").alias("p"), (F.col("t") + F.col("lag")).alias("t"))
+    pairs = left.join(cells.select(F.col("band").alias("b2"), "t", F.col("n").alias("q")), "t").where("b1 <= b2")
+    sums = pairs.groupBy("b1", "b2", "lag").agg(F.sum(F.col("p") * F.col("q")).cast("double").alias("xy"), F.sum("p").cast("double").alias("x"), F.sum("q").cast("double").alias("y"), F.count("*").alias("n"))
+    means = cells.groupBy("band").agg((F.sum("n").cast("double") / F.count("*")).alias("g"))
+    both = sums.join(means.toDF("b1", "ga"), "b1").join(means.toDF("b2", "gb"), "b2")
+    s = F.col("xy") - F.col("gb") * F.col("x") - F.col("ga") * F.col("y") + F.col("n") * F.col("ga") * F.col("gb")
+    return both.select("b1", "b2", "lag", F.round(s, 4).alias("s"), "n")
 
 
 def _centred(spark: SparkSession, sf_dir: str) -> DataFrame:

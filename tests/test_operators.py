@@ -184,6 +184,41 @@ def test_fourier_ridge_finds_a_filter():
     assert int(np.argmax(abs(h))) - 8 == 3
 
 
+def test_flat_tops_count_once(spark):
+    values = [0, 2, 2, 2, 1, 3, 3, 0, 5, 5, 6, 6, 6, 6, 1, 4]
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate(values)] + [("b", 0, 9)], "k string, t long, v long")
+    assert sorted((x.t, x.v) for x in sequences.plateau_peaks(df, "k", "t", "v", 2).collect()) == [(2, 2), (5, 3), (11, 6)]
+    events = sorted((x.t, x.onset, x.offset, round(x.value, 3)) for x in sequences.onset_offset_events(df, "k", "t", "v", 1).collect())
+    rise = [b - a for a, b in zip(values, values[1:])]
+    expected = []
+    for kind, d in ((1, rise), (0, [-x for x in rise])):
+        peaks = []
+        for i in range(1, len(d) - 1):
+            z = i
+            while z + 1 < len(d) and d[z + 1] == d[i]:
+                z += 1
+            if d[i - 1] < d[i] and z + 1 < len(d) and d[z + 1] < d[i] and d[i] >= 1:
+                peaks.append(((i + z) // 2, d[i]))
+        expected += [(t, kind, 1 - kind, round(v / max(v for _, v in peaks), 3)) for t, v in peaks]
+    assert events == sorted(expected)
+
+
+def test_containment_spreads_over_buckets(spark):
+    r = random.Random(12)
+    trials = [(r.randrange(2), i, a, a + r.randrange(1, 40)) for i, a in enumerate(r.randrange(500) for _ in range(200))]
+    spans = [(r.randrange(2), a, a + r.randrange(0, 90)) for a in (r.randrange(500) for _ in range(40))]
+    t, u = spark.createDataFrame(trials, "k int, id int, a long, z long"), spark.createDataFrame(spans, "k int, s long, e long")
+    got = sorted(x.id for x in intervals.contained(t, u, "k", "a", "z", "s", "e", 25).collect())
+    assert got == [i for k, i, a, z in trials if any(k == k2 and s < a and e > z for k2, s, e in spans)]
+
+
+def test_group_bootstrap_keeps_groups_together(spark):
+    rows = spark.createDataFrame([(i, i % 20) for i in range(4000)], "id long, g long")
+    out = statistics.group_bootstrap(rows, "g", "id", 5, 0.1).toPandas()
+    assert len(out) == 20000 and (out[out.test].groupby("draw").g.nunique() == 2).all() and not set(map(tuple, out[out.test][["draw", "g"]].values)) & set(map(tuple, out[~out.test][["draw", "g"]].values))
+    assert abs(out.w.mean() - 1) < 0.03 and abs(out.w.var() - 1) < 0.06
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 99), (7, 7), (None, 3)]
     got = {x.node: x.component for x in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
