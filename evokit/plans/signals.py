@@ -87,14 +87,14 @@ def delay_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _busy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hours with more than four events, with the number of frames of the table's whole span. The SQL has the 720 of the driver's tables."""
+    """Hours with more than four events, with the number of frames of the table's whole span."""
     cells = hourly(spark, sf_dir)
     frames = cells.agg((F.max("t") + 1).alias("frames"))
     return cells.where("n > 4").withColumn("kind", F.lit("busy")).crossJoin(F.broadcast(frames))  # one row
 
 
 @query(f"""WITH {HOURLY_SQL}, e AS (SELECT band, t, n FROM hourly WHERE n > 4)
-SELECT band, e.t + k.i AS t, k.i::INT AS k, sum(n)::BIGINT AS x FROM e, range(6) k(i) WHERE e.t + k.i < 720 GROUP BY 1, 2, 3""")
+SELECT band, e.t + k.i AS t, k.i::INT AS k, sum(n)::BIGINT AS x FROM e, range(6) k(i) WHERE e.t + k.i <= (SELECT z - a FROM hb) GROUP BY 1, 2, 3""")
 def impulse_design(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.impulse_design(_busy(spark, sf_dir), "band", "kind", "t", F.col("n"), 6, F.col("frames")).drop("kind")
 
@@ -105,7 +105,7 @@ def _laguerre_sql(order: int, tau: float, alpha: float) -> str:
 
 
 @query(f"""WITH {HOURLY_SQL}, ks AS (SELECT i::INT AS k FROM range(12) r(i)), basis AS ({" UNION ALL ".join(_laguerre_sql(o, 3.0, 2.0) for o in range(3))}),
-e AS (SELECT band, t, n FROM hourly WHERE n > 4) SELECT band, o AS "order", e.t + k AS t, round(sum(n * b), 6) AS x FROM e, basis WHERE e.t + k < 720 GROUP BY 1, 2, 3""")
+e AS (SELECT band, t, n FROM hourly WHERE n > 4) SELECT band, o AS "order", e.t + k AS t, round(sum(n * b), 6) AS x FROM e, basis WHERE e.t + k <= (SELECT z - a FROM hb) GROUP BY 1, 2, 3""")
 def laguerre_design(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Busy hours convolved with three Laguerre functions of twelve hours."""
     ks = spark.range(12).select(F.col("id").cast("int").alias("k"))
@@ -117,7 +117,7 @@ def laguerre_design(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {HOURLY_SQL}, basis AS (SELECT i::INT AS k, 1.0::DOUBLE * exp(-0.5 * pow((i - 2.0::DOUBLE) / 1.0, 2)) - 0.5::DOUBLE * exp(-0.5 * pow((i - 5.0::DOUBLE) / 2.0, 2)) AS b FROM range(12) r(i)),
-e AS (SELECT band, t, n FROM hourly WHERE n > 4) SELECT band, e.t + k AS t, round(sum(n * b), 6) AS x FROM e, basis WHERE e.t + k < 720 GROUP BY 1, 2""")
+e AS (SELECT band, t, n FROM hourly WHERE n > 4) SELECT band, e.t + k AS t, round(sum(n * b), 6) AS x FROM e, basis WHERE e.t + k <= (SELECT z - a FROM hb) GROUP BY 1, 2""")
 def dog_design(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Busy hours convolved with a difference of Gaussians."""
     basis = spark.range(12).select(F.lit(0).alias("order"), F.col("id").cast("int").alias("k"), sequences.gaussians(F.col("id"), 2.0, 1.0, 1.0, 5.0, 2.0, 0.5).alias("b"))

@@ -79,48 +79,22 @@ def spike_triggered_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.crossJoin(F.broadcast(n)).select("d", F.round(F.col("s") / F.col("n"), 6).alias("sta"))  # one row
 
 
-@query(f"""WITH {_CELLS}, y AS (SELECT * FROM x WHERE label = 3 AND d <= 12), m AS (SELECT d, avg(v) m FROM y GROUP BY 1), c AS (SELECT vec_id, d, v - m AS v FROM y JOIN m USING (d))
-SELECT a.d AS d1, b.d AS d2, round(avg(a.v * b.v), 6) AS cov FROM c a JOIN c b USING (vec_id) WHERE a.d <= b.d GROUP BY 1, 2""")
-def stc_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Covariance of the triggering frames over twelve channels: products of pairs within a frame's array."""
-    e = table(spark, sf_dir, "embeddings").where("label = 3").select(F.transform(F.slice("embedding", 1, 12), lambda v: v.cast("double")).alias("e"))
-    pairs = e.select(F.explode(F.flatten(F.transform("e", lambda a, i: F.transform("e", lambda b, j: F.struct((i + 1).alias("d1"), (j + 1).alias("d2"), a.alias("a"), b.alias("b")))))).alias("x")).select("x.*").where("d1 <= d2")
-    return pairs.groupBy("d1", "d2").agg(F.round(F.covar_pop("a", "b"), 6).alias("cov"))
-
-
-@query("""SELECT vec_id, a.i::INT AS d1, b.i::INT AS d2, round(embedding[a.i]::DOUBLE * embedding[b.i]::DOUBLE, 6) AS p FROM embeddings, range(1, 9) a(i), range(1, 9) b(i) WHERE a.i <= b.i AND b.i - a.i <= 2""")
-def second_order_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Products of channels at most two apart among the first eight."""
-    pairs = F.array(*(F.struct(F.lit(i + 1).alias("d1"), F.lit(j + 1).alias("d2"), F.round(F.col("embedding")[i].cast("double") * F.col("embedding")[j].cast("double"), 6).alias("p")) for i in range(8) for j in range(i, min(i + 3, 8))))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.explode(pairs).alias("x")).select("vec_id", "x.*")
-
-
 @query(f"""WITH {_CELLS}, y AS (SELECT * FROM x WHERE label = 3), m AS (SELECT d, avg(v) m FROM y GROUP BY 1), c AS (SELECT vec_id, d, v - m AS v FROM y JOIN m USING (d))
 SELECT a.d AS d1, b.d AS d2, round(avg(a.v * b.v), 6) + 0.0::DOUBLE AS cov FROM c a JOIN c b USING (vec_id) WHERE a.d <= b.d GROUP BY 1, 2""")
-def stc_cov_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Covariance of the triggering frames over all channels (``stc_cov`` is of the first twelve)."""
+def stc_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Covariance of the triggering frames over all channels."""
     return st.pair_covariances(table(spark, sf_dir, "embeddings").where("label = 3"), "embedding").select("d1", "d2", F.round("cov", 6).alias("cov"))
 
 
 @query("""SELECT vec_id, a.i::INT AS d1, b.i::INT AS d2, round(embedding[a.i]::DOUBLE * embedding[b.i]::DOUBLE, 6) + 0.0::DOUBLE AS p FROM embeddings, unnest(range(1, len(embedding) + 1)) a(i), unnest(range(1, len(embedding) + 1)) b(i) WHERE a.i <= b.i AND b.i - a.i <= 2""")
-def second_order_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Products of channels at most two apart among all (``second_order_terms`` is of the first eight); the SQL adds 0 to make -0 a 0, as Spark's round does."""
+def second_order_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products of channels at most two apart; the SQL adds 0 to make -0 a 0, as Spark's round does."""
     return st.near_products(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 2).withColumn("p", F.round("p", 6))
 
 
-@query(f"""WITH {FRAME_SQL}, h AS (SELECT y, sha256(l_orderkey::VARCHAR || ':' || l_linenumber::VARCHAR) AS h FROM fr), d AS (SELECT k.i::INT AS draw, y FROM h, range(16) k(i) WHERE substr(h, k.i * 4 + 1, 4) < '199a'),
-m AS (SELECT draw, avg(y) AS m FROM d GROUP BY 1) SELECT round(quantile_cont(m, 0.025), 4) AS lower, round(quantile_cont(m, 0.975), 4) AS upper, count(*) AS n FROM m""")
-def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles of the mean over sixteen hashed subsamples of a tenth, all draws in one pass: each has four digits of a row's hash."""
-    hashed = frame(spark, sf_dir).select("y", F.sha2(F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")), 256).alias("h"))
-    drawn = F.filter(F.sequence(F.lit(0), F.lit(15)), lambda k: F.substr(F.col("h"), k * 4 + 1, F.lit(4)) < "199a")
-    means = hashed.select("y", F.explode(drawn).alias("draw")).groupBy("draw").agg(F.avg("y").alias("m"))
-    return means.agg(F.round(F.percentile("m", 0.025), 4).alias("lower"), F.round(F.percentile("m", 0.975), 4).alias("upper"), F.count("*").alias("n"))
-
-
 @query()
-def bootstrap_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles of the mean price by month of shipping over 100 resamples of all rows (``bootstrap_ci``'s are of sixteen samples of a tenth)."""
+def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of the mean price by month of shipping over 100 resamples of all rows."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.date_format("l_shipdate", "yyyy-MM").alias("month"), (F.col("l_extendedprice") / 1000).alias("y"))
     return st.bootstrap_means(li, ["l_orderkey", "l_linenumber"], "month", "y").select("month", *(F.round(c, 4).alias(c) for c in ("mean", "lower", "upper")), "n", "draws")
 
