@@ -21,20 +21,23 @@ def hann(n: int) -> list[float]:
     return [v / sum(raw) for v in raw]
 
 
-def smooth(series: DataFrame, key: str, index: str, value: str, kernel: list[float], shift: int = 0) -> DataFrame:
+def smooth(series: DataFrame, key: str, index: str, value: str, kernel: list[float], shift: int = 0, width: int = 4096) -> DataFrame:
     """Centred convolution with zeros outside ('same'); ``shift`` 1 gives the value one sample ahead.
 
-    The series must hold every index of a key; the kernel becomes window offsets, one sort by (key, index).
+    The series must hold every index of a key; the kernel becomes window offsets. A series is cut into runs of ``width``
+    with the few samples beyond either end that the kernel reaches, so one long series is many groups.
     """
-    w = Window.partitionBy(key).orderBy(index)
     half = len(kernel) // 2
+    steps = [half - k + shift for k in range(len(kernel))]
+    run = lambda far: F.floor((F.col(index) - far) / width)
+    rows = series.withColumn("run", F.explode(F.sequence(run(max(0, *steps)), run(min(0, *steps)))))
+    w = Window.partitionBy(key, "run").orderBy(index)
     terms: Column | None = None
-    for k, h in enumerate(kernel):
-        step = half - k + shift
+    for step, h in zip(steps, kernel, strict=True):
         at = F.col(value) if step == 0 else F.lead(value, step).over(w) if step > 0 else F.lag(value, -step).over(w)
         part = F.lit(h) * F.coalesce(at, F.lit(0))
         terms = part if terms is None else terms + part
-    return series.withColumn("smooth", terms)
+    return rows.withColumn("smooth", terms).where(F.col("run") == run(0)).drop("run")
 
 
 def padded(clip: Column, before: int, length: int) -> Column:

@@ -1,16 +1,18 @@
 """Spectra and coherence.
 
 Discrete Fourier sums over chunks of fixed length are relational (a join with a table of frequencies, sums that
-combine before the shuffle). Tapered spectra, filters and resampling are numpy kernels over one chunk or channel a group.
+combine before the shuffle). Windowed spectra deal each sample to the windows it is in, so a task holds windows, not series;
+the index of a series counts 0, 1, 2... there. Filters and resampling are numpy kernels over one channel a group.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -47,56 +49,68 @@ def slepian_tapers(n: int, nw: float, k: int) -> np.ndarray:
     return vec
 
 
+def windows(series: DataFrame, key: str, index: str, values: list[str], window: int, step: int, pad: int = 0) -> DataFrame:
+    """(key, win, u, values...): the samples of each window as arrays by u, the place in it. Window k starts ``k * step`` after ``pad`` places ahead of index 0."""
+    at = F.col(index).cast("long") + pad
+    own = F.sequence(F.greatest(F.lit(0), F.floor((at - window) / step) + 1), F.floor(at / step))
+    spread = series.select(key, at.alias("at"), *values, F.explode(own).alias("win")).withColumn("u", F.col("at") - F.col("win") * step).where(F.col("u").between(0, window - 1))
+    got = spread.groupBy(key, "win").agg(F.sort_array(F.collect_list(F.struct(F.col("u").cast("int").alias("u"), *(F.col(v).cast("double").alias(v) for v in values)))).alias("x"))
+    return got.select(key, "win", *(F.col(f"x.{c}").alias(c) for c in ("u", *values)))
+
+
 def multitaper_coherence(pairs: DataFrame, key: str, index: str, x: str, y: str, window: int, nw: float = 3.0) -> DataFrame:
-    """(key, f, coherence, lower, upper) from half-overlapping windows and jackknifed tapers, one group a key.
+    """(key, f, coherence, lower, upper) from half-overlapping windows and jackknifed tapers.
 
-    Each leave-one-out estimate over windows gives an arc-hyperbolic tangent of the coherency's modulus; the mean of the
-    pseudo-values and two standard errors are carried back. A key with fewer than two windows gives no rows.
+    Each leave-one-out estimate over windows (total less own) gives an arc-hyperbolic tangent of the coherency's modulus; the mean of
+    the pseudo-values and two standard errors are carried back. A key with fewer than two windows gives no rows.
     """
-    step = window // 2
     tapers = slepian_tapers(window, nw, int(2 * nw - 1))
-    schema = f"{key} {pairs.schema[key].dataType.simpleString()}, f int, coherence double, lower double, upper double"
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(index)
-        a, b = g[x].to_numpy(float), g[y].to_numpy(float)
-        a, b = a - a.mean(), b - b.mean()
-        n = (len(a) - window) // step + 1 if len(a) >= window else 0
-        if n < 2:
-            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
-        spectra = []
-        for i in range(n):
-            fa = np.fft.rfft(tapers * a[i * step : i * step + window], axis=1)
-            fb = np.fft.rfft(tapers * b[i * step : i * step + window], axis=1)
-            spectra.append(((fa * fb.conj()).mean(0), (abs(fa) ** 2).mean(0), (abs(fb) ** 2).mean(0)))
-        xy, xx, yy = (np.array(s) for s in zip(*spectra, strict=True))
-
-        def z(s_xy: np.ndarray, s_xx: np.ndarray, s_yy: np.ndarray) -> np.ndarray:
-            return np.arctanh(np.minimum(abs(s_xy) / np.sqrt(np.maximum(s_xx * s_yy, 1e-300)), 1 - 1e-12))
-
-        whole = z(xy.sum(0), xx.sum(0), yy.sum(0))
-        pseudo = np.array([n * whole - (n - 1) * z(xy.sum(0) - xy[i], xx.sum(0) - xx[i], yy.sum(0) - yy[i]) for i in range(n)])
-        mean, error = pseudo.mean(0), pseudo.std(0, ddof=1) / np.sqrt(n)
-        back = lambda v: np.tanh(np.maximum(v, 0)) ** 2
-        return pd.DataFrame({key: g[key].iloc[0], "f": np.arange(len(mean), dtype=np.int32), "coherence": back(mean), "lower": back(mean - 2 * error), "upper": back(mean + 2 * error)})
-
-    return pairs.select(key, index, x, y).groupBy(key).applyInPandas(run, schema)
+    means = pairs.groupBy(key).agg(F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"))
+    cut = windows(pairs, key, index, [x, y], window, window // 2).where(F.size("u") == window).join(means, key)
+
+    def spectra(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in batches:
+            if not len(g):
+                continue
+            fa, fb = (np.fft.rfft(tapers * (np.stack(g[c].to_numpy()) - g[m].to_numpy(float)[:, None])[:, None, :], axis=2) for c, m in ((x, "mean_x"), (y, "mean_y")))
+            xy, xx, yy = (fa * fb.conj()).mean(1), (abs(fa) ** 2).mean(1), (abs(fb) ** 2).mean(1)
+            yield pd.DataFrame({key: g[key], "re": list(xy.real), "im": list(xy.imag), "xx": list(xx), "yy": list(yy)})
+
+    names = ("re", "im", "xx", "yy")
+    kind = pairs.schema[key].dataType.simpleString()
+    lists = cut.select(key, x, y, "mean_x", "mean_y").mapInPandas(spectra, f"{key} {kind}, " + ", ".join(f"{c} array<double>" for c in names))
+    own = lists.select(key, F.posexplode(F.arrays_zip(*names)).alias("f", "s")).select(key, "f", "s.*")
+    total = own.groupBy(key, "f").agg(F.count("*").alias("n"), *(F.sum(c).alias(f"all_{c}") for c in names)).where("n > 1")
+
+    def z(re: Column, im: Column, xx: Column, yy: Column) -> Column:
+        return F.atanh(F.least(F.sqrt(re * re + im * im) / F.sqrt(F.greatest(xx * yy, F.lit(1e-300))), F.lit(1 - 1e-12)))
+
+    n = F.col("n")
+    pseudo = n * z(*(F.col(f"all_{c}") for c in names)) - (n - 1) * z(*(F.col(f"all_{c}") - F.col(c) for c in names))
+    by = own.join(total, [key, "f"]).groupBy(key, "f").agg(F.avg(pseudo).alias("mean"), (F.stddev_samp(pseudo) / F.sqrt(F.max("n"))).alias("error"))
+    back = lambda v: F.pow(F.tanh(F.greatest(v, F.lit(0.0))), 2)
+    mean, error = F.col("mean"), F.col("error")
+    return by.select(key, "f", back(mean).alias("coherence"), back(mean - 2 * error).alias("lower"), back(mean + 2 * error).alias("upper"))
 
 
 def gaussian_spectrogram(clips: DataFrame, key: str, index: str, value: str, window: int, hop: int, deviations: float = 6.0) -> DataFrame:
-    """(key, frame, f, power_db): a Gaussian-windowed short-time spectrum of each clip in decibels."""
-    schema = f"{key} {clips.schema[key].dataType.simpleString()}, frame int, f int, power_db double"
+    """(key, frame, f, power_db): a Gaussian-windowed short-time spectrum of each clip, with zeros about it, in decibels."""
     centre = (np.arange(window) - (window - 1) / 2) / (window / deviations)
     shape = np.exp(-0.5 * centre**2)
+    pad = window // 2
+    ends = clips.groupBy(key).agg((F.max(index).cast("long") + (1 + 2 * pad - window)).alias("last"))
+    cut = windows(clips, key, index, [value], window, hop, pad).join(ends, key).where(F.col("win") * hop <= F.col("last"))
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        v = np.pad(g.sort_values(index)[value].to_numpy(float), window // 2)
-        starts = np.arange(0, max(len(v) - window + 1, 0), hop)
-        power = 20 * np.log10(np.maximum(abs(np.fft.rfft(np.array([shape * v[s : s + window] for s in starts]).reshape(-1, window), axis=1)), 1e-12))
-        frames, bins = power.shape
-        return pd.DataFrame({key: g[key].iloc[0], "frame": np.repeat(np.arange(frames, dtype=np.int32), bins), "f": np.tile(np.arange(bins, dtype=np.int32), frames), "power_db": power.ravel()})
+    def spectra(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in batches:
+            v = np.zeros((len(g), window))
+            for to, u, x in zip(v, g["u"], g[value], strict=True):
+                to[u] = x
+            power = 20 * np.log10(np.maximum(abs(np.fft.rfft(shape * v, axis=1)), 1e-12))
+            yield pd.DataFrame({key: g[key], "frame": g["win"], "p": list(power)})
 
-    return clips.select(key, index, value).groupBy(key).applyInPandas(run, schema)
+    rows = cut.select(key, "win", "u", value).mapInPandas(spectra, f"{key} {clips.schema[key].dataType.simpleString()}, frame int, p array<double>")
+    return rows.select(key, "frame", F.posexplode("p").alias("f", "power_db"))
 
 
 def resampled(clips: DataFrame, key: str, index: str, value: str, rate: float) -> DataFrame:
@@ -132,17 +146,17 @@ def notch(clips: DataFrame, key: str, index: str, value: str, frequency: float,
 def welch(clips: DataFrame, key: str, index: str, value: str, window: int) -> DataFrame:
     """(key, f, power): mean Hann-windowed periodogram over half-overlapping windows of each channel."""
     shape = np.hanning(window)
-    kind = clips.schema[key].dataType.simpleString()
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        v = g.sort_values(index)[value].to_numpy(float)
-        parts = [v[s : s + window] for s in range(0, len(v) - window + 1, window // 2)]
-        if not parts:
-            return pd.DataFrame({key: [], "f": [], "power": []})
-        power = np.mean([abs(np.fft.rfft(shape * (p - p.mean()))) ** 2 for p in parts], axis=0) / (shape @ shape)
-        return pd.DataFrame({key: g[key].iloc[0], "f": np.arange(len(power), dtype=np.int32), "power": power})
+    def spectra(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in batches:
+            if len(g):
+                v = np.stack(g[value].to_numpy())
+                power = abs(np.fft.rfft(shape * (v - v.mean(1, keepdims=True)), axis=1)) ** 2 / (shape @ shape)
+                yield pd.DataFrame({key: g[key], "p": list(power)})
 
-    return clips.select(key, index, value).groupBy(key).applyInPandas(run, f"{key} {kind}, f int, power double")
+    whole = windows(clips, key, index, [value], window, window // 2).where(F.size("u") == window).select(key, value)
+    rows = whole.mapInPandas(spectra, f"{key} {clips.schema[key].dataType.simpleString()}, p array<double>")
+    return rows.select(key, F.posexplode("p").alias("f", "p")).groupBy(key, "f").agg(F.avg("p").alias("power"))
 
 
 def bandpass(clips: DataFrame, key: str, index: str, value: str, low: float, high: float, rate: float) -> DataFrame:
