@@ -20,29 +20,30 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _drained(spark: SparkSession, rows: DataFrame, mode: str) -> DataFrame:
-    """Runs the stream to its end into Parquet in the shared folder and reads what it wrote."""
-    path = scratch_path(spark, "stream")
-    check = scratch_path(spark, "stream-state")
-    if mode == "append":
-        q = rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", check).outputMode(mode).trigger(availableNow=True).queryName(f"q{uuid.uuid4().hex}").start()
-    else:
-        q = rows.writeStream.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).option("checkpointLocation", check).outputMode(mode).trigger(availableNow=True).queryName(f"q{uuid.uuid4().hex}").start()
+def _drained(spark: SparkSession, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs the stream to its end in update mode; the last state of each group by ``keys``.
+
+    Each batch writes the groups it changed under its number in the shared folder, so a repeated batch replaces its own rows,
+    and Spark drops the state of windows that the watermark has passed.
+    """
+    path, check = scratch_path(spark, "stream"), scratch_path(spark, "stream-state")
+    q = rows.writeStream.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{path}/batch={i}")).option("checkpointLocation", check).outputMode("update").trigger(availableNow=True).queryName(f"q{uuid.uuid4().hex}").start()
     q.awaitTermination()
-    return spark.read.parquet(path)
+    others = [c for c in rows.columns if c not in keys]
+    return spark.read.parquet(path).groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("x")).select(*keys, "x.*")
 
 
 @query("SELECT event_type, epoch_us(date_trunc('hour', ts)) AS start_us, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly counts by type from the stream, all bins at the end."""
-    out = _drained(spark, windows.binned_counts(_stream(spark, sf_dir), "ts", "event_type", "1 hour", "1 hour"), "complete")
+    """Hourly counts by type from the stream."""
+    out = _drained(spark, windows.binned_counts(_stream(spark, sf_dir), "ts", "event_type", "1 hour", "1 hour"), ["event_type", "start"])
     return out.select("event_type", F.unix_micros("start").alias("start_us"), "n")
 
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS sy, sum(user_id)::BIGINT AS sx FROM events GROUP BY 1")
 def stream_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums by type as state of the stream."""
-    out = _drained(spark, windows.running_moments(_stream(spark, sf_dir), "event_type", "user_id", "value"), "complete")
+    out = _drained(spark, windows.running_moments(_stream(spark, sf_dir), "event_type", "user_id", "value"), ["event_type"])
     return out.select("event_type", "n", F.round("sy", 2).alias("sy"), F.col("sx").cast("long").alias("sx"))
 
 

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from evokit import catalog
 from evokit.functions import scalars
 from evokit.operators import components, encoders, histograms, intervals, regression, sequences, spectral, statistics
+from evokit.plans import streams
 from evokit.sources import readers, writers
+from evokit.streaming import windows
 
 
 def test_range_join_is_half_open(spark):
@@ -135,6 +137,64 @@ def test_tapers_and_multitaper(spark):
     assert low[0] > 0.9 > 0.3 > low[1]
 
 
+def test_windowed_spectra_are_those_of_the_series(spark):
+    r = np.random.default_rng(11)
+    series = {1: r.normal(size=(150, 2)), 2: r.normal(size=(97, 2)), 3: r.normal(size=(9, 2))}
+    rows = [(k, i, float(a), float(b)) for k, v in series.items() for i, (a, b) in enumerate(v)]
+    df = spark.createDataFrame(rows, "k int, t int, x double, y double").repartition(3)
+    got = {(g.k, g.frame, g.f): g.power_db for g in spectral.gaussian_spectrogram(df, "k", "t", "x", 16, 5).collect()}
+    shape = np.exp(-0.5 * ((np.arange(16) - 7.5) / (16 / 6)) ** 2)
+    want = {}
+    for k, v in series.items():
+        p = np.pad(v[:, 0], 8)
+        for n, s in enumerate(range(0, len(p) - 15, 5)):
+            want |= {(k, n, f): x for f, x in enumerate(20 * np.log10(np.maximum(abs(np.fft.rfft(shape * p[s : s + 16])), 1e-12)))}
+    assert got.keys() == want.keys() and all(abs(got[c] - want[c]) < 1e-8 for c in want)
+
+    got = {(g.k, g.f): (g.coherence, g.lower, g.upper) for g in spectral.multitaper_coherence(df, "k", "t", "x", "y", 32).collect()}
+    tapers = spectral.slepian_tapers(32, 3.0, 5)
+    assert {k for k, _ in got} == {1, 2}
+    for k in (1, 2):
+        a, b = (series[k] - series[k].mean(0)).T
+        s = []
+        for i in range(0, len(a) - 31, 16):
+            fa, fb = np.fft.rfft(tapers * a[i : i + 32], axis=1), np.fft.rfft(tapers * b[i : i + 32], axis=1)
+            s.append(((fa * fb.conj()).mean(0), (abs(fa) ** 2).mean(0), (abs(fb) ** 2).mean(0)))
+        n = len(s)
+        z = lambda parts: np.arctanh(abs(sum(p[0] for p in parts)) / np.sqrt(sum(p[1] for p in parts) * sum(p[2] for p in parts)))
+        pseudo = np.array([n * z(s) - (n - 1) * z(s[:i] + s[i + 1 :]) for i in range(n)])
+        mean, error = pseudo.mean(0), pseudo.std(0, ddof=1) / n**0.5
+        for f in range(17):
+            assert np.allclose(got[k, f], [np.tanh(max(v, 0)) ** 2 for v in (mean[f], mean[f] - 2 * error[f], mean[f] + 2 * error[f])], atol=1e-9)
+
+
+def test_smoothing_in_runs_is_smoothing_of_the_series(spark):
+    v = np.random.default_rng(12).normal(size=50)
+    df = spark.createDataFrame([(1, i, float(x)) for i, x in enumerate(v)], "k int, t int, v double")
+    h = [0.1, 0.3, 0.2, 0.3, 0.1]
+    for shift in (0, 1, -4):
+        got = [(x.t, x.smooth) for x in sequences.smooth(df, "k", "t", "v", h, shift, width=3).orderBy("t").collect()]
+        want = [sum(w * v[t + 2 - k + shift] for k, w in enumerate(h) if 0 <= t + 2 - k + shift < 50) for t in range(50)]
+        assert [t for t, _ in got] == list(range(50)) and np.allclose([x for _, x in got], want)
+
+
+def test_stream_bins_over_batches(spark, tmp_path):
+    schema = "event_id long, event_type string, user_id long, value double, s long"
+    parts = [[(1, "a", 1, 1.0, 10), (2, "a", 1, 1.0, 4000)], [(3, "a", 1, 1.0, 30), (4, "b", 1, 1.0, 90_000)], [(5, "a", 1, 1.0, 40), (6, "a", 1, 1.0, 90_001)], [(7, "a", 1, 1.0, 50)]]
+    path = str(tmp_path / "events.parquet")
+    for p in parts:
+        spark.createDataFrame(p, schema).coalesce(1).withColumn("ts", F.timestamp_seconds("s")).write.mode("append").parquet(path)
+
+    def counts(rows):
+        out = streams._drained(spark, windows.binned_counts(rows, "ts", "event_type", "1 hour", "1 hour"), ["event_type", "start"])
+        return sorted((x.event_type, x.start.timestamp() // 3600, x.n) for x in out.collect())
+
+    assert counts(streams._stream(spark, str(tmp_path))) == [("a", 0, 4), ("a", 1, 1), ("a", 25, 1), ("b", 25, 1)]
+    # A file a batch: the row at 50 s comes a batch after the watermark has passed its hour.
+    slow = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    assert counts(slow) == [("a", 0, 3), ("a", 1, 1), ("a", 25, 1), ("b", 25, 1)]
+
+
 def test_filters(spark):
     t = np.arange(480)
     df = spark.createDataFrame([(1, int(i), float(3 + np.sin(2 * np.pi * i / 24))) for i in t], "k int, t int, v double")
