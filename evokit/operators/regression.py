@@ -116,6 +116,54 @@ def ridge_loo(by_set: dict[object, Moments], tolerances: list[float]) -> list[di
     return out
 
 
+def shrunk(h: np.ndarray, sd: np.ndarray, n: float, eps: float = 1e-12) -> np.ndarray:
+    """Coefficients scaled by a soft step at ``n`` standard deviations; n = 0 leaves them."""
+    return h if n <= 0 else (1 + np.tanh(2 * (abs(h) - n * sd) / (sd + eps))) / 2 * h
+
+
+def direct_fit_grid(by_set: dict[object, Moments], tolerances: list[float], sparsenesses: list[float]) -> tuple[list[dict[str, float]], dict[str, float]]:
+    """R2 of each set predicted by the others for each tolerance and sparseness, and the first best of them.
+
+    The delete-one fits of a tolerance are shrunk where they are under ``sparseness`` of their jackknife deviations;
+    their biases follow from the means of the sets that they were fitted to.
+    """
+    whole = total(by_set)
+    norm = max(np.linalg.norm((whole - m).centred()[0]) for m in by_set.values())
+    p, w = whole.products, whole.weight
+    variance = p[-1, -1] / w - (p[-1, -2] / w) ** 2
+    out: list[dict[str, float]] = []
+    for tol in tolerances:
+        fits = np.array([ridge(whole - m, tol * norm)[0] for m in by_set.values()])
+        sd = fits.std(axis=0) * np.sqrt(len(fits) - 1)
+        for n in sparsenesses:
+            error = 0.0
+            for m, h in zip(by_set.values(), shrunk(fits, sd, n), strict=True):
+                _, _, mx, my = (whole - m).centred()
+                error += m.squared_error(h, float(my - mx @ h))
+            out.append({"tol": tol, "sparseness": n, "r2cv": float(1 - error / w / variance)})
+    best = out[0]
+    for r in out[1:]:
+        if r["r2cv"] > best["r2cv"]:
+            best = r
+    return out, best
+
+
+def penalty_by_folds(by_set: dict[object, Moments], penalties: list[float], folds: int = 3) -> tuple[list[dict[str, float]], float, np.ndarray, float]:
+    """(scores, penalty, coefficients, bias): sets dealt out to folds in their order, the mean correlation of the folds' predictions for each penalty, and the refit with the first best."""
+    groups = [total(dict(enumerate(g))) for g in (list(by_set.values())[k::folds] for k in range(folds)) if g]
+    whole = total(dict(enumerate(groups)))
+
+    def correlation(m: Moments, h: np.ndarray) -> float:
+        c, b, _, _ = m.centred()
+        p, w = m.products, m.weight
+        scale = (h @ c @ h) * (p[-1, -1] / w - (p[-1, -2] / w) ** 2)
+        return float(h @ b / np.sqrt(scale)) if scale > 0 else 0.0
+
+    scores = [{"penalty": v, "r": float(np.mean([correlation(m, ridge(whole - m, v)[0]) for m in groups]))} for v in penalties]
+    best = max(scores, key=lambda s: s["r"])["penalty"]
+    return scores, best, *ridge(whole, best)
+
+
 def near_diagonal_inverse(c: np.ndarray, tol: float) -> np.ndarray:
     """Inverse that shrinks off-diagonal parts: (c + tol diag c)^-1 (1 + tol)."""
     return np.linalg.inv(c / (1 + tol) + np.diag(np.diag(c)) * tol / (1 + tol))
@@ -186,6 +234,15 @@ def principal_components(m: Moments, k: int) -> tuple[np.ndarray, np.ndarray]:
     return s, u * np.sign(u[np.argmax(abs(u), axis=0), np.arange(u.shape[1])])
 
 
+def component_regression(m: Moments, k: int) -> tuple[np.ndarray, float]:
+    """Coefficients and bias of a regression on the ``k`` largest principal components of the features; directions without variance are left out."""
+    _, b, mx, my = m.centred()
+    s, u = principal_components(m, k)
+    keep = s > 1e-12 * max(s[0], 1e-300) if len(s) else np.zeros(0, bool)
+    coef = u[:, keep] @ ((u[:, keep].T @ b) / s[keep])
+    return coef, float(my - mx @ coef)
+
+
 def fourier_ridge(auto: np.ndarray, cross: np.ndarray, tol: float) -> np.ndarray:
     """Filter (bands, lags) from lagged stimulus products (bands, bands, lags) and stimulus-response products (bands, lags).
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evokit.catalog import query
@@ -41,12 +41,15 @@ def ridge_2var_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(t, *(round(float(v), 5) for v in rg.ridge(m, t)[0])) for t in _TOLS], "lam double, h1 double, h2 double")
 
 
-@query(f"""WITH {FRAME_SQL}, s AS (SELECT set_id, sum(w) sw, sum(w*x1) s1, sum(w*x2) s2, sum(w*y) sy, sum(w*x1*x1) s11, sum(w*x2*x2) s22, sum(w*x1*x2) s12, sum(w*x1*y) s1y, sum(w*x2*y) s2y, sum(w*y*y) syy FROM fr GROUP BY 1),
+_LOO = f"""{FRAME_SQL}, s AS (SELECT set_id, sum(w) sw, sum(w*x1) s1, sum(w*x2) s2, sum(w*y) sy, sum(w*x1*x1) s11, sum(w*x2*x2) s22, sum(w*x1*x2) s12, sum(w*x1*y) s1y, sum(w*x2*y) s2y, sum(w*y*y) syy FROM fr GROUP BY 1),
 t AS (SELECT sum(sw) sw, sum(s1) s1, sum(s2) s2, sum(sy) sy, sum(s11) s11, sum(s22) s22, sum(s12) s12, sum(s1y) s1y, sum(s2y) s2y, sum(syy) syy FROM s),
 r AS (SELECT set_id, s.sw w, s.s1 e1, s.s2 e2, s.sy ey, s.s11 e11, s.s22 e22, s.s12 e12, s.s1y e1y, s.s2y e2y, s.syy eyy, t.sw-s.sw sw, t.s1-s.s1 s1, t.s2-s.s2 s2, t.sy-s.sy sy, t.s11-s.s11 s11, t.s22-s.s22 s22, t.s12-s.s12 s12, t.s1y-s.s1y s1y, t.s2y-s.s2y s2y FROM s, t),
 c AS (SELECT *, s1/sw m1, s2/sw m2, sy/sw my, s11/sw-(s1/sw)*(s1/sw) a, s22/sw-(s2/sw)*(s2/sw) d, s12/sw-(s1/sw)*(s2/sw) b, s1y/sw-(s1/sw)*(sy/sw) p, s2y/sw-(s2/sw)*(sy/sw) q FROM r),
 n AS (SELECT max(sqrt(a*a+d*d+2*b*b)) nm FROM c), l(tol) AS (VALUES {", ".join(f"({t}::DOUBLE)" for t in _TOLS)}),
-h AS (SELECT c.*, tol, ((d+tol*nm)*p-b*q)/((a+tol*nm)*(d+tol*nm)-b*b) h1, ((a+tol*nm)*q-b*p)/((a+tol*nm)*(d+tol*nm)-b*b) h2 FROM c, n, l),
+h AS (SELECT c.*, tol, ((d+tol*nm)*p-b*q)/((a+tol*nm)*(d+tol*nm)-b*b) h1, ((a+tol*nm)*q-b*p)/((a+tol*nm)*(d+tol*nm)-b*b) h2 FROM c, n, l)"""
+
+
+@query(f"""WITH {_LOO},
 e AS (SELECT tol, sum(h1*h1*e11 + h2*h2*e22 + (my-m1*h1-m2*h2)*(my-m1*h1-m2*h2)*w + eyy + 2*h1*h2*e12 + 2*h1*(my-m1*h1-m2*h2)*e1 + 2*h2*(my-m1*h1-m2*h2)*e2 - 2*h1*e1y - 2*h2*e2y - 2*(my-m1*h1-m2*h2)*ey) AS sse FROM h GROUP BY 1)
 SELECT tol, round(1 - sse/t.sw/(t.syy/t.sw-(t.sy/t.sw)*(t.sy/t.sw)), 6) AS r2cv FROM e, t""")
 def ridge_loo_r2cv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +58,33 @@ def ridge_loo_r2cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(r["tol"], round(float(r["r2cv"]), 6)) for r in rows], "tol double, r2cv double")
 
 
+_GRID = f"""{_LOO}, z AS (SELECT tol, stddev_pop(h1) * sqrt(count(*) - 1) z1, stddev_pop(h2) * sqrt(count(*) - 1) z2 FROM h GROUP BY 1), k(sparseness) AS (VALUES (0.0::DOUBLE), (1.0::DOUBLE), (2.0::DOUBLE), (6.0::DOUBLE)),
+g AS (SELECT h.* EXCLUDE (h1, h2), sparseness, CASE WHEN sparseness = 0 THEN h1 ELSE (1 + tanh(2 * (abs(h1) - sparseness * z1) / (z1 + 1e-12::DOUBLE))) / 2 * h1 END AS h1,
+CASE WHEN sparseness = 0 THEN h2 ELSE (1 + tanh(2 * (abs(h2) - sparseness * z2) / (z2 + 1e-12::DOUBLE))) / 2 * h2 END AS h2 FROM h JOIN z USING (tol), k),
+e AS (SELECT tol, sparseness, sum(h1*h1*e11 + h2*h2*e22 + (my-m1*h1-m2*h2)*(my-m1*h1-m2*h2)*w + eyy + 2*h1*h2*e12 + 2*h1*(my-m1*h1-m2*h2)*e1 + 2*h2*(my-m1*h1-m2*h2)*e2 - 2*h1*e1y - 2*h2*e2y - 2*(my-m1*h1-m2*h2)*ey) AS sse FROM g GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_GRID} SELECT tol, sparseness, round(1 - sse/t.sw/(t.syy/t.sw-(t.sy/t.sw)*(t.sy/t.sw)), 6) AS r2cv FROM e, t")
+def direct_fit_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tolerances by sparsenesses, each set predicted by the others, from one pass of sums."""
+    rows, _ = rg.direct_fit_grid(_moments(spark, sf_dir, True), _TOLS, [0.0, 1.0, 2.0, 6.0])
+    return spark.createDataFrame([(r["tol"], r["sparseness"], round(r["r2cv"], 6)) for r in rows], "tol double, sparseness double, r2cv double")
+
+
+@query(f"""WITH {FRAME_SQL}, s AS (SELECT folds.f, fr.* FROM fr JOIN (SELECT set_id, (row_number() OVER (ORDER BY set_id) - 1) % 3 AS f FROM (SELECT DISTINCT set_id FROM fr)) folds USING (set_id)),
+l(penalty) AS (VALUES {", ".join(f"({t}::DOUBLE)" for t in _TOLS)}), k AS (SELECT DISTINCT f FROM s),
+tr AS (SELECT k.f, sum(w) sw, sum(w*x1)/sum(w) m1, sum(w*x2)/sum(w) m2, sum(w*y)/sum(w) my, sum(w*x1*x1)/sum(w) s11, sum(w*x2*x2)/sum(w) s22, sum(w*x1*x2)/sum(w) s12, sum(w*x1*y)/sum(w) s1y, sum(w*x2*y)/sum(w) s2y FROM k JOIN s ON s.f <> k.f GROUP BY 1),
+c AS (SELECT f, s11-m1*m1 a, s22-m2*m2 d, s12-m1*m2 b, s1y-m1*my p, s2y-m2*my q FROM tr),
+h AS (SELECT f, penalty, ((d+penalty)*p-b*q)/((a+penalty)*(d+penalty)-b*b) h1, ((a+penalty)*q-b*p)/((a+penalty)*(d+penalty)-b*b) h2 FROM c, l),
+v AS (SELECT h.f, penalty, h1*x1 + h2*x2 AS pred, y, w FROM s JOIN h USING (f)),
+r AS (SELECT f, penalty, (sum(w*pred*y)/sum(w) - sum(w*pred)/sum(w)*sum(w*y)/sum(w)) / sqrt((sum(w*pred*pred)/sum(w) - (sum(w*pred)/sum(w))*(sum(w*pred)/sum(w))) * (sum(w*y*y)/sum(w) - (sum(w*y)/sum(w))*(sum(w*y)/sum(w)))) AS r FROM v GROUP BY 1, 2)
+SELECT penalty, round(avg(r), 5) AS r FROM r GROUP BY 1""")
+def penalty_by_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Penalties by the mean correlation over three folds of sets; folds' sums are sums of the sets'."""
+    scores, *_ = rg.penalty_by_folds(_moments(spark, sf_dir, True), _TOLS)
+    return spark.createDataFrame([(x["penalty"], round(x["r"], 5)) for x in scores], "penalty double, r double")
+
+
 @query(f"""WITH RECURSIVE {_M}, g AS (SELECT 0 AS k, 0.0::DOUBLE AS h1, 0.0::DOUBLE AS h2, a, b, d, p, q FROM c UNION ALL SELECT k + 1, h1 - 50.0*(a*h1 + b*h2 - p), h2 - 50.0*(b*h1 + d*h2 - q), a, b, d, p, q FROM g WHERE k < 20)
 SELECT k, round(h1, 6) AS h1, round(h2, 6) AS h2 FROM g WHERE k > 0""")
 def grad_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,6 +168,16 @@ def pca_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, d, round(float(s[k]), 6), round(float(u[d, k]), 6)) for k in range(len(s)) for d in range(len(u))], "component int, d int, variance double, loading double")
 
 
+@query()
+def component_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regressions on the largest 10, 20, 50 and all 64 principal components; R2 over all rows."""
+    m = rg.total(rg.array_moments(_vectors(spark, sf_dir), "embedding", "y", "label"))
+    p, w = m.products, m.weight
+    variance = p[-1, -1] / w - (p[-1, -2] / w) ** 2
+    rows = [(k, float(1 - m.squared_error(*rg.component_regression(m, k)) / w / variance)) for k in (10, 20, 50, 64)]
+    return spark.createDataFrame([(k, round(r, 6)) for k, r in rows], "components int, r2 double")
+
+
 @query()
 def ridge_vectors_loo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delete-one ridge of 64 channels over labels as sets."""
@@ -173,6 +213,22 @@ def logistic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.transform(rows).select("vec_id", vector_to_array("probability")[1].alias("p"), F.col("prediction"))
 
 
+@query()
+def logistic_delayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The busiest band of an hour (the first by name among equals) told from the counts of all bands one to three hours before: multinomial regression, with its accuracy."""
+    cells = hourly(spark, sf_dir)
+    most = cells.groupBy("t").agg(F.max("n").alias("n"))
+    busiest = cells.join(most, ["t", "n"]).groupBy("t").agg(F.min("band").alias("band"))
+    names = cells.select("band").distinct().withColumn("label", (F.row_number().over(Window.orderBy("band")) - 1).cast("double"))  # a short list of bands
+    ahead = cells.select("band", "n", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("delay"), "t").withColumn("t", F.col("t") + F.col("delay"))
+    x = ahead.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("band", "delay", "n"))).alias("x"), F.count("*").alias("k"))
+    full = names.agg((F.count("*") * 3).alias("full"))
+    rows = x.crossJoin(F.broadcast(full)).where("k = full").join(busiest, "t").join(F.broadcast(names), "band")  # one row; a row a band
+    rows = rows.select("t", "label", array_to_vector(F.transform("x", lambda v: v["n"].cast("double"))).alias("features"))
+    model = LogisticRegression(family="multinomial", maxIter=50, regParam=0.01, tol=1e-8).fit(rows)
+    return model.transform(rows).groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg((F.col("prediction") == F.col("label")).cast("double")), 6).alias("accuracy"))
+
+
 @query()
 def receptive_field_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A spectro-temporal filter of purchases on the other bands: lagged products by Spark, Fourier ridge on (bands, lags)."""

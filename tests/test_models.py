@@ -96,3 +96,47 @@ def test_sparse_design_is_dense_design(spark):
     for k in range(3):
         z = np.column_stack((x, np.ones(60), y))[s == k]
         assert np.allclose(by[k].products, (z * w[s == k][:, None]).T @ z) and by[k].rows == 20
+
+
+def test_grid_components_and_folds(spark):
+    r = np.random.default_rng(21)
+    x = r.normal(size=(300, 4)) @ np.diag([3, 1, 0.3, 0.1]) + 1
+    y = x @ [1.0, 0.0, -0.5, 0.0] + 2 + r.normal(size=300)
+    rows = spark.createDataFrame([(i % 6, v.tolist(), float(b)) for i, (v, b) in enumerate(zip(x, y, strict=True))], "s int, v array<double>, y double")
+    by = regression.array_moments(rows, "v", "y", "s")
+    sets = np.arange(300) % 6
+    fits = {}
+    norm = max(np.linalg.norm(np.cov(x[sets != s].T, bias=True)) for s in range(6))
+    for tol in (0.1, 0.001):
+        hs = []
+        for s in range(6):
+            a, b = x[sets != s], y[sets != s]
+            c = np.cov(a.T, bias=True) + tol * norm * np.eye(4)
+            hs.append(np.linalg.solve(c, (a - a.mean(0)).T @ (b - b.mean()) / len(b)))
+        sd = np.array(hs).std(0) * 5**0.5
+        for n in (0, 2):
+            error = 0.0
+            for s, h in enumerate(hs):
+                h = h * (1 + np.tanh(2 * (abs(h) - n * sd) / (sd + 1e-12))) / 2 if n else h
+                error += ((x[sets == s] @ h + y[sets != s].mean() - x[sets != s].mean(0) @ h - y[sets == s]) ** 2).sum()
+            fits[tol, n] = 1 - error / 300 / y.var()
+    got, best = regression.direct_fit_grid(by, [0.1, 0.001], [0, 2])
+    assert all(abs(g["r2cv"] - fits[g["tol"], g["sparseness"]]) < 1e-9 for g in got) and len(got) == 4
+    assert best["r2cv"] == max(g["r2cv"] for g in got)
+
+    u, s, vt = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    for k in (1, 2, 4):
+        coef, bias = regression.component_regression(regression.total(by), k)
+        want = vt[:k].T @ (u[:, :k].T @ (y - y.mean()) / s[:k])
+        assert np.allclose(coef, want) and abs(bias - (y.mean() - x.mean(0) @ want)) < 1e-9
+
+    scores, best, coef, _ = regression.penalty_by_folds(by, [0.01, 1.0, 1e4])
+    for g in scores:
+        rs = []
+        for f in range(3):
+            test = sets % 3 == f
+            a, b = x[~test], y[~test]
+            h = np.linalg.solve(np.cov(a.T, bias=True) + g["penalty"] * np.eye(4), (a - a.mean(0)).T @ (b - b.mean()) / len(b))
+            rs.append(np.corrcoef(x[test] @ h, y[test])[0, 1])
+        assert abs(g["r"] - np.mean(rs)) < 1e-9
+    assert best == max(scores, key=lambda g: g["r"])["penalty"] and len(coef) == 4
