@@ -51,15 +51,28 @@ def path_following(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, lam, float(e), float(np.linalg.norm(h))) for k, (lam, e, h) in enumerate(path)], "step int, lam double, error double, norm double")
 
 
-@query()
+_PIXELS = "px AS (SELECT vec_id, r.i AS i, embedding[r.i + 1]::DOUBLE AS v, (r.i // 8 + 0.5::DOUBLE) / 8 - 0.5::DOUBLE AS x, (r.i % 8 + 0.5::DOUBLE) / 8 - 0.5::DOUBLE AS y FROM embeddings, range(64) r(i))"
+
+
+def _energy_sql(angle: int, frequency: int) -> str:
+    at = f"2 * pi() * {frequency} * (x * cos(pi() * {angle} / 4) + y * sin(pi() * {angle} / 4))"
+    part = lambda f: f"pow(sum(v * exp(-0.5 * (x * x + y * y) / 0.09::DOUBLE) * {f}({at})), 2)"
+    return f"round(sqrt({part('cos')} + {part('sin')}), 6) AS g_{angle}_{frequency - 1}"
+
+
+@query(f"WITH {_PIXELS} SELECT vec_id, {', '.join(_energy_sql(k, f) for k in range(4) for f in (1, 2))} FROM px GROUP BY vec_id")
 def gabor_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quadrature energies of the embeddings read as 8 by 8 images."""
-    return kernels.gabor_energy(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", 8, 4, (1.0, 2.0)).drop("embedding")
+    out = kernels.gabor_energy(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", 8, 4, (1.0, 2.0)).drop("embedding")
+    return out.select("vec_id", *(F.round(c, 6).alias(c) for c in out.columns if c != "vec_id"))
 
 
-@query()
+@query(f"""WITH {_PIXELS} SELECT vec_id, k.i::INT AS k, round(pow(sum(v * cos(2 * pi() * (((px.i // 8) * (k.i // 8) + (px.i % 8) * (k.i % 8)) % 8) / 8)), 2) + pow(sum(v * sin(2 * pi() * (((px.i // 8) * (k.i // 8) + (px.i % 8) * (k.i % 8)) % 8) / 8)), 2), 6) AS power
+FROM px, range(64) k(i) GROUP BY 1, 2""")
 def modulation_power(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kernels.modulation_power(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", 8)
+    """Two-dimensional modulation power of the embeddings read as 8 by 8 images, a row a frequency."""
+    out = kernels.modulation_power(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", 8)
+    return out.select("vec_id", F.posexplode("power").alias("k", "power")).withColumn("power", F.round("power", 6))
 
 
 @query()

@@ -208,21 +208,32 @@ def coherence_mtm_jn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spectral.multitaper_coherence(pairs, "band", "t", "x", "y", 128)
 
 
-@query()
+@query(f"""WITH {HOURLY_SQL}, w AS (SELECT band, k.i AS win, t + 24 - 12 * k.i AS u, n FROM hourly, hb, unnest(range((z - a + 1) // 12 + 1)) k(i) WHERE t + 24 - 12 * k.i BETWEEN 0 AND 47),
+d AS (SELECT band, win, u, n * exp(-0.5 * pow((u - 23.5) / 8, 2)) AS v FROM w)
+SELECT band, win::INT AS frame, f.i::INT AS f, round(20 * log10(greatest(sqrt(pow(sum(v * cos(2 * pi() * f.i * u / 48)), 2) + pow(sum(v * sin(2 * pi() * f.i * u / 48)), 2)), 1e-12)), 4) AS power_db FROM d, range(25) f(i) GROUP BY 1, 2, 3""")
 def spectrogram_gauss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spectral.gaussian_spectrogram(hourly(spark, sf_dir), "band", "t", "n", 48, 12)
+    """Hourly counts in Gaussian windows of two days, one every half day."""
+    return spectral.gaussian_spectrogram(hourly(spark, sf_dir), "band", "t", "n", 48, 12).withColumn("power_db", F.round("power_db", 4))
 
 
-@query()
+@query(f"""WITH {HOURLY_SQL}, l AS (SELECT (z - a + 1)::BIGINT AS len, round_even((z - a + 1) * 0.25::DOUBLE, 0)::BIGINT AS m FROM hb), k AS (SELECT r.i AS k, CASE WHEN r.i = 0 OR 2 * r.i = m THEN 1 ELSE 2 END AS c FROM l, unnest(range(m // 2 + 1)) r(i)),
+x AS (SELECT band, k, c, sum(n * cos(2 * pi() * ((k * t) % len) / len)) AS re, sum(-n * sin(2 * pi() * ((k * t) % len) / len)) AS im FROM hourly, k, l GROUP BY 1, 2, 3)
+SELECT band, o.i AS i, round(sum(c * (re * cos(2 * pi() * ((k * o.i) % m) / m) - CASE WHEN c = 1 THEN 0 ELSE im * sin(2 * pi() * ((k * o.i) % m) / m) END)) / any_value(len), 6) + 0.0::DOUBLE AS value FROM x, l, unnest(range(m)) o(i) GROUP BY 1, 2""")
 def resample_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly counts resampled to one sample in four hours."""
-    return spectral.resampled(hourly(spark, sf_dir), "band", "t", "n", 0.25)
+    return spectral.resampled(hourly(spark, sf_dir), "band", "t", "n", 0.25).withColumn("value", F.round("value", 6))
 
 
-@query()
+_BETA = math.tan(2 * math.pi / 24 / 10 / 2)
+_NOTCH = (1 / (1 + _BETA), -2 / (1 + _BETA) * math.cos(2 * math.pi / 24), 2 / (1 + _BETA) - 1)
+
+
+@query(f"""WITH RECURSIVE {HOURLY_SQL}, x AS (SELECT band, t, {_NOTCH[0]!r}::DOUBLE * (n + lag(n, 2, 0) OVER w) + {_NOTCH[1]!r}::DOUBLE * lag(n, 1, 0) OVER w AS x FROM hourly WINDOW w AS (PARTITION BY band ORDER BY t)),
+y AS (SELECT band, t, x AS y, 0.0::DOUBLE AS y1 FROM x WHERE t = 0 UNION ALL SELECT y.band, x.t, x.x - {_NOTCH[1]!r}::DOUBLE * y.y - {_NOTCH[2]!r}::DOUBLE * y.y1, y.y FROM y JOIN x ON x.band = y.band AND x.t = y.t + 1)
+SELECT band, t AS i, round(y, 6) + 0.0::DOUBLE AS value FROM y""")
 def notch_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly counts without their daily cycle."""
-    return spectral.notch(hourly(spark, sf_dir), "band", "t", "n", 1.0, 24.0, 10.0)
+    return spectral.notch(hourly(spark, sf_dir), "band", "t", "n", 1.0, 24.0, 10.0).withColumn("value", F.round("value", 6))
 
 
 @query(f"""WITH {HOURLY_SQL}, x AS (SELECT a.t, a.n AS y, lag(a.n) OVER (ORDER BY a.t) AS y1, lag(b.n) OVER (ORDER BY a.t) AS x1 FROM hourly a JOIN hourly b USING (t) WHERE a.band = 'purchase' AND b.band = 'view'),

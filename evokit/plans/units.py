@@ -81,15 +81,21 @@ def grad_line_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, *glm.line_search_descent(rows, ["x1", "x2"], "y", "poisson", 8))
 
 
-@query()
+@query(f"""WITH {HOURLY_SQL}, w AS (SELECT band, k.i AS win, t - 24 * k.i AS u, n, 0.5 - 0.5 * cos(2 * pi() * (t - 24 * k.i) / 47) AS h FROM hourly, hb, unnest(range((z - a + 1) // 24)) k(i) WHERE t - 24 * k.i BETWEEN 0 AND 47 AND 24 * k.i + 48 <= z - a + 1),
+d AS (SELECT band, win, u, h, (n - avg(n) OVER (PARTITION BY band, win)) * h AS v FROM w),
+p AS (SELECT band, win, f.i AS f, pow(sum(v * cos(2 * pi() * f.i * u / 48)), 2) + pow(sum(v * sin(2 * pi() * f.i * u / 48)), 2) AS p, sum(h * h) AS hh FROM d, range(25) f(i) GROUP BY 1, 2, 3)
+SELECT band, f::INT AS f, round(avg(p / hh), 6) + 0.0::DOUBLE AS power FROM p GROUP BY 1, 2""")
 def psd_welch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spectral.welch(hourly(spark, sf_dir), "band", "t", "n", 48)
+    """Spectra of hourly counts over half-overlapping windows of two days."""
+    return spectral.welch(hourly(spark, sf_dir), "band", "t", "n", 48).withColumn("power", F.round("power", 6))
 
 
-@query()
+@query(f"""WITH {HOURLY_SQL}, l AS (SELECT (z - a + 1)::BIGINT AS len FROM hb), k AS (SELECT r.i AS k FROM l, unnest(range(len // 2 + 1)) r(i) WHERE r.i * 24.0::DOUBLE / len BETWEEN 0.5 AND 4.0),
+x AS (SELECT band, k, sum(n * cos(2 * pi() * ((k * t) % len) / len)) AS re, sum(-n * sin(2 * pi() * ((k * t) % len) / len)) AS im FROM hourly, k, l GROUP BY 1, 2)
+SELECT h.band, h.t AS i, round(sum(2 * (re * cos(2 * pi() * ((k * t) % len) / len) - im * sin(2 * pi() * ((k * t) % len) / len))) / any_value(len), 6) + 0.0::DOUBLE AS value FROM hourly h JOIN x USING (band), l GROUP BY 1, 2""")
 def bandpass_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly counts between half a cycle and four cycles a day."""
-    return spectral.bandpass(hourly(spark, sf_dir), "band", "t", "n", 0.5, 4.0, 24.0)
+    return spectral.bandpass(hourly(spark, sf_dir), "band", "t", "n", 0.5, 4.0, 24.0).withColumn("value", F.round("value", 6))
 
 
 @query()
