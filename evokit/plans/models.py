@@ -41,7 +41,7 @@ def ridge_2var_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(t, *(round(float(v), 5) for v in rg.ridge(m, t)[0])) for t in _TOLS], "lam double, h1 double, h2 double")
 
 
-_LOO = f"""{FRAME_SQL}, s AS (SELECT set_id, sum(w) sw, sum(w*x1) s1, sum(w*x2) s2, sum(w*y) sy, sum(w*x1*x1) s11, sum(w*x2*x2) s22, sum(w*x1*x2) s12, sum(w*x1*y) s1y, sum(w*x2*y) s2y, sum(w*y*y) syy FROM fr GROUP BY 1),
+LOO_SQL = f"""{FRAME_SQL}, s AS (SELECT set_id, sum(w) sw, sum(w*x1) s1, sum(w*x2) s2, sum(w*y) sy, sum(w*x1*x1) s11, sum(w*x2*x2) s22, sum(w*x1*x2) s12, sum(w*x1*y) s1y, sum(w*x2*y) s2y, sum(w*y*y) syy FROM fr GROUP BY 1),
 t AS (SELECT sum(sw) sw, sum(s1) s1, sum(s2) s2, sum(sy) sy, sum(s11) s11, sum(s22) s22, sum(s12) s12, sum(s1y) s1y, sum(s2y) s2y, sum(syy) syy FROM s),
 r AS (SELECT set_id, s.sw w, s.s1 e1, s.s2 e2, s.sy ey, s.s11 e11, s.s22 e22, s.s12 e12, s.s1y e1y, s.s2y e2y, s.syy eyy, t.sw-s.sw sw, t.s1-s.s1 s1, t.s2-s.s2 s2, t.sy-s.sy sy, t.s11-s.s11 s11, t.s22-s.s22 s22, t.s12-s.s12 s12, t.s1y-s.s1y s1y, t.s2y-s.s2y s2y FROM s, t),
 c AS (SELECT *, s1/sw m1, s2/sw m2, sy/sw my, s11/sw-(s1/sw)*(s1/sw) a, s22/sw-(s2/sw)*(s2/sw) d, s12/sw-(s1/sw)*(s2/sw) b, s1y/sw-(s1/sw)*(sy/sw) p, s2y/sw-(s2/sw)*(sy/sw) q FROM r),
@@ -49,7 +49,7 @@ n AS (SELECT max(sqrt(a*a+d*d+2*b*b)) nm FROM c), l(tol) AS (VALUES {", ".join(f
 h AS (SELECT c.*, tol, ((d+tol*nm)*p-b*q)/((a+tol*nm)*(d+tol*nm)-b*b) h1, ((a+tol*nm)*q-b*p)/((a+tol*nm)*(d+tol*nm)-b*b) h2 FROM c, n, l)"""
 
 
-@query(f"""WITH {_LOO},
+@query(f"""WITH {LOO_SQL},
 e AS (SELECT tol, sum(h1*h1*e11 + h2*h2*e22 + (my-m1*h1-m2*h2)*(my-m1*h1-m2*h2)*w + eyy + 2*h1*h2*e12 + 2*h1*(my-m1*h1-m2*h2)*e1 + 2*h2*(my-m1*h1-m2*h2)*e2 - 2*h1*e1y - 2*h2*e2y - 2*(my-m1*h1-m2*h2)*ey) AS sse FROM h GROUP BY 1)
 SELECT tol, round(1 - sse/t.sw/(t.syy/t.sw-(t.sy/t.sw)*(t.sy/t.sw)), 6) AS r2cv FROM e, t""")
 def ridge_loo_r2cv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def ridge_loo_r2cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(r["tol"], round(float(r["r2cv"]), 6)) for r in rows], "tol double, r2cv double")
 
 
-_GRID = f"""{_LOO}, z AS (SELECT tol, stddev_pop(h1) * sqrt(count(*) - 1) z1, stddev_pop(h2) * sqrt(count(*) - 1) z2 FROM h GROUP BY 1), k(sparseness) AS (VALUES (0.0::DOUBLE), (1.0::DOUBLE), (2.0::DOUBLE), (6.0::DOUBLE)),
+_GRID = f"""{LOO_SQL}, z AS (SELECT tol, stddev_pop(h1) * sqrt(count(*) - 1) z1, stddev_pop(h2) * sqrt(count(*) - 1) z2 FROM h GROUP BY 1), k(sparseness) AS (VALUES (0.0::DOUBLE), (1.0::DOUBLE), (2.0::DOUBLE), (6.0::DOUBLE)),
 g AS (SELECT h.* EXCLUDE (h1, h2), sparseness, CASE WHEN sparseness = 0 THEN h1 ELSE (1 + tanh(2 * (abs(h1) - sparseness * z1) / (z1 + 1e-12::DOUBLE))) / 2 * h1 END AS h1,
 CASE WHEN sparseness = 0 THEN h2 ELSE (1 + tanh(2 * (abs(h2) - sparseness * z2) / (z2 + 1e-12::DOUBLE))) / 2 * h2 END AS h2 FROM h JOIN z USING (tol), k),
 e AS (SELECT tol, sparseness, sum(h1*h1*e11 + h2*h2*e22 + (my-m1*h1-m2*h2)*(my-m1*h1-m2*h2)*w + eyy + 2*h1*h2*e12 + 2*h1*(my-m1*h1-m2*h2)*e1 + 2*h2*(my-m1*h1-m2*h2)*e2 - 2*h1*e1y - 2*h2*e2y - 2*(my-m1*h1-m2*h2)*ey) AS sse FROM g GROUP BY 1, 2)"""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,6 +13,7 @@ from evokit.catalog import query
 from evokit.operators import glm, histograms, regression, spectral
 from evokit.operators import statistics as st
 from evokit.plans.events import _BASE, HOUR, HOURLY_SQL, aligned_spikes, hourly
+from evokit.plans.models import LOO_SQL
 from evokit.plans.statistics import FRAME_SQL, frame
 from evokit.session import table
 
@@ -60,25 +64,36 @@ def _lagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("t", F.col("purchase").cast("double").alias("y")).join(ahead, "t")
 
 
+@contextlib.contextmanager
+def kept(rows: DataFrame) -> Iterator[DataFrame]:
+    """Rows held on the executors while a fit passes over them."""
+    rows = rows.persist()
+    try:
+        yield rows
+    finally:
+        rows.unpersist()
+
+
 def _rows(spark: SparkSession, weights: np.ndarray, errors: list[float]) -> DataFrame:
     return spark.createDataFrame([(k, float(w), float(errors[-1]), len(errors)) for k, w in enumerate(weights)], "term int, weight double, error double, rounds int")
 
 
 @query()
 def glm_poisson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(spark, *glm.newton(_lagged(spark, sf_dir).persist(), ["x1", "x2"], "y", "poisson"))
+    with kept(_lagged(spark, sf_dir)) as rows:
+        return _rows(spark, *glm.newton(rows, ["x1", "x2"], "y", "poisson"))
 
 
 @query()
 def glm_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _lagged(spark, sf_dir).withColumn("hit", (F.col("y") > 2).cast("double")).persist()
-    return _rows(spark, *glm.newton(rows, ["x1", "x2"], "hit", "logistic"))
+    with kept(_lagged(spark, sf_dir).withColumn("hit", (F.col("y") > 2).cast("double"))) as rows:
+        return _rows(spark, *glm.newton(rows, ["x1", "x2"], "hit", "logistic"))
 
 
 @query()
 def grad_line_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _lagged(spark, sf_dir).select("y", (F.col("x1") / 10).alias("x1"), (F.col("x2") / 10).alias("x2")).persist()
-    return _rows(spark, *glm.line_search_descent(rows, ["x1", "x2"], "y", "poisson", 8))
+    with kept(_lagged(spark, sf_dir).select("y", (F.col("x1") / 10).alias("x1"), (F.col("x2") / 10).alias("x2"))) as rows:
+        return _rows(spark, *glm.line_search_descent(rows, ["x1", "x2"], "y", "poisson", 8))
 
 
 @query(f"""WITH {HOURLY_SQL}, w AS (SELECT band, k.i AS win, t - 24 * k.i AS u, n, 0.5 - 0.5 * cos(2 * pi() * (t - 24 * k.i) / 47) AS h FROM hourly, hb, unnest(range((z - a + 1) // 24)) k(i) WHERE t - 24 * k.i BETWEEN 0 AND 47 AND 24 * k.i + 48 <= z - a + 1),
@@ -98,13 +113,14 @@ def bandpass_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spectral.bandpass(hourly(spark, sf_dir), "band", "t", "n", 0.5, 4.0, 24.0).withColumn("value", F.round("value", 6))
 
 
-@query()
+@query(f"""WITH {LOO_SQL}, o AS (SELECT (d*p-b*q)/(a*d-b*b) h1, (a*q-b*p)/(a*d-b*b) h2, m1, m2, my FROM c), v AS (SELECT 0 AS term, h1 AS v FROM o UNION ALL SELECT 1, h2 FROM o UNION ALL SELECT 2, my - m1*h1 - m2*h2 FROM o)
+SELECT term, round(avg(v), 5) AS weight, round(stddev_pop(v) * sqrt(count(*) - 1), 5) AS sd FROM v GROUP BY 1""")
 def model_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights of models with a fold of sets left out (rotating), averaged, with their deviation: all from one pass of sums."""
     by = regression.moments(frame(spark, sf_dir), ["x1", "x2"], "y", "w", "set_id")
     whole = regression.total(by)
     fits = np.array([[*c, b] for c, b in (regression.ridge(whole - m, 0.0) for m in by.values())])
-    return spark.createDataFrame([(k, float(fits[:, k].mean()), float(fits[:, k].std() * np.sqrt(len(fits) - 1))) for k in range(fits.shape[1])], "term int, weight double, sd double")
+    return spark.createDataFrame([(k, round(float(fits[:, k].mean()), 5), round(float(fits[:, k].std() * np.sqrt(len(fits) - 1)), 5)) for k in range(fits.shape[1])], "term int, weight double, sd double")
 
 
 @query(f"""WITH {_BASE}, b AS (SELECT user_id, CAST(round_even(o / 3600000000.0, 0) AS INT) AS bin, count(*) n FROM al GROUP BY 1, 2), k AS (SELECT user_id, count(*) AS trials FROM tr GROUP BY 1)
