@@ -18,7 +18,7 @@ ordinary message, and so is a turn whose ``tool_calls`` is empty; content beside
 null or missing, and stays the JSON value it is; a null or missing identifier links to nothing; of calls that repeat an identifier the first (by
 turn and place) is linked and later ones have the status ``duplicate``; several results of a call are all
 linked; a result without a call is an ``orphan``; repeated rows are kept, so a repeated row's calls are at the place of the first; an empty table gives an empty
-result; other columns are ignored, whatever their names.
+result; arguments, results and contents of any length stay whole; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,8 +37,8 @@ SCHEMAS: dict[str, dict[str, tuple[str, bool]]] = {
 }
 #: How Spark names a variant's type, by the type of a schema; integers are numbers without a fraction.
 _TYPES = {"string": "^STRING$", "integer": "^(BIGINT|DOUBLE|DECIMAL.*)$", "number": "^(BIGINT|DOUBLE|DECIMAL.*)$", "boolean": "^BOOLEAN$", "array": "^ARRAY", "object": "^OBJECT"}
-#: Strings, numbers and what is between them.
-_TOKEN = r'"(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|[^"0-9-]+'
+#: Strings, numbers and what is between them. Possessive and unrolled, so the matcher neither recurses nor steps back, however long a string is.
+_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|-?[0-9][0-9.eE+-]*+|[^"0-9-]++'
 
 
 def _plain_number(t: Column) -> Column:
