@@ -1,4 +1,4 @@
-"""Queries of the ten operators over whole tables, with production parameters, and their SQL."""
+"""Queries of the operators over whole tables, with production parameters, and their SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evokit.llm import byte_bpe, chat_format, decontaminate, jaccard_join, main_text, ordinal_quality, quality_rules, secret_scan, sql, token_files, url_filter
+from evokit.llm import byte_bpe, chat_format, decontaminate, fill_middle, hard_negatives, jaccard_join, main_text, ordinal_quality, quality_rules, secret_scan, sql, token_files, url_filter, warc
 from evokit.session import scratch_path, table
 
 
@@ -84,10 +84,27 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record as it is read back from the archives."""
+    path = scratch_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.describe(spark, path).drop("url")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the rows whose id is divisible by 50; every seventh label is moved on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("id") % 50 == 0)
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_byte_bpe, op2_url_filter, op3_ordinal_quality, op4_main_text, op5_token_files, op6_chat_format, op7_decontaminate, op8_jaccard_join, op9_quality_rules, op10_secret_scan)
+    every = (op1_byte_bpe, op2_url_filter, op3_ordinal_quality, op4_main_text, op5_token_files, op6_chat_format, op7_decontaminate, op8_jaccard_join, op9_quality_rules, op10_secret_scan, op11_warc, op12_hard_negatives, op13_fill_middle)
     return {f.__name__: f for f in (*every, chat_calls)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_format": sql.CHAT_FORMAT, "chat_calls": sql.CHAT_CALLS, "op7_decontaminate": sql.CONTAMINATED, "op8_jaccard_join": sql.JACCARD_JOIN, "op9_quality_rules": sql.QUALITY_RULES}
+    return {"op6_chat_format": sql.CHAT_FORMAT, "chat_calls": sql.CHAT_CALLS, "op7_decontaminate": sql.CONTAMINATED, "op8_jaccard_join": sql.JACCARD_JOIN, "op9_quality_rules": sql.QUALITY_RULES, "op11_warc": sql.WARC, "op12_hard_negatives": sql.HARD_NEGATIVES, "op13_fill_middle": sql.FILL_MIDDLE}
