@@ -243,25 +243,6 @@ def component_regression(m: Moments, k: int) -> tuple[np.ndarray, float]:
     return coef, float(my - mx @ coef)
 
 
-def fourier_ridge(auto: np.ndarray, cross: np.ndarray, tol: float) -> np.ndarray:
-    """Filter (bands, lags) from lagged stimulus products (bands, bands, lags) and stimulus-response products (bands, lags).
-
-    Each frequency is a Hermitian system of the bands; ``tol`` times the largest norm is added to its eigenvalues.
-    """
-    n = cross.shape[1]
-    taper = np.hanning(n + 2)[1:-1]
-    a = np.fft.fft(np.fft.ifftshift(auto * taper, axes=2), axis=2)
-    c = np.fft.fft(np.fft.ifftshift(cross * taper, axes=1), axis=1)
-    norm = max(np.linalg.norm(a[:, :, f]) for f in range(n))
-    h = np.zeros_like(c)
-    for f in range(n):
-        s, u = np.linalg.eigh((a[:, :, f] + a[:, :, f].conj().T) / 2)
-        h[:, f] = u @ ((u.conj().T @ c[:, f]) / (s + tol * norm))
-    out = np.fft.fftshift(np.fft.ifft(h, axis=1).real, axes=1)
-    lag = np.arange(n) - n // 2
-    return out * (np.arctan(lag) + np.pi / 2) / np.pi
-
-
 def group_ridge(m: Moments, groups: list[list[int]], draws: int, penalty: float, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Banded ridge: the best of hashed-seed random scalings of the groups' blocks, by generalised cross-validation."""
     rng = np.random.default_rng(seed)

@@ -76,21 +76,28 @@ def multitaper_coherence(pairs: DataFrame, key: str, index: str, x: str, y: str,
             xy, xx, yy = (fa * fb.conj()).mean(1), (abs(fa) ** 2).mean(1), (abs(fb) ** 2).mean(1)
             yield pd.DataFrame({key: g[key], "re": list(xy.real), "im": list(xy.imag), "xx": list(xx), "yy": list(yy)})
 
-    names = ("re", "im", "xx", "yy")
     kind = pairs.schema[key].dataType.simpleString()
-    lists = cut.select(key, x, y, "mean_x", "mean_y").mapInPandas(spectra, f"{key} {kind}, " + ", ".join(f"{c} array<double>" for c in names))
-    own = lists.select(key, F.posexplode(F.arrays_zip(*names)).alias("f", "s")).select(key, "f", "s.*")
-    total = own.groupBy(key, "f").agg(F.count("*").alias("n"), *(F.sum(c).alias(f"all_{c}") for c in names)).where("n > 1")
+    return jackknifed_coherence(cut.select(key, x, y, "mean_x", "mean_y").mapInPandas(spectra, f"{key} {kind}, " + ", ".join(f"{c} array<double>" for c in CROSS)), [key])
+
+
+CROSS = ("re", "im", "xx", "yy")
+
+
+def jackknifed_coherence(lists: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., f, coherence, lower, upper) from rows of windows: the cross spectrum and both powers by frequency, as arrays (re, im, xx, yy)."""
+    names = CROSS
+    own = lists.select(*keys, F.posexplode(F.arrays_zip(*names)).alias("f", "s")).select(*keys, "f", "s.*")
+    total = own.groupBy(*keys, "f").agg(F.count("*").alias("n"), *(F.sum(c).alias(f"all_{c}") for c in names)).where("n > 1")
 
     def z(re: Column, im: Column, xx: Column, yy: Column) -> Column:
         return F.atanh(F.least(F.sqrt(re * re + im * im) / F.sqrt(F.greatest(xx * yy, F.lit(1e-300))), F.lit(1 - 1e-12)))
 
     n = F.col("n")
     pseudo = n * z(*(F.col(f"all_{c}") for c in names)) - (n - 1) * z(*(F.col(f"all_{c}") - F.col(c) for c in names))
-    by = own.join(total, [key, "f"]).groupBy(key, "f").agg(F.avg(pseudo).alias("mean"), (F.stddev_samp(pseudo) / F.sqrt(F.max("n"))).alias("error"))
+    by = own.join(total, [*keys, "f"]).groupBy(*keys, "f").agg(F.avg(pseudo).alias("mean"), (F.stddev_samp(pseudo) / F.sqrt(F.max("n"))).alias("error"))
     back = lambda v: F.pow(F.tanh(F.greatest(v, F.lit(0.0))), 2)
     mean, error = F.col("mean"), F.col("error")
-    return by.select(key, "f", back(mean).alias("coherence"), back(mean - 2 * error).alias("lower"), back(mean + 2 * error).alias("upper"))
+    return by.select(*keys, "f", back(mean).alias("coherence"), back(mean - 2 * error).alias("lower"), back(mean + 2 * error).alias("upper"))
 
 
 def gaussian_spectrogram(clips: DataFrame, key: str, index: str, value: str, window: int, hop: int, deviations: float = 6.0) -> DataFrame:

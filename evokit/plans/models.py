@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from evokit.catalog import query
 from evokit.functions import scalars
+from evokit.operators import direct_fit, sequences
 from evokit.operators import regression as rg
-from evokit.operators import sequences
 from evokit.operators import statistics as st
 from evokit.plans.events import HOURLY_SQL, hourly
 from evokit.plans.statistics import FRAME_SQL, frame
@@ -229,19 +229,36 @@ def logistic_delayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.transform(rows).groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg((F.col("prediction") == F.col("label")).cast("double")), 6).alias("accuracy"))
 
 
+def _band_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """(s, t, x, y, w): hours dealt to sets of six days, the counts of all other bands by name, and of purchases."""
+    cells = hourly(spark, sf_dir)
+    found = cells.where("band <> 'purchase'").select("band").distinct().limit(MAX_BANDS + 1).collect()
+    if len(found) > MAX_BANDS:
+        raise ValueError(f"over {MAX_BANDS} bands")
+    x = cells.where("band <> 'purchase'").groupBy("t").agg(F.transform(F.array_sort(F.collect_list(F.struct("band", "n"))), lambda v: v["n"].cast("double")).alias("x"))
+    rows = x.join(cells.where("band = 'purchase'").select("t", F.col("n").alias("y")), "t")
+    return rows.select(F.floor(F.col("t") / 144).alias("s"), (F.col("t") % 144).alias("t"), "x", "y", F.lit(1.0).alias("w")), sorted(r.band for r in found)
+
+
+#: A system of a frequency has the square of this many numbers.
+MAX_BANDS = 2048
+
+
 @query()
 def receptive_field_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A spectro-temporal filter of purchases on the other bands: lagged products by Spark, Fourier ridge on (bands, lags)."""
-    cells = hourly(spark, sf_dir)
-    cells = cells.join(cells.groupBy("band").agg(F.avg("n").alias("g")), "band").select("band", "t", (F.col("n") - F.col("g")).alias("v"))
-    x, y = cells.where("band <> 'purchase'"), cells.where("band = 'purchase'")
-    reach, bands = 12, [r.band for r in x.select("band").distinct().orderBy("band").limit(1000).collect()]
-    lags = range(-reach, reach + 1)
-    auto, cross = np.zeros((len(bands), len(bands), len(lags))), np.zeros((len(bands), len(lags)))
-    at = {b: i for i, b in enumerate(bands)}
-    for b1, b2, lag, s, n in sequences.lag_products(x, x, "t", lags, ["l.band", "r.band"], F.col("l.v") * F.col("r.v")).collect():
-        auto[at[b1], at[b2], lag + reach] = s / n
-    for b, lag, s, n in sequences.lag_products(x, y, "t", lags, ["l.band"], F.col("l.v") * F.col("r.v")).collect():
-        cross[at[b], lag + reach] = s / n
-    h = rg.fourier_ridge(auto, cross, 0.01)
-    return spark.createDataFrame([(b, lag, float(h[i, lag + reach])) for i, b in enumerate(bands) for lag in lags], "band string, lag int, h double")
+    """A spectro-temporal filter of purchases on all other bands, from all sets (s null) and without each, over twelve hours either way: its values and their jackknife deviations."""
+    rows, bands = _band_frames(spark, sf_dir)
+    f = direct_fit.frames(rows, "s", "t", "x", "y", "w", len(bands), 12)
+    names = F.array(*(F.lit(b) for b in bands))
+    found = direct_fit.filters(f, 12, [0.01]).join(f.names.select("p", "s"), "p", "left")
+    each = found.select("s", F.get(names, F.col("i")).alias("band"), F.posexplode(F.arrays_zip("h", "sd")).alias("k", "v"))
+    return each.select("s", "band", (F.col("k") - 12).alias("lag"), F.round("v.h", 9).alias("h"), F.round("v.sd", 9).alias("sd"))
+
+
+@query()
+def direct_fit_lagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases from all other bands over the last twelve hours: R2 and bits of left-out sets for eight tolerances and four sparsenesses, the one of most bits marked. A day is a window, an hour a sample."""
+    rows, bands = _band_frames(spark, sf_dir)
+    f = direct_fit.frames(rows, "s", "t", "x", "y", "w", len(bands), direct_fit.reach_of(12, 5, 24.0, 1.0))
+    got = direct_fit.fit(f, 12, range(0, 12), list(direct_fit.TOLERANCES), list(direct_fit.SPARSENESSES), 5, 24.0, 10.0, 1.0)
+    return spark.createDataFrame([(g["tol"], g["sparseness"], round(g["r2cv"], 9), round(g["bits"], 9), g is got.best) for g in got.grid], "tol double, sparseness double, r2cv double, bits double, best boolean")

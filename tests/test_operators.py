@@ -233,17 +233,6 @@ def test_regressions_recover_truth(spark):
     assert np.allclose(regression.near_diagonal_inverse(np.diag([2.0, 4.0]), 0.3), np.diag([0.5, 0.25]))
 
 
-def test_fourier_ridge_finds_a_filter():
-    r = np.random.default_rng(7)
-    x = r.normal(size=6000)
-    y = 2 * np.roll(x, 3)
-    lags = range(-8, 9)
-    auto = np.array([[[np.mean(x * np.roll(x, -k)) for k in lags]]])
-    cross = np.array([[np.mean(x * np.roll(y, -k)) for k in lags]])
-    h = regression.fourier_ridge(auto, cross, 1e-3)[0]
-    assert int(np.argmax(abs(h))) - 8 == 3
-
-
 def test_flat_tops_count_once(spark):
     values = [0, 2, 2, 2, 1, 3, 3, 0, 5, 5, 6, 6, 6, 6, 1, 4]
     df = spark.createDataFrame([("a", i, v) for i, v in enumerate(values)] + [("b", 0, 9)], "k string, t long, v long")
