@@ -6,9 +6,13 @@ agree. Both sides therefore keep the minima of one random hash order below a bou
 partitioned by their number of shingles, and the MinHash sketch of a partition, of items and documents alike, is the shingles whose
 order lies in the first ``FRACTIONS`` of the range. An item of n shingles whose sketch there has k may lack at most m = floor((1 -
 threshold) n) in a document that holds it, so k - m of its sketch must be in the document's sketch: that is the search, by counts of equal
-minima. An item goes to the first partition, from its size on, in which that number is positive and at least ``LEAST_FOUND`` of m, so no pair is lost.
+minima. An item goes to the smallest fraction, from its size on, in which that number is positive and at least ``LEAST_FOUND`` of m, so no pair is lost.
 Candidates are verified by exact containment of the shingles themselves, word by word.
 
+Of a document's sketch only minima that may be an item's go to the join: all items' minima are marked in one bitmap of at most ``MOST_BITS`` bits, which is
+a constant of the plan, so the few short items that need the whole range don't bring every shingle of every document along. A bitmap that
+so many items fill up lets more through and loses nothing; the fractions bound the sketches then.
+
 Sketches, candidates' documents and the shingles of the items found go to the documents as a broadcast while
 they have at most ``BROADCAST_ROWS`` rows, which is counted; beyond, Spark shuffles both sides. Equal minima
 are counted by (document, item) and combined before the shuffle, so neither a frequent passage nor a frequent item meets in one task.
@@ -31,9 +35,11 @@ from evokit.session import cut
 WORDS = 5
 THRESHOLD = 0.8
 #: Size partitions: the least number of shingles from which items may be sketched by so large a part of the hash range.
-FRACTIONS = ((1, 1.0), (16, 0.75), (32, 0.5), (128, 0.375))
+FRACTIONS = ((1, 1.0), (1, 0.75), (5, 0.5), (32, 0.375))
 #: How many of its sketch a document has to hold, at least, as a share of those it may lack.
 LEAST_FOUND = 0.25
+#: The bitmap of all items' minima has some 64 bits for each, between these bounds; the largest is 128 kB.
+LEAST_BITS, MOST_BITS = 1 << 12, 1 << 20
 #: A row of a broadcast has an id and a hash, so this is a few dozen MB at most.
 BROADCAST_ROWS = 500_000
 
@@ -105,12 +111,25 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def _sketched(docs: DataFrame, bounds: dict[int, int]) -> DataFrame:
-    """(doc, size, h) of the windows in the documents' sketches: for each window size, up to the largest bound that an item of that size has."""
+def marked(sketch: DataFrame) -> tuple[Column, int]:
+    """(bitmap, bits): a constant array of 64-bit words in which the low bits of each minimum's order are marked."""
+    bits = min(max(1 << (64 * sketch.count()).bit_length(), LEAST_BITS), MOST_BITS)
+    at = _order(F.col("h")).bitwiseAND(F.lit(bits - 1))
+    words = sketch.select((at / 64).cast("int").alias("k"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("b")).groupBy("k").agg(F.bit_or("b").alias("b"))
+    found = {r.k: r.b for r in words.collect()}  # at most bits / 64 rows
+    # One text that Catalyst folds into an array once, in place of a literal a word.
+    return F.split(F.lit(",".join(str(found.get(k, 0)) for k in range(bits // 64))), ",").cast("array<bigint>"), bits
+
+
+def _sketched(docs: DataFrame, bounds: dict[int, int], bitmap: Column, bits: int) -> DataFrame:
+    """(doc, size, h) of the windows in the documents' sketches that may be an item's: for each window size, up to the largest bound that an item of that size has."""
     split = docs.select("doc", words(F.col("text")).alias("w"))
+    order = _order(F.col("h"))
+    at = order.bitwiseAND(F.lit(bits - 1))
+    mark = F.call_function("shiftright", F.get(bitmap, (at / 64).cast("int")), (at % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
     out = None
     for s, bound in bounds.items():
-        own = split.select("doc", F.lit(s).alias("size"), F.explode(_shingle_hashes(F.col("w"), s)).alias("h")).where(_order(F.col("h")) <= F.lit(bound))
+        own = split.select("doc", F.lit(s).alias("size"), F.explode(_shingle_hashes(F.col("w"), s)).alias("h")).where((order <= F.lit(bound)) & mark)
         out = own if out is None else out.unionByName(own)
     return out
 
@@ -122,7 +141,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     sketch = cut(sketches(shingles, threshold))
     # At most k different sizes: the words in an item's shingles.
     bounds = {r["size"]: r.bound for r in sketch.groupBy("size").agg(F.max("bound").alias("bound")).collect()} or {k: _bound(1.0)}
-    met = _sketched(rows, bounds).join(_small(sketch), ["size", "h"]).select("doc", "item", "need", "n", "h").distinct()
+    met = _sketched(rows, bounds, *marked(sketch)).join(_small(sketch), ["size", "h"]).select("doc", "item", "need", "n", "h").distinct()
     pairs = cut(met.groupBy("doc", "item", "need", "n").agg(F.count("*").alias("k")).where("k >= need").select("doc", "item", "n"))
     suspects = rows.join(_small(pairs.select("doc").distinct()), "doc", "left_semi")
     every = _small(shingles.join(pairs.select("item").distinct(), "item", "left_semi"))
