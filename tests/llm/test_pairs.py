@@ -204,6 +204,34 @@ def test_chat_levels(spark):
     assert got == expected and len(out) == sum(map(len, graphs)) + 2 * len(graphs[0])
 
 
+def test_sketches_leave_documents_out(spark):
+    """Most windows of the documents never reach the join, with items of every size and the shortest among them."""
+    r = random.Random(3)
+    items = spark.createDataFrame([(i, " ".join(prose(r, 60, 1).split()[:n])) for i, n in enumerate([*range(1, 24), 60, 140, 300])], "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(prose(r) for _ in range(20))) for i in range(20)], "doc long, text string")
+    sketch = decontaminate.sketches(decontaminate.item_shingles(items))
+    bounds = {x["size"]: x.bound for x in sketch.groupBy("size").agg(F.max("bound").alias("bound")).collect()}
+    through = decontaminate._sketched(docs, {5: bounds[5]}, *decontaminate.marked(sketch)).count()
+    every = docs.select(decontaminate.words(F.col("text")).alias("w")).select(F.explode(decontaminate._shingle_hashes(F.col("w"), 5)))
+    assert through < 0.1 * every.count()
+    # A full bitmap lets more through, and the same minima are found.
+    full = decontaminate._sketched(docs, {5: bounds[5]}, F.array_repeat(F.lit(-1).cast("long"), 64), 4096)
+    found = [x.join(sketch, ["size", "h"], "left_semi").count() for x in (decontaminate._sketched(docs, {5: bounds[5]}, *decontaminate.marked(sketch)), full)]
+    assert through < full.count() and found[0] == found[1]
+
+
+def test_chat_long_texts(spark):
+    """Arguments, results and contents of a million characters, plain and escaped, stay whole."""
+    for x in ("x" * 1_000_000, '\n"\\' * 333_334, "é1.50e3 " * 125_000):
+        turns = [
+            (1, 0, "user", x), (1, 1, "assistant", json.dumps({"content": x, "tool_calls": [{"id": "a", "name": "search", "arguments": {"query": x, "limit": 1.0}}]})), (1, 2, "tool", json.dumps({"tool_call_id": "a", "content": [x, 2.50]})),
+        ]
+        out = sorted(chat_format.format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect(), key=lambda r: (r.pos_turn, r.pos_kind))
+        lines = [json.loads(r.line) for r in out]
+        assert [r.status for r in out] == ["message", "message", "linked", "result"]
+        assert lines[0]["content"] == x and lines[1]["content"] == x and lines[2]["arguments"] == {"query": x, "limit": 1} and lines[3]["content"] == [x, 2.5]
+
+
 def test_chat_numbers(spark):
     numbers = "0 -0 -0.0 1.0 1.50 -2.5 1e2 1E-7 1.5e3 12345678.25 1e22 -3.25e-5 0.1 100 123456789012345678901234567890".split()
     rows = [(k, 0, "tool", f'{{"tool_call_id":"a","content":{{"x":[{v}],"y":"{v} \\" 1.0"}}}}') for k, v in enumerate(numbers)]
@@ -219,7 +247,7 @@ def test_chat_numbers(spark):
 def test_sql(spark):
     """The queries with SQL against it, on the smallest tables."""
     duck = duckdb.connect()
-    for name in ("documents", "benchmark", "conversations", "pages"):
+    for name in ("documents", "benchmark", "conversations", "pages", "embeddings"):
         duck.sql(f"CREATE VIEW {name} AS SELECT * FROM '/root/testdata/sf0.001/{name}.parquet'")
     for name, text in llm_queries.oracle_sql().items():
         assert rows_of(llm_queries.queries()[name](spark, "/root/testdata/sf0.001").toPandas()) == rows_of(duck.sql(text).df()), name
@@ -250,7 +278,7 @@ def test_pipeline(spark, tmp_path):
 
 def test_registered():
     names = list(llm_queries.queries())
-    assert [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{k}" for k in range(1, 11)] and names[10:] == ["chat_calls"]
+    assert [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{k}" for k in range(1, 14)] and names[13:] == ["chat_calls"]
     assert len(corpus_pipeline.STAGES) == 5 and set(llm_queries.oracle_sql()) < set(names)
 
 
