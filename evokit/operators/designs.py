@@ -6,20 +6,19 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evokit.operators.regression import MAX_SETS, Moments
+from evokit.operators.regression import Moments, checked_sets
 
 
 def sparse_moments(design: DataFrame, response: DataFrame, set_col: str, t: str, feature: str, x: str, y: str, w: str, features: int) -> dict[object, Moments]:
     """Weighted products by set from a sparse design and a dense response.
 
     Products of features are a self-join on (set, t), so a frame costs the square of the few features that act in it, not
-    of all; sums combine before the shuffle. The driver gets features^2 numbers a set, and the number of sets is checked.
+    of all; sums combine before the shuffle. The driver gets features^2 numbers a set, and the number of sets is checked before it does.
     """
+    checked_sets(response, set_col, features)
     frames = response.select(F.col(set_col).alias("s"), F.col(t).alias("t"), F.col(y).cast("double").alias("y"), F.col(w).cast("double").alias("w"))
     cells = design.select(F.col(set_col).alias("s"), F.col(t).alias("t"), F.col(feature).cast("int").alias("i"), F.col(x).cast("double").alias("x")).join(frames, ["s", "t"])
-    ones = frames.groupBy("s").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("wy"), F.sum(F.col("w") * F.col("y") * F.col("y")).alias("wyy"), F.count("*").alias("n")).limit(MAX_SETS + 1).collect()
-    if len(ones) > MAX_SETS:
-        raise ValueError(f"over {MAX_SETS} sets")
+    ones = frames.groupBy("s").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("wy"), F.sum(F.col("w") * F.col("y") * F.col("y")).alias("wyy"), F.count("*").alias("n")).collect()
     singles = cells.groupBy("s", "i").agg(F.sum(F.col("w") * F.col("x")).alias("wx"), F.sum(F.col("w") * F.col("x") * F.col("y")).alias("wxy")).collect()
     other = cells.select("s", "t", F.col("i").alias("j"), F.col("x").alias("z"))
     pairs = cells.join(other, ["s", "t"]).where("i <= j").groupBy("s", "i", "j").agg(F.sum(F.col("w") * F.col("x") * F.col("z")).alias("p")).collect()

@@ -14,6 +14,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_SETS = 10_000
+#: Numbers of all sets' products that the driver takes.
+MAX_NUMBERS = 50_000_000
+
+
+def most_sets(features: int) -> int:
+    """How many sets the driver takes the products of."""
+    return min(MAX_SETS, MAX_NUMBERS // (features + 2) ** 2)
+
+
+def checked_sets(rows: DataFrame, set_col: str | Column, features: int) -> None:
+    """Raises an error before anything is collected if there are more sets than the driver takes."""
+    most = most_sets(features)
+    if rows.select(set_col).distinct().limit(most + 1).count() > most:
+        raise ValueError(f"over {most} sets of {features} features")
 
 
 @dataclass
@@ -51,9 +65,9 @@ def moments(rows: DataFrame, features: list[str], y: str, w: str | Column, set_c
     weight = F.col(w) if isinstance(w, str) else w
     sums = [F.sum(weight * names[i] * names[j]).alias(f"p{i}_{j}") for i in range(len(names)) for j in range(i, len(names))]
     keys = [F.col(set_col).alias("s")] if set_col else [F.lit(None).cast("string").alias("s")]
-    got = rows.groupBy(*keys).agg(*sums, F.count("*").alias("n")).limit(MAX_SETS + 1).collect()
-    if len(got) > MAX_SETS:
-        raise ValueError(f"over {MAX_SETS} sets")
+    if set_col:
+        checked_sets(rows, set_col, len(features))
+    got = rows.groupBy(*keys).agg(*sums, F.count("*").alias("n")).collect()
     out = {}
     for r in sorted(got, key=lambda r: str(r.s)):
         p = np.zeros((len(names), len(names)))
@@ -84,9 +98,9 @@ def array_moments(rows: DataFrame, vector: str, y: str, set_col: str) -> dict[ob
     def join(g: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"s": [g["s"].iloc[0]], "p": [np.sum(np.stack(g["p"].to_numpy()), axis=0)], "n": [int(g["n"].sum())]})
 
-    whole = parts.groupBy("s").applyInPandas(join, f"s {kind}, p array<double>, n long").limit(MAX_SETS + 1).collect()
-    if len(whole) > MAX_SETS:
-        raise ValueError(f"over {MAX_SETS} sets")
+    width = rows.agg(F.max(F.size(vector))).first()[0] or 0
+    checked_sets(rows, set_col, width)
+    whole = parts.groupBy("s").applyInPandas(join, f"s {kind}, p array<double>, n long").collect()
     side = lambda p: int(round(len(p) ** 0.5))
     return {r.s: Moments(np.array(r.p).reshape(side(r.p), -1), r.n) for r in sorted(whole, key=lambda r: str(r.s))}
 
@@ -164,11 +178,31 @@ def penalty_by_folds(by_set: dict[object, Moments], penalties: list[float], fold
     return scores, best, *ridge(whole, best)
 
 
-def near_diagonal_inverse(c: np.ndarray, tol: float) -> np.ndarray:
+def shrunk_diagonal_inverse(c: np.ndarray, tol: float) -> np.ndarray:
     """Inverse that shrinks off-diagonal parts: (c + tol diag c)^-1 (1 + tol)."""
     return np.linalg.inv(c / (1 + tol) + np.diag(np.diag(c)) * tol / (1 + tol))
 
 
+def near_diagonal_inverse(c: np.ndarray, tol: float) -> np.ndarray:
+    """Inverse of a symmetric matrix as its diagonal's, updated by one singular pair of the rest at a time, each damped by s / (s + tol).
+
+    With tol 0 it is the inverse, with a large one that of the diagonal. An update whose denominator is 0, to rounding, is left out; an entry of the diagonal
+    that is 0 has the inverse 0, and its row and column take no part.
+    """
+    d = np.diag(c).copy()
+    used = np.flatnonzero(d)
+    out, own = np.zeros_like(c, dtype=float), c[np.ix_(used, used)]
+    inverse = np.diag(1 / d[used])
+    u, s, v = np.linalg.svd(own - np.diag(d[used]))
+    for k in np.flatnonzero(s > 0):
+        left, right = inverse @ (s[k] * u[:, k]), v[k] @ inverse
+        denominator = 1 + s[k] * (right @ u[:, k])
+        if abs(denominator) > 1e-12:
+            inverse = inverse - s[k] / (s[k] + tol) * np.outer(left, right) / denominator
+    out[np.ix_(used, used)] = inverse
+    return out
+
+
 def gradient_descent(m: Moments, step: float, rounds: int, momentum: float = 0.0, coordinate: bool = False) -> list[np.ndarray]:
     """The path of coefficients on the mean squared error of centred data; optionally one coordinate a round, by its sign."""
     c, b, _, _ = m.centred()

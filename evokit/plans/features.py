@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evokit.catalog import query
-from evokit.operators import designs, intervals, kernels, sequences
+from evokit.operators import designs, intervals, kernels, segmented, sequences
 from evokit.operators import regression as rg
 from evokit.plans.events import HOURLY_SQL, hourly
 from evokit.session import table
@@ -46,7 +46,7 @@ def path_following(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = [by[k] for k in by if k in (8, 9)]
     kept = [by[k] for k in by if k not in (8, 9)]
     if not held or not kept:
-        held = kept = list(by.values())
+        raise ValueError("the path needs labels 8 or 9 to stop it and others to train on")
     path = kernels.prior_path(sum(kept[1:], kept[0]), sum(held[1:], held[0]), kernels.laplacian((8, 8)))
     return spark.createDataFrame([(k, lam, float(e), float(np.linalg.norm(h))) for k, (lam, e, h) in enumerate(path)], "step int, lam double, error double, norm double")
 
@@ -112,3 +112,50 @@ def event_kernel_loo(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = rg.total(by)
     coef, _ = rg.ridge(whole, best * max(np.linalg.norm((whole - m).centred()[0]) for m in by.values()))
     return spark.createDataFrame([("view" if j < 6 else "click", j % 6, float(c), best, scores[best]) for j, c in enumerate(coef)], "kind string, k int, weight double, tol double, r2cv double")
+
+
+def _event_design(cells: DataFrame, kinds: list[str], length: int) -> tuple[DataFrame, DataFrame]:
+    """(s, t, feature, x) of kernels of ``length`` hours at hours with events of each kind, and (s, t, y, w) of purchases; sets of six days."""
+    which = F.array_position(F.array(*(F.lit(k) for k in kinds)), F.col("band")) - 1
+    events = cells.where((F.col("n") > 0) & F.col("band").isin(kinds)).select(which.cast("int").alias("kind"), F.col("t").alias("at"))
+    spread = events.select("kind", F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("k"), "at").withColumn("t", F.col("at") + F.col("k"))
+    design = spread.select(F.floor(F.col("t") / 144).alias("s"), "t", (F.col("kind") * length + F.col("k")).alias("feature"), F.lit(1.0).alias("x"))
+    return design, cells.where("band = 'purchase'").select(F.floor(F.col("t") / 144).alias("s"), "t", F.col("n").alias("y"), F.lit(1.0).alias("w"))
+
+
+@query()
+def fit_seg_loo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases from kernels of six hours at hours with views and with clicks, by near-diagonal inverses: the tolerance with the best R2 of rectified predictions of left-out sets, and all sets' kernels at it."""
+    design, response = _event_design(hourly(spark, sf_dir), ["view", "click"], 6)
+    got = segmented.fit(segmented.products(design, response, "s", "t", "feature", "x", "y", "w", 12), list(segmented.TOLERANCES))
+    return spark.createDataFrame([("view" if j < 6 else "click", j % 6, round(float(h), 9), round(got.bias, 9), segmented.TOLERANCES[got.best], round(got.scores[got.best], 9)) for j, h in enumerate(got.weights)], "kind string, k int, weight double, bias double, tol double, r2cv double")
+
+
+@query(f"""WITH {HOURLY_SQL}, x AS (SELECT p.t // 144 AS s, p.t, p.n::DOUBLE AS y, coalesce((a.n > 0)::INT, 0)::DOUBLE AS x0, coalesce((b.n > 0)::INT, 0)::DOUBLE AS x1 FROM hourly p LEFT JOIN hourly a ON a.band = 'view' AND a.t = p.t LEFT JOIN hourly b ON b.band = 'view' AND b.t = p.t - 1 WHERE p.band = 'purchase'),
+m AS (SELECT s, count(*)::DOUBLE AS n, sum(x0) AS u, sum(x1) AS v, sum(y) AS z FROM x GROUP BY 1), g AS (SELECT sum(n) AS n, sum(u) AS u, sum(v) AS v, sum(z) AS z FROM m),
+l AS (SELECT s, m.n, (g.u - m.u) / (g.n - m.n) AS m0, (g.v - m.v) / (g.n - m.n) AS m1, (g.z - m.z) / (g.n - m.n) AS my FROM m, g WHERE m.n < g.n),
+c AS (SELECT s, sum((x0 - m0) * (x0 - m0)) AS a, sum((x0 - m0) * (x1 - m1)) AS b, sum((x1 - m1) * (x1 - m1)) AS d, sum((x0 - m0) * (y - my)) AS p, sum((x1 - m1) * (y - my)) AS q FROM x JOIN l USING (s) GROUP BY 1),
+k AS (SELECT sum(a) AS a, sum(b) AS b, sum(d) AS d, sum(p) AS p, sum(q) AS q FROM c),
+o AS (SELECT s, m0, m1, my, (k.a - c.a) / (g.n - l.n) AS a, (k.b - c.b) / (g.n - l.n) AS b, (k.d - c.d) / (g.n - l.n) AS d, (k.p - c.p) / (g.n - l.n) AS p, (k.q - c.q) / (g.n - l.n) AS q FROM c JOIN l USING (s), k, g),
+r AS (SELECT t.tol, t.tol * (SELECT max(sqrt(a * a + 2 * b * b + d * d)) FROM o) AS e FROM (VALUES (0.2::DOUBLE), (0.05::DOUBLE), (0.001::DOUBLE)) t(tol)),
+h AS (SELECT tol, s, m0, m1, my, ((d + e) * p - b * q) / ((a + e) * (d + e) - b * b) AS h0, ((a + e) * q - b * p) / ((a + e) * (d + e) - b * b) AS h1 FROM o, r)
+SELECT tol, round(1 - sum(pow(greatest(my + h0 * (x0 - m0) + h1 * (x1 - m1), 0) - y, 2)) / count(*) / (sum(y * y) / count(*) - pow(sum(y) / count(*), 2)), 6) AS r2cv FROM x JOIN h USING (s) GROUP BY 1""")
+def fit_seg_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases from a kernel of two hours at hours with views, by ridge: R2 of left-out sets for three tolerances."""
+    design, response = _event_design(hourly(spark, sf_dir), ["view"], 2)
+    tolerances = [0.2, 0.05, 0.001]
+    got = segmented.fit(segmented.products(design, response, "s", "t", "feature", "x", "y", "w", 2), tolerances, "ridge")
+    return spark.createDataFrame([(t, round(r, 6)) for t, r in zip(tolerances, got.scores, strict=True)], "tol double, r2cv double")
+
+
+@query()
+def fit_seg_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases from kernels of six hours at views and clicks, and what those leave from the counts of errors and signups of three hours."""
+    cells = hourly(spark, sf_dir)
+    design, response = _event_design(cells, ["view", "click"], 6)
+    counts = cells.where("band in ('error', 'signup')").select((F.col("band") == "signup").cast("int").alias("kind"), "n", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"), "t").withColumn("t", F.col("t") + F.col("k"))
+    more = counts.select(F.floor(F.col("t") / 144).alias("s"), "t", (12 + F.col("kind") * 3 + F.col("k")).alias("feature"), F.log1p("n").alias("x"))
+    p = segmented.products(design.unionByName(more), response, "s", "t", "feature", "x", "y", "w", 18)
+    tolerances = [0.6, 0.5, 0.4, 0.2, 0.15, 0.1, 0.08, 0.05, 0.01, 0.005, 1e-3]
+    rows = [(stage, j, round(float(h), 9), round(f.bias, 9), tolerances[f.best], round(f.scores[f.best], 9)) for stage, f in enumerate(segmented.fit_staged(p, 12, tolerances), 1) for j, h in enumerate(f.weights)]
+    return spark.createDataFrame(rows, "stage int, feature int, weight double, bias double, tol double, r2cv double")

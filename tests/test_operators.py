@@ -230,7 +230,7 @@ def test_regressions_recover_truth(spark):
     assert np.allclose(s, np.sort(np.linalg.eigvalsh(np.cov(x.T, bias=True)))[::-1][:2]) and np.allclose(u.T @ u, np.eye(2))
     h, _ = regression.group_ridge(plain, [[0], [1, 2]], 50, 1e-6)
     assert np.allclose(h, [1.0, -2.0, 0.5], atol=0.05)
-    assert np.allclose(regression.near_diagonal_inverse(np.diag([2.0, 4.0]), 0.3), np.diag([0.5, 0.25]))
+    assert np.allclose(regression.shrunk_diagonal_inverse(np.diag([2.0, 4.0]), 0.3), np.diag([0.5, 0.25]))
 
 
 def test_flat_tops_count_once(spark):
