@@ -249,7 +249,7 @@ def filters(f: Frames, lags: int, tolerances: list[float], noise: float = 0.5) -
         return pa.table({"p": pa.array([p] * m, pa.int64()), "i": pa.array(np.arange(m), pa.int32()), "f": pa.array([k] * m, pa.int32()), "re": pa.array(list(h.real), pa.list_(pa.float64())), "im": pa.array(list(h.imag), pa.list_(pa.float64()))})
 
     solved = rows.groupBy("p", "f").applyInArrow(solve, "p long, i int, f int, re array<double>, im array<double>")
-    causal = (np.arctan(np.arange(-lags, lags + 1)) + np.pi / 2) / np.pi
+    causal = _causal(lags)
 
     def back(group: pa.Table) -> pa.Table:
         # One band: all left-out sets and frequencies.
@@ -259,18 +259,109 @@ def filters(f: Frames, lags: int, tolerances: list[float], noise: float = 0.5) -
         k = group.column("f").to_numpy()
         full[at, k] = np.array(group.column("re").to_pylist()) + 1j * np.array(group.column("im").to_pylist())
         full[:, nf:] = full[:, nf - 1 : 0 : -1].conj()
-        h = np.fft.ifft(full, axis=1).real.transpose(0, 2, 1) * causal
-        one = ps != ALL
-        # The variance over the others of each: sums about the mean of all less one's own.
-        own = h[one] - h[one].mean(0)
-        others = ((own**2).sum(0) - own**2) / (sets - 1) - (own / (sets - 1)) ** 2
-        sd = np.zeros_like(h)
-        sd[one] = np.sqrt(np.maximum(others, 0) * (sets - 2))
-        sd[~one] = sd[one].mean(0)
-        n, m = len(ps) * len(tolerances), len(tolerances)
-        return pa.table({"p": np.repeat(ps, m), "i": pa.array([i] * n, pa.int32()), "tol": pa.array(np.tile(np.arange(m), len(ps)), pa.int32()), "h": pa.array(list(h.reshape(n, nt)), pa.list_(pa.float64())), "sd": pa.array(list(sd.reshape(n, nt)), pa.list_(pa.float64()))})
-
-    return solved.groupBy("i").applyInArrow(back, "p long, i int, tol int, h array<double>, sd array<double>")
+        return _described(i, ps, np.fft.ifft(full, axis=1).real.transpose(0, 2, 1) * causal, sets)
+
+    return solved.groupBy("i").applyInArrow(back, FILTERS)
+
+
+FILTERS = "p long, i int, tol int, h array<double>, sd array<double>"
+
+
+def _causal(lags: int) -> np.ndarray:
+    return (np.arctan(np.arange(-lags, lags + 1)) + np.pi / 2) / np.pi
+
+
+def _described(i: int, ps: np.ndarray, h: np.ndarray, sets: int) -> pa.Table:
+    """One band's filters, (left-out set, tolerance, delay), with their deviations over the other left-out sets; the total's is the mean of theirs."""
+    one = ps != ALL
+    # The variance over the others of each: sums about the mean of all less one's own.
+    own = h[one] - h[one].mean(0)
+    others = ((own**2).sum(0) - own**2) / (sets - 1) - (own / (sets - 1)) ** 2
+    sd = np.zeros_like(h)
+    sd[one] = np.sqrt(np.maximum(others, 0) * (sets - 2))
+    sd[~one] = sd[one].mean(0)
+    m = h.shape[1]
+    n, nt = len(ps) * m, h.shape[2]
+    return pa.table({"p": np.repeat(ps, m), "i": pa.array([i] * n, pa.int32()), "tol": pa.array(np.tile(np.arange(m), len(ps)), pa.int32()), "h": pa.array(list(h.reshape(n, nt)), pa.list_(pa.float64())), "sd": pa.array(list(sd.reshape(n, nt)), pa.list_(pa.float64()))})
+
+
+def cut_inverse(c: np.ndarray, tol: float) -> np.ndarray:
+    """Inverse of a symmetric matrix from its singular values: beyond those over ``tol`` times the largest, 1 / (tol times the largest) falling off as a Gaussian of their rank."""
+    u, s, v = np.linalg.svd(c)
+    least = tol * s[0] if len(s) else 0.0
+    rank = int((s > least).sum())
+    beyond = np.arange(len(s)) + 1 - rank
+    scale = np.where(beyond > 0, np.exp(-(beyond**2) / 8) / (least or 1), 1 / np.where(beyond > 0, 1, s))
+    return v.T @ np.diag(scale if s.any() else s) @ u.T
+
+
+def separable_filters(f: Frames, lags: int, tolerances: list[float]) -> DataFrame:
+    """(p, i, tol, h, sd) like ``filters`` for a stimulus whose correlation is one over bands times one over lags.
+
+    The correlation of bands at no lag and that of all bands' courses over lags are made of all sets; a filter is the products with the response, times the
+    inverse of the Toeplitz matrix of lags, then the inverse over bands, each with a rank cut. So a block costs its bands' square and its lags, not their
+    product. The driver gets both matrices.
+    """
+    at, sets, nt = f.layout, f.sets, 2 * lags + 1
+    if at.reach < 2 * lags:
+        raise ValueError("blocks reach less far than lags")
+    bands = at.bands
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for p, (v, n) in held.items():
+                yield _batch([(p, i, v[i]) for i in range(bands)] + [(p, -1, n)], "p long, i int, v array<double>")
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                first, x, y, w = at.dense(row)
+                root = np.sqrt(w)
+                xs, r = x * root[:, None], w * (y - at.mean_y)
+                a, z = at.reach, at.reach + at.block
+                if row["p"] not in held:
+                    if held and (len(held) + 1) * 8 * bands * (bands + nt) > HELD_BYTES:
+                        yield from out()
+                        held.clear()
+                    held[row["p"]] = (np.zeros((bands, bands + nt)), np.zeros(2 * (2 * lags + 1) + nt))
+                v, n = held[row["p"]]
+                there = np.zeros(len(w))
+                there[max(0, -first) : max(0, min(len(w), row["n"] - first))] = 1
+                v[:, :bands] += xs[a:z].T @ xs[a:z]
+                for d in range(2 * lags + 1):
+                    n[d] += (xs[a - d : z - d] * xs[a:z]).sum()
+                    n[2 * lags + 1 + d] += bands * (root[a - d : z - d] @ root[a:z])
+                for k, d in enumerate(range(-lags, lags + 1)):
+                    v[:, bands + k] += x[a - d : z - d].T @ r[a:z]
+                    n[2 * (2 * lags + 1) + k] += there[a - d : z - d] @ w[a:z]
+        yield from out()
+
+    left = cut(_left_out(cut(_added(f.blocks.mapInArrow(run, "p long, i int, v array<double>"), ["p", "i"], "v"))))
+    whole = {r.i: np.array(r.v) for r in left.where(F.col("p") == ALL).select("i", F.when(F.col("i") < 0, F.col("v")).otherwise(F.slice("v", 1, bands)).alias("v")).collect()}  # a row a band
+    sums = whole.pop(-1)
+    course = sums[: nt] / np.where(sums[nt : 2 * nt] == 0, 1, sums[nt : 2 * nt])
+    weight = sums[nt] / bands
+    space = np.array([whole[i] for i in range(bands)]) / (weight or 1)
+    toeplitz = course[abs(np.subtract.outer(np.arange(nt), np.arange(nt)))]
+    inverses = [(cut_inverse(space, t), cut_inverse(toeplitz, t)) for t in tolerances]
+    counts = left.where("i = -1").select("p", F.slice("v", 2 * nt + 1, nt).alias("counts"))
+    cross = left.where("i >= 0").join(counts, "p").select("p", "i", F.zip_with(F.slice("v", bands + 1, nt), "counts", lambda v, n: F.when(n == 0, v).otherwise(v / n)).alias("v"))
+
+    def solve(group: pa.Table) -> pa.Table:
+        # One left-out set: its products of all bands with the response.
+        order = np.argsort(group.column("i").to_numpy())
+        v = np.array(group.column("v").to_pylist())[order]
+        h = np.array([s @ v @ t for s, t in inverses]).transpose(1, 0, 2)
+        return pa.table({"p": group.column("p").take([0] * bands), "i": pa.array(np.arange(bands), pa.int32()), "h": pa.array(list(h.reshape(bands, -1)), pa.list_(pa.float64()))})
+
+    causal, m = _causal(lags), len(tolerances)
+
+    def describe(group: pa.Table) -> pa.Table:
+        h = np.array(group.column("h").to_pylist()).reshape(-1, m, nt) * causal
+        return _described(group.column("i")[0].as_py(), group.column("p").to_numpy(), h, sets)
+
+    return cross.groupBy("p").applyInArrow(solve, "p long, i int, h array<double>").groupBy("i").applyInArrow(describe, FILTERS)
 
 
 def shrunk(h: np.ndarray, sd: np.ndarray, n: float, eps: float = 1e-8) -> np.ndarray:

@@ -262,3 +262,13 @@ def direct_fit_lagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = direct_fit.frames(rows, "s", "t", "x", "y", "w", len(bands), direct_fit.reach_of(12, 5, 24.0, 1.0))
     got = direct_fit.fit(f, 12, range(0, 12), list(direct_fit.TOLERANCES), list(direct_fit.SPARSENESSES), 5, 24.0, 10.0, 1.0)
     return spark.createDataFrame([(g["tol"], g["sparseness"], round(g["r2cv"], 9), round(g["bits"], 9), g is got.best) for g in got.grid], "tol double, sparseness double, r2cv double, bits double, best boolean")
+
+
+@query()
+def separable_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters of the embeddings' 64 channels over eight rows either way for odd labels, from correlations of channels and of lags alone: of all sets (s null) and without each set of 100 rows."""
+    rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 100).alias("s"), (F.col("vec_id") % 100).alias("t"), "embedding", (F.col("label") % 2).alias("y"), F.lit(1.0).alias("w"))
+    f = direct_fit.frames(rows, "s", "t", "embedding", "y", "w", 64, 16)
+    found = direct_fit.separable_filters(f, 8, [0.05]).join(f.names.select("p", "s"), "p", "left")
+    each = found.select("s", F.col("i").alias("channel"), F.posexplode(F.arrays_zip("h", "sd")).alias("k", "v"))
+    return each.select("s", "channel", (F.col("k") - 8).alias("lag"), F.round("v.h", 9).alias("h"), F.round("v.sd", 9).alias("sd"))

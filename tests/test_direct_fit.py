@@ -155,3 +155,48 @@ def test_reach_of_blocks(spark):
     f = direct_fit.frames(rows, "s", "t", "x", "y", "w", 1, 3)
     got = sorted((r.block, len(r.t)) for r in f.blocks.where("n > 9").collect())
     assert got == [(0, direct_fit.BLOCK + 3), (1, direct_fit.BLOCK + 6), (2, 8)]
+
+
+@pytest.mark.parametrize("tol", [1e-9, 0.3])
+def test_separable(spark, monkeypatch, tol):
+    monkeypatch.setattr(direct_fit, "BLOCK", 64)
+    data, bands, lags = simulated(4, 3, 8), 3, 2
+    nt = 2 * lags + 1
+    f = direct_fit.frames(as_rows(spark, data), "s", "t", "x", "y", "w", bands, 2 * lags)
+    number = {r.p: int(r.s[1:]) for r in f.names.collect()} | {direct_fit.ALL: None}
+    got = {(number[r.p], r.i): (np.array(r.h), np.array(r.sd)) for r in direct_fit.separable_filters(f, lags, [tol]).collect()}
+    total = sum(w.sum() for _, _, w in data.values())
+    mx, my = sum(w @ x for x, _, w in data.values()) / total, sum(w @ y for _, y, w in data.values()) / total
+    own = {s: dense_products(x - mx, y - my, w, 2 * lags) for s, (x, y, w) in data.items()}
+    a, _, na, _ = (sum(o[j] for o in own.values()) for j in range(4))
+    space, course = a[2 * lags] / total, np.trace(a, axis1=1, axis2=2)[2 * lags :] / (bands * na[2 * lags :])
+    toeplitz = np.array([[course[abs(i - j)] for j in range(nt)] for i in range(nt)])
+
+    def inverse(c):
+        s, u = np.linalg.eigh(c)
+        s, u = s[::-1], u[:, ::-1]
+        rank = (s > tol * s[0]).sum()
+        k = np.arange(1, len(s) + 1) - rank
+        return (u * np.where(k > 0, np.exp(-k * k / 8) / (tol * s[0]), 1 / s)) @ u.T
+
+    both = np.kron(inverse(space), inverse(toeplitz))
+    if tol < 1e-6:
+        assert np.allclose(both, np.linalg.inv(np.kron(space, toeplitz)))
+    h = {}
+    for p in [None, *data]:
+        c, nc = (sum(own[s][j] for s in data if s != p) for j in (1, 3))
+        h[p] = (both @ (c / nc)[:, lags : lags + nt].ravel()).reshape(bands, nt) * (np.arctan(np.arange(-lags, lags + 1)) + np.pi / 2) / np.pi
+    for p in h:
+        others = lambda q: np.std([h[s] for s in data if s != q], axis=0) * np.sqrt(2)
+        sd = np.mean([others(q) for q in data], axis=0) if p is None else others(p)
+        for i in range(bands):
+            assert np.allclose(got[p, i][0], h[p][i]) and np.allclose(got[p, i][1], sd[i])
+    assert len(got) == 5 * bands
+    with pytest.raises(ValueError, match="reach"):
+        direct_fit.separable_filters(f, 3, [tol])
+
+
+def test_cut_inverse_of_nothing():
+    assert not direct_fit.cut_inverse(np.zeros((3, 3)), 0.1).any()
+    c = np.diag([4.0, 2.0, 0.1])
+    assert np.allclose(direct_fit.cut_inverse(c, 0.1), np.diag([0.25, 0.5, np.exp(-1 / 8) / 0.4]))
