@@ -1,6 +1,6 @@
 """Logistic, Poisson and linear responses by Newton's method, and searches on their error.
 
-An iteration is one pass of sums (features + 1)^2 long; rows stay on the executors. Features are columns.
+An iteration is one pass of sums, (features + 1)^2 of them or features + 1 a trial point; rows stay on the executors. Features are columns.
 """
 
 from __future__ import annotations
@@ -64,19 +64,70 @@ def newton(rows: DataFrame, features: list[str], y: str, family: str, rounds: in
     return x, errors
 
 
-def line_search_descent(rows: DataFrame, features: list[str], y: str, family: str, rounds: int = 20) -> tuple[np.ndarray, list[float]]:
-    """Gradient descent whose step is doubled while it helps and halved while it does not."""
+def errors_and_gradients(rows: DataFrame, features: list[str], y: str, family: str, points: list[np.ndarray]) -> list[tuple[float, np.ndarray]]:
+    """Mean error and gradient at each of several points: one pass for all of them. The points are a constant array, so every pass runs the same compiled code."""
+    mean, _, error = FAMILIES[family]
+    names = [*(F.col(f).cast("double") for f in features), F.lit(1.0)]
+    spread = rows.select(*(x.alias(f"x{i}") for i, x in enumerate(names)), F.col(y).alias("y"), F.posexplode(F.lit([[float(w) for w in p] for p in points])).alias("k", "p"))
+    s = sum((F.get("p", F.lit(i)) * F.col(f"x{i}") for i in range(1, len(names))), F.get("p", F.lit(0)) * F.col("x0"))
+    sums = [F.avg(error(s, F.col("y"))).alias("e"), *(F.avg((mean(s) - F.col("y")) * F.col(f"x{i}")).alias(f"g{i}") for i in range(len(names)))]
+    got = {r.k: (r.e, np.array([r[f"g{i}"] for i in range(len(names))], float)) for r in spread.groupBy("k").agg(*sums).collect()}  # a row a point
+    nothing = (float("inf"), np.zeros(len(names)))
+    return [(float("inf"), got[k][1]) if k in got and (got[k][0] is None or not np.isfinite(got[k][0])) else got.get(k, nothing) for k in range(len(points))]
+
+
+def line_search_descent(rows: DataFrame, features: list[str], y: str, family: str, rounds: int = 20, stop: float = 1e-12) -> tuple[np.ndarray, list[float]]:
+    """Gradient descent with the largest step, of twice the last one and its halves, that helps; all of a round's steps are tried in one pass."""
     x, step = np.zeros(len(features) + 1), 1.0
-    e, g, _ = error_and_gradient(rows, features, y, family, x)
+    ((e, g),) = errors_and_gradients(rows, features, y, family, [x])
     errors = [e]
     for _ in range(rounds):
-        for _ in range(20):
-            e2, g2, _ = error_and_gradient(rows, features, y, family, x - step * g)
-            if e2 < e:
-                break
-            step /= 2
-        else:
+        sizes = [step * 2.0**-k for k in range(20)]
+        tried = errors_and_gradients(rows, features, y, family, [x - s * g for s in sizes])
+        better = next((k for k, (e2, _) in enumerate(tried) if e2 < e), None)
+        if better is None or e - tried[better][0] < stop:
             break
-        x, e, g, step = x - step * g, e2, g2, step * 2
+        x, step = x - sizes[better] * g, sizes[better] * 2
+        e, g = tried[better]
+        errors.append(e)
+    return x, errors
+
+
+#: Step sizes that a round tries, as shares of the one that the curvature foretells.
+_LADDER = 1.5 ** np.arange(8, -12, -1.0)
+
+
+def scaled_conjugate_gradient(rows: DataFrame, features: list[str], y: str, family: str, rounds: int = 200, stop: float = 1e-9) -> tuple[np.ndarray, list[float]]:
+    """Conjugate gradients whose step follows from the curvature along the direction, found as a difference of gradients, and a scale that is
+    raised where the error falls less than foretold and lowered where it falls as foretold.
+
+    A round is one pass: the gradient a little ahead, for the curvature, and the error and gradient at a ladder of steps about the one that the last curvature foretells. Of
+    these the best is taken; if none helps, the scale is raised and the next ladder starts from the curvature just found. Ends when the gradient is under ``stop``.
+    """
+    x = np.zeros(len(features) + 1)
+    ((e, g),) = errors_and_gradients(rows, features, y, family, [x])
+    errors, d, scale, bend, taken = [e], -g, 1.0, 0.0, 0
+    for _ in range(rounds):
+        if np.abs(g).max() < stop:
+            break
+        slope, size = float(d @ g), float(d @ d)
+        if slope >= 0:
+            d, slope, size = -g, -float(g @ g), float(g @ g)
+        ahead = 1e-4 / np.sqrt(size)
+        steps = _LADDER * (-slope / (max(bend, 0.0) * size + scale * size))
+        tried = errors_and_gradients(rows, features, y, family, [x + ahead * d, *(x + s * d for s in steps)])
+        bend = float(d @ (tried[0][1] - g)) / ahead / size
+        best = min(range(len(steps)), key=lambda k: tried[k + 1][0])
+        new, ahead_g = tried[best + 1]
+        if not new < e:
+            if -slope * steps[best] < 1e-16 * max(abs(e), 1.0):  # nothing left that a double can tell apart
+                break
+            scale *= 4
+            continue
+        ratio = 2 * (new - e) / (steps[best] * slope)
+        scale = min(scale * 4, 1e100) if ratio < 0.25 else max(scale / 2, 1e-15) if ratio > 0.75 else scale
+        x, taken = x + steps[best] * d, taken + 1
+        d = -ahead_g if taken % len(x) == 0 else float((g - ahead_g) @ ahead_g) / slope * d - ahead_g
+        e, g = new, ahead_g
         errors.append(e)
     return x, errors

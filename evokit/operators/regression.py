@@ -261,6 +261,112 @@ def lars(m: Moments, steps: int) -> list[tuple[int, np.ndarray]]:
     return out
 
 
+class Factor:
+    """The upper triangular R with R'R the matrix of the variables that are in; variables come in at the end and go out anywhere."""
+
+    def __init__(self, c: np.ndarray):
+        self.c, self.r, self.active = c, np.zeros((0, 0)), []
+
+    def insert(self, j: int) -> bool:
+        """False, and nothing done, if the variable depends on those that are in."""
+        col = np.linalg.solve(self.r.T, self.c[self.active, j]) if self.active else np.zeros(0)
+        rest = self.c[j, j] - col @ col
+        if rest <= 1e-12 * max(self.c[j, j], 1e-300):
+            return False
+        n = len(self.active)
+        r = np.zeros((n + 1, n + 1))
+        r[:n, :n], r[:n, n], r[n, n] = self.r, col, np.sqrt(rest)
+        self.r = r
+        self.active.append(j)
+        return True
+
+    def delete(self, j: int) -> None:
+        k = self.active.index(j)
+        r = np.delete(self.r, k, 1)
+        for i in range(k, r.shape[1]):  # rotations bring it back to a triangle
+            a, b = r[i, i], r[i + 1, i]
+            size = np.hypot(a, b)
+            turn = np.array([[a, b], [-b, a]]) / size if size else np.eye(2)
+            r[i : i + 2, i:] = turn @ r[i : i + 2, i:]
+        self.r = r[:-1]
+        self.active.pop(k)
+
+    def solve(self, b: np.ndarray) -> np.ndarray:
+        return np.linalg.solve(self.r, np.linalg.solve(self.r.T, b))
+
+
+@dataclass
+class Knot:
+    """Where a variable comes in or goes out: the penalty, the coefficients on standardised features, the variables in, and the estimated risk with them."""
+
+    penalty: float
+    coef: np.ndarray
+    active: list[int]
+    risk: float
+
+
+def lasso_path(m: Moments, ridge: float = 0.0, most: int | None = None, max_l1: float = 0.0) -> tuple[list[Knot], np.ndarray]:
+    """(knots, scale): minimisers of |y - X h|^2 / 2n + penalty |h|_1 + ridge |h|^2 / 2 from the largest penalty down, on features of mean 0 and deviation 1.
+
+    A variable goes out when its coefficient comes to 0. With ``ridge`` over 0 it is an elastic net. The path ends without penalty, after ``most`` knots, or
+    where the coefficients' sizes add up to ``max_l1`` (0: no bound). The risk is error / variance - rows + 2 (variables + 1), of which the least is a place to stop.
+    Features that do not vary, or depend on those that are in, stay out. ``h / scale`` are coefficients of the features themselves.
+    """
+    c, b, _, my = m.centred()
+    sd = np.sqrt(np.maximum(np.diag(c), 0))
+    used = sd > 1e-12 * max(sd.max(initial=0), 1e-300)
+    scale = np.where(used, sd, 1.0)
+    c, b = c / np.outer(scale, scale) + ridge * np.eye(len(b)), np.where(used, b / scale, 0)
+    yy = m.products[-1, -1] / m.weight - my**2
+    h, factor, knots = np.zeros(len(b)), Factor(c), []
+    shut = set(np.flatnonzero(~used).tolist())
+    penalty = float(np.abs(b).max(initial=0))
+
+    def note() -> None:
+        error = m.weight * (yy - 2 * h @ b + h @ (c - ridge * np.eye(len(b))) @ h)
+        knots.append(Knot(penalty, h.copy(), sorted(factor.active), float(error / yy - m.weight + 2 * (len(factor.active) + 1)) if yy > 0 else 0.0))
+
+    note()
+    coming: int | None = int(np.argmax(np.abs(b))) if penalty > 0 else None
+    while penalty > 0 and (most is None or len(knots) < most):
+        if coming is not None and not factor.insert(coming):
+            shut.add(coming)
+        r = b - c @ h
+        if not factor.active:
+            break
+        g = factor.solve(np.sign(r[factor.active]))
+        a = c[:, factor.active] @ g
+        step, coming, going = penalty, None, None
+        for j in range(len(b)):
+            if j in factor.active or j in shut:
+                continue
+            for q in ((penalty - r[j]) / (1 - a[j]) if a[j] != 1 else np.inf, (penalty + r[j]) / (1 + a[j]) if a[j] != -1 else np.inf):
+                if 1e-12 * penalty < q < step:
+                    step, coming, going = q, j, None
+        for j, v in zip(factor.active, g, strict=True):
+            q = -h[j] / v if v else np.inf
+            if 1e-12 * penalty < q < step:
+                step, coming, going = q, None, j
+        if max_l1:
+            own = h[factor.active]
+            grown = float(np.where(own != 0, np.sign(own), np.sign(g)) @ g)
+            room = (max_l1 - np.abs(h).sum()) / grown if grown > 0 else np.inf
+            if room <= step:
+                h[factor.active] += room * g
+                penalty -= room
+                note()
+                break
+        h[factor.active] += step * g
+        penalty = max(penalty - step, 0.0)
+        if going is not None:
+            h[going] = 0.0
+            factor.delete(going)
+        note()
+        if coming is None and going is None:
+            break
+    return knots, scale
+
+
 def principal_components(m: Moments, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Largest variances and their directions; the largest entry of a direction is positive."""
     s, u = np.linalg.eigh(m.centred()[0])

@@ -2,7 +2,7 @@
 
 Discrete Fourier sums over chunks of fixed length are relational (a join with a table of frequencies, sums that
 combine before the shuffle). Windowed spectra deal each sample to the windows it is in, so a task holds windows, not series;
-the index of a series counts 0, 1, 2... there. Filters and resampling are numpy kernels over one channel a group.
+the index of a series counts 0, 1, 2... there. Resampling and the Fourier mask transform a whole channel, a group each; recursive filters are in ``filters``.
 """
 
 from __future__ import annotations
@@ -132,24 +132,6 @@ def resampled(clips: DataFrame, key: str, index: str, value: str, rate: float) -
     return clips.select(key, index, value).groupBy(key).applyInPandas(run, f"{key} {clips.schema[key].dataType.simpleString()}, i long, value double")
 
 
-def notch(clips: DataFrame, key: str, index: str, value: str, frequency: float, rate: float, quality: float = 30.0) -> DataFrame:
-    """(key, i, value): a second-order notch filter run over each clip in order."""
-    w0 = 2 * math.pi * frequency / rate
-    beta = math.tan(w0 / quality / 2)
-    gain = 1 / (1 + beta)
-    b0, b1, a2 = gain, -2 * gain * math.cos(w0), 2 * gain - 1
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        v = g.sort_values(index)[value].to_numpy(float)
-        out, x1, x2, y1, y2 = np.empty(len(v)), 0.0, 0.0, 0.0, 0.0
-        for i, x in enumerate(v):
-            y = b0 * x + b1 * x1 + b0 * x2 - b1 * y1 - a2 * y2
-            out[i], x1, x2, y1, y2 = y, x, x1, y, y1
-        return pd.DataFrame({key: g[key].iloc[0], "i": np.arange(len(v), dtype=np.int64), "value": out})
-
-    return clips.select(key, index, value).groupBy(key).applyInPandas(run, f"{key} {clips.schema[key].dataType.simpleString()}, i long, value double")
-
-
 def welch(clips: DataFrame, key: str, index: str, value: str, window: int) -> DataFrame:
     """(key, f, power): mean Hann-windowed periodogram over half-overlapping windows of each channel."""
     shape = np.hanning(window)

@@ -127,8 +127,8 @@ def group_bootstrap(rows: DataFrame, group: str, key: str, draws: int, share: fl
     apart = groups.agg(F.ceil(F.lit(share) * F.count("*")).alias("apart"))
     sides = groups.select(group, drawn).crossJoin(F.broadcast(apart))  # one row
     sides = sides.withColumn("test", F.row_number().over(Window.partitionBy("draw").orderBy(hashed(group), group)) <= F.col("apart")).drop("apart")
-    p = F.conv(F.substring(hashed(key), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    w = sum(((p >= float(c)).cast("int") for c in _POISSON_CDF[1:9]), (p >= float(_POISSON_CDF[0])).cast("int"))
+    p = F.conv(F.substring(hashed(key), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    w = sum(((p >= float(c)).cast("int") for c in _POISSON_CDF[1:]), (p >= float(_POISSON_CDF[0])).cast("int"))
     return rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", w).join(sides, [group, "draw"])
 
 

@@ -81,13 +81,18 @@ def interval_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.contained(views, spans, "user_id", "start", "stop", "a", "z", DAY).select("event_id", "user_id")
 
 
+RUN_OF_HOURS = 4096
+
+
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(band, t, n): events of each type in each hour of the table's span, zeros included."""
     e = micros(table(spark, sf_dir, "events")).select(F.col("event_type").alias("band"), F.floor(F.col("t") / HOUR).alias("h"))
     counts = e.groupBy("band", "h").agg(F.count("*").alias("n"))
     ends = counts.agg(F.min("h").alias("a"), F.max("h").alias("z"))
-    hours = ends.select(F.explode(F.sequence("a", "z")).alias("h"), "a")
-    grid = counts.select("band").distinct().crossJoin(F.broadcast(hours))  # bands by hours of the span
+    # Each band gets the span's ends, then its runs of hours, dealt out, and in a run its hours.
+    spans = counts.select("band").distinct().crossJoin(F.broadcast(ends))  # one row
+    runs = spans.select("band", "a", "z", F.explode(F.sequence("a", "z", F.lit(RUN_OF_HOURS))).alias("from")).repartition("band", "from")
+    grid = runs.select("band", "a", F.explode(F.sequence("from", F.least(F.col("from") + RUN_OF_HOURS - 1, "z"))).alias("h"))
     return grid.join(counts, ["band", "h"], "left").select("band", (F.col("h") - F.col("a")).alias("t"), F.coalesce("n", F.lit(0)).alias("n"))
 
 

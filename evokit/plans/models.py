@@ -272,3 +272,27 @@ def separable_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = direct_fit.separable_filters(f, 8, [0.05]).join(f.names.select("p", "s"), "p", "left")
     each = found.select("s", F.col("i").alias("channel"), F.posexplode(F.arrays_zip("h", "sd")).alias("k", "v"))
     return each.select("s", "channel", (F.col("k") - 8).alias("lag"), F.round("v.h", 9).alias("h"), F.round("v.sd", 9).alias("sd"))
+
+
+@query()
+def lasso_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Knots of the lasso and of an elastic net from the channels of the embeddings to odd labels: penalty, variables, risk and the coefficients that are not 0."""
+    m = rg.total(rg.array_moments(_vectors(spark, sf_dir), "embedding", "y", "label"))
+    rows = []
+    for kind, ridge in (("lasso", 0.0), ("elastic net", 0.5)):
+        knots, scale = rg.lasso_path(m, ridge)
+        rows += [(kind, k, d, round(float(v), 9), round(float(x.penalty), 9), len(x.active), round(x.risk, 6)) for k, x in enumerate(knots) for d, v in enumerate(x.coef / scale) if v != 0]
+    return spark.createDataFrame(rows, "kind string, knot int, d int, h double, penalty double, variables int, risk double")
+
+
+@query("""WITH e AS (SELECT vec_id, label % 2 AS y, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS i FROM embeddings),
+b AS (SELECT i, covar_pop(v, y) / stddev_pop(v) AS r FROM e GROUP BY 1), f AS (SELECT i, r, abs(r) AS lam FROM b ORDER BY abs(r) DESC, i LIMIT 1),
+c AS (SELECT a.i, corr(a.v, z.v) * sign(f.r) AS k FROM e a JOIN e z USING (vec_id) JOIN f ON z.i = f.i GROUP BY a.i, f.r),
+s AS (SELECT b.i, unnest([(lam - b.r) / (1 - k), (lam + b.r) / (1 + k)]) AS step FROM b JOIN c USING (i), f WHERE b.i <> f.i),
+n AS (SELECT i, step FROM s WHERE step > 0 ORDER BY step LIMIT 1)
+SELECT f.i::INT AS first, n.i::INT AS second, round(lam, 6) AS penalty, round(lam - step, 6) AS next_penalty FROM f, n""")
+def lasso_first_knot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The channel that comes into the lasso first and the one that comes next, with their penalties."""
+    knots, _ = rg.lasso_path(rg.total(rg.array_moments(_vectors(spark, sf_dir), "embedding", "y", "label")), most=3)
+    first, second = knots[1].active, knots[2].active
+    return spark.createDataFrame([(int(first[0]), next(iter(set(second) - set(first)), None), round(float(knots[0].penalty), 6), round(float(knots[1].penalty), 6))], "first int, second int, penalty double, next_penalty double")

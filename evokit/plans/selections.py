@@ -206,12 +206,12 @@ def overlap_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.overlapping_means(e, "ts", "event_type", "v", "2 hours", "1 hour", "1 hour").select("event_type", F.unix_micros("start").alias("start_us"), F.round("mean", 6).alias("mean"), "n")
 
 
-_POISSON = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(9)]
+_POISSON = [float(c) for c in st._POISSON_CDF]
 
 
 @query(f"""WITH o AS (SELECT o_orderkey, o_custkey % 40 AS g, round(o_totalprice * 100)::BIGINT AS v FROM orders), gs AS (SELECT DISTINCT g FROM o), k AS (SELECT i::INT AS draw FROM range(10) r(i)),
 t AS (SELECT draw, g, row_number() OVER (PARTITION BY draw ORDER BY md5(g::VARCHAR || ':' || draw::VARCHAR), g) <= (SELECT ceil(0.1 * count(*)) FROM gs) AS test FROM gs, k),
-u AS (SELECT draw, test, v, ('0x' || substr(md5(o_orderkey::VARCHAR || ':' || draw::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS p FROM o JOIN t USING (g)),
+u AS (SELECT draw, test, v, ('0x' || substr(md5(o_orderkey::VARCHAR || ':' || draw::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS p FROM o JOIN t USING (g)),
 w AS (SELECT draw, test, v, {" + ".join(f"(p >= {c!r}::DOUBLE)::INT" for c in _POISSON)} AS w FROM u)
 SELECT draw, test, sum(w)::BIGINT AS n, round(sum(w * v)::DOUBLE / sum(w), 4) AS mean FROM w GROUP BY 1, 2""")
 def resample_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evokit.catalog import query
-from evokit.operators import sequences, spectral, statistics
+from evokit.operators import filters, sequences, spectral, statistics
 from evokit.plans.events import HOUR, HOURLY_SQL, hourly, micros
 from evokit.session import table
 
@@ -233,7 +234,27 @@ y AS (SELECT band, t, x AS y, 0.0::DOUBLE AS y1 FROM x WHERE t = 0 UNION ALL SEL
 SELECT band, t AS i, round(y, 6) + 0.0::DOUBLE AS value FROM y""")
 def notch_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly counts without their daily cycle."""
-    return spectral.notch(hourly(spark, sf_dir), "band", "t", "n", 1.0, 24.0, 10.0).withColumn("value", F.round("value", 6))
+    return filters.filtered(hourly(spark, sf_dir), "band", "t", "n", filters.notch_section(1.0, 24.0, 10.0)).withColumn("value", F.round("value", 6))
+
+
+@query()
+def notch_harmonics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly counts without their daily cycle and its harmonics up to the sixth."""
+    sections = np.concatenate([filters.notch_section(float(k), 24.0, 10.0) for k in range(1, 7)])
+    return filters.filtered(hourly(spark, sf_dir), "band", "t", "n", sections).withColumn("value", F.round("value", 6))
+
+
+@query()
+def bandpass_butter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly counts between one and six cycles a day by a band-pass of order ten, forwards and backwards."""
+    return filters.zero_phase(hourly(spark, sf_dir), "band", "t", "n", filters.butterworth(10, 24.0, 1.0, 6.0)).withColumn("value", F.round("value", 6))
+
+
+@query()
+def envelope_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How large the changes of hourly counts over six cycles a day are, smoothed to between a tenth of a cycle and two."""
+    above, band = filters.butterworth(10, 24.0, low=6.0), filters.butterworth(4, 24.0, 0.1, 2.0)
+    return filters.envelope(hourly(spark, sf_dir), "band", "t", "n", above, band).withColumn("value", F.round("value", 6))
 
 
 @query(f"""WITH {HOURLY_SQL}, x AS (SELECT a.t, a.n AS y, lag(a.n) OVER (ORDER BY a.t) AS y1, lag(b.n) OVER (ORDER BY a.t) AS x1 FROM hourly a JOIN hourly b USING (t) WHERE a.band = 'purchase' AND b.band = 'view'),

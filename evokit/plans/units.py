@@ -93,7 +93,15 @@ def glm_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def grad_line_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     with kept(_lagged(spark, sf_dir).select("y", (F.col("x1") / 10).alias("x1"), (F.col("x2") / 10).alias("x2"))) as rows:
-        return _rows(spark, *glm.line_search_descent(rows, ["x1", "x2"], "y", "poisson", 8))
+        return _rows(spark, *glm.line_search_descent(rows, ["x1", "x2"], "y", "poisson", 30, 1e-9))
+
+
+@query()
+def scaled_conj_grad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases from the two hours before by scaled conjugate gradients, with Poisson errors; a round is one pass."""
+    with kept(_lagged(spark, sf_dir)) as rows:
+        weights, errors = glm.scaled_conjugate_gradient(rows, ["x1", "x2"], "y", "poisson")
+        return spark.createDataFrame([(k, round(float(w), 6), round(errors[-1], 9)) for k, w in enumerate(weights)], "term int, weight double, error double")
 
 
 @query(f"""WITH {HOURLY_SQL}, w AS (SELECT band, k.i AS win, t - 24 * k.i AS u, n, 0.5 - 0.5 * cos(2 * pi() * (t - 24 * k.i) / 47) AS h FROM hourly, hb, unnest(range((z - a + 1) // 24)) k(i) WHERE t - 24 * k.i BETWEEN 0 AND 47 AND 24 * k.i + 48 <= z - a + 1),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evokit import catalog
 from evokit.functions import scalars
-from evokit.operators import components, encoders, histograms, intervals, regression, sequences, spectral, statistics
+from evokit.operators import components, encoders, filters, histograms, intervals, regression, sequences, spectral, statistics
 from evokit.plans import streams
 from evokit.sources import readers, writers
 from evokit.streaming import windows
@@ -198,7 +198,7 @@ def test_stream_bins_over_batches(spark, tmp_path):
 def test_filters(spark):
     t = np.arange(480)
     df = spark.createDataFrame([(1, int(i), float(3 + np.sin(2 * np.pi * i / 24))) for i in t], "k int, t int, v double")
-    out = spectral.notch(df, "k", "t", "v", 1.0, 24.0, 2.0).toPandas().sort_values("i")
+    out = filters.filtered(df, "k", "t", "v", filters.notch_section(1.0, 24.0, 2.0)).toPandas().sort_values("i")
     assert abs(out["value"].iloc[-48:] - 3).max() < 0.05
     assert spectral.resampled(df, "k", "t", "v", 0.5).count() == 240
 
