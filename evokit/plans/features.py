@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evokit.catalog import query
-from evokit.operators import designs, intervals, kernels, segmented, sequences
+from evokit.operators import designs, event_features, intervals, kernels, segmented, sequences
 from evokit.operators import regression as rg
-from evokit.plans.events import HOURLY_SQL, hourly
+from evokit.plans.events import HOUR, HOURLY_SQL, hourly, micros
 from evokit.session import table
 
 
@@ -159,3 +159,46 @@ def fit_seg_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     tolerances = [0.6, 0.5, 0.4, 0.2, 0.15, 0.1, 0.08, 0.05, 0.01, 0.005, 1e-3]
     rows = [(stage, j, round(float(h), 9), round(f.bias, 9), tolerances[f.best], round(f.scores[f.best], 9)) for stage, f in enumerate(segmented.fit_staged(p, 12, tolerances), 1) for j, h in enumerate(f.weights)]
     return spark.createDataFrame(rows, "stage int, feature int, weight double, bias double, tol double, r2cv double")
+
+
+def _event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(kind, t, window): six hours of log counts of all bands from each hour with purchases or signups on."""
+    cells = hourly(spark, sf_dir)
+    frames = cells.groupBy("t").agg(F.transform(F.array_sort(F.collect_list(F.struct("band", "n"))), lambda v: F.log1p(v["n"])).alias("x")).withColumn("one", F.lit(0))
+    events = cells.where("n > 0 and band in ('purchase', 'signup')").select(F.lit(0).alias("one"), F.col("band").alias("kind"), "t")
+    return event_features.event_windows(events, frames, "one", "t", "x", 6, cells.select("band").distinct().count()).drop("one")
+
+
+@query()
+def pca_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows at purchases and signups on their four largest components, in the block of their kind; values are rounded, zeros of other kinds left out."""
+    out, _ = event_features.event_components(_event_windows(spark, sf_dir), "kind", ["purchase", "signup"], 4)
+    return out.select("kind", "t", F.posexplode("features").alias("k", "v")).where("v <> 0").withColumn("v", F.round("v", 6))
+
+
+@query()
+def event_modulation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modulation power of the same windows, at two temporal frequencies either way and two spectral ones, less the mean of all."""
+    windows = _event_windows(spark, sf_dir)
+    width = hourly(spark, sf_dir).select("band").distinct().count()
+    return event_features.event_modulation(windows, ["kind", "t"], 6, width, 2, 1).withColumn("power", F.round("power", 6))
+
+
+@query(f"""WITH {HOURLY_SQL}, iv AS (SELECT event_id, event_type AS band, (epoch_us(ts) // 3600000000 - (SELECT a FROM hb))::BIGINT AS t FROM events WHERE event_type IN ('signup', 'purchase'))
+SELECT event_id, (h.t - greatest(iv.t - 5, 0))::INT AS u, h.n FROM iv JOIN hourly h ON h.band = iv.band AND h.t >= iv.t - 5 AND h.t < iv.t + 30""")
+def slices_at_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly counts, stored as blocks of 24, cut from five hours before each signup and purchase to thirty after it."""
+    cells = hourly(spark, sf_dir)
+    e = micros(table(spark, sf_dir, "events"))
+    first = e.agg(F.floor(F.min("t") / HOUR).alias("a"))
+    at = e.where("event_type in ('signup', 'purchase')").crossJoin(F.broadcast(first)).select("event_id", F.col("event_type").alias("band"), (F.floor(F.col("t") / HOUR) - F.col("a")).alias("t"))  # one row
+    spans = at.select("event_id", "band", (F.col("t") - 5).cast("double").alias("start"), (F.col("t") + 30).cast("double").alias("stop"))
+    out = event_features.slices(spans, event_features.sample_blocks(cells, "band", "t", "n", 24), "band", "start", "stop", 1.0, 24)
+    return out.select("event_id", F.posexplode("data").alias("u", "n"))
+
+
+@query()
+def movie_fourier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as a movie of 8 by 8 images by id: spectra of six frames about each, sizes by spatial and temporal frequency."""
+    movie = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return event_features.movie_fourier(movie, "vec_id", "embedding", (8, 8), 6).withColumn("v", F.round("v", 5))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evokit.catalog import query
 from evokit.session import scratch_path
-from evokit.streaming import windows
+from evokit.streaming import products, windows
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,3 +53,11 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of six hours by the session window, over the batch table."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     return windows.sessions(e, "ts", "user_id", "6 hours", "1 hour").select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("stop").alias("stop_us"), "n")
+
+
+@query("SELECT event_type, count(*) AS n, sum(user_id)::BIGINT AS sx, sum(round(value * 100)::BIGINT)::BIGINT AS sy, sum(user_id * user_id)::BIGINT AS sxx, sum(user_id * round(value * 100)::BIGINT)::BIGINT AS sxy FROM events WHERE value IS NOT NULL GROUP BY 1")
+def stream_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products of users and values by type as state with a timer: the sums when the stream is used up. Values are whole cents, so the sums don't depend on batches."""
+    rows = _stream(spark, sf_dir).withColumn("cents", F.round(F.col("value") * 100))
+    out = _drained(spark, products.running_products(rows, "ts", "event_type", "user_id", "cents", "1 day", 1000 * 86400 * 3650), ["event_type"])
+    return out.select("event_type", *(F.col(c).cast("long").alias(c) for c in ("n", "sx", "sy", "sxx", "sxy")))
