@@ -5,7 +5,8 @@ the share of link text. Paragraph-like blocks give points for their length and c
 and half as many to each next ancestor; an element's points are discounted by its link density. The best
 container is kept with those of its siblings that score well or read like prose.
 
-Elements that are furniture by their tag are left out. Those that only their class, id or role calls so are
+Elements that are furniture by their tag are left out, but for a header inside an article, which is the article's own. Lists and tables that are mostly links are
+left out unless they stand right between paragraphs. Elements that only their class, id or role calls so are
 left out too, unless they hold what the article begins with (the first main, h1, article or element named as content,
 whichever of these the page has first in this order) and over half of the prose that no other such element holds: wrappers carry such names.
 Names of states ("has-sidebar", "menu-open") say nothing, and a name that says content beside one that says furniture leaves the element to its score.
@@ -62,6 +63,7 @@ NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 VALUE_OR_END = re.compile(r""">|=\s*(["'])""")
 SENTENCE = re.compile(r"[.!?…。]['\"”’»)]*$")
 COMMAS = re.compile(r"[,،、，]")
+PROSE = frozenset("p pre blockquote".split())
 #: A sibling joins the best container from this share of its score.
 SIBLING_SHARE = 0.2
 LINKY = 0.5
@@ -215,7 +217,8 @@ def parse(page: str) -> Node:
                 close(LIKE[name])
         if name in VOID:
             continue
-        drop, named, bonus = name in FURNITURE, name == "form", 0.0
+        # A header inside an article is the article's own: its title.
+        drop, named, bonus = name in FURNITURE and not (name == "header" and open_of["article"]), name == "form", 0.0
         tag = page[m.end() : at]
         if "=" in tag or "hidden" in tag:
             article = False
@@ -321,21 +324,34 @@ def main_text(page: str | None) -> str:
             elif isinstance(c, Node):
                 if not c.drop and c.chars and c.links < LINKY * c.chars:
                     prose = c.name == "p" and c.links < 0.25 * c.chars
-                    if c.name in HEADINGS or prose or final[c] >= need:
+                    # A block of nothing but a sentence, inside a wrapper, is judged as bare text there is.
+                    plain = best.parent.name not in ("body", "html", "#root") and not c.links and not any(isinstance(x, Node) for x in c.children) and SENTENCE.search(c.children[-1][0])
+                    if c.name in HEADINGS or prose or plain or final[c] >= need:
                         chosen.append(c)
             elif best.parent.name not in ("body", "html", "#root") and c[1] == 0 and SENTENCE.search(c[0]):
                 chosen.append(c)
     return " ".join(_texts(chosen))
 
 
+def _linky(c: Node) -> bool:
+    return c.name in ("ul", "ol", "table", "div", "section") and c.chars > 0 and c.links > LINKY * c.chars
+
+
+def _amid_prose(c: Node, before: object, after: object) -> bool:
+    """A list or table right between paragraphs, or a heading and a paragraph, is part of what they tell, even of links alone."""
+    prose = lambda x, names: isinstance(x, Node) and not x.drop and x.name in names and x.chars > 0 and x.links <= LINKY * x.chars
+    return c.name in ("ul", "ol", "table") and prose(before, PROSE | HEADINGS) and prose(after, PROSE)
+
+
 def _texts(chosen: list) -> Iterator[str]:
-    stack = list(reversed(chosen))
+    stack = [c for c in reversed(chosen) if not (isinstance(c, Node) and _linky(c))]
     while stack:
         c = stack.pop()
         if not isinstance(c, Node):
             yield c[0]
-        elif not c.drop and not (c.name in ("ul", "ol", "table", "div", "section") and c.chars and c.links > LINKY * c.chars):
-            stack += reversed(c.children)
+        elif not c.drop:
+            inner = c.children
+            stack += [x for k, x in reversed(list(enumerate(inner))) if not (isinstance(x, Node) and _linky(x) and not _amid_prose(x, inner[k - 1] if k else None, inner[k + 1] if k + 1 < len(inner) else None))]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -180,6 +180,23 @@ def test_main_text_wrappers():
     assert main_text.main_text('<div class="ad">Buy, buy</div>') == ""
 
 
+def test_main_text_parts_of_an_article():
+    links = "<ul><li><a>link one</a></li><li><a>link two</a></li></ul>"
+    first, second = "<p>One, two, and more words.</p>", "<p>Three, four, and more.</p>"
+    told = "One, two, and more words. link one link two Three, four, and more."
+    # Links between paragraphs are told; at either end of an article, or as its only content, they are a menu.
+    assert main_text.main_text(f"<article>{first}{links}{second}</article>") == told
+    assert main_text.main_text(f"<article>{first}<h2>Sources</h2>{links}{second}</article>") == told.replace(" link one", " Sources link one")
+    for page in (f"<article>{links}{first}{second}</article>", f"<article>{first}{second}{links}</article>", f"<article>{first}<div class=menu>{links}</div>{second}</article>", f"<article>{first}<div>{links}</div>{second}</article>"):
+        assert main_text.main_text(page) == told.replace("link one link two ", ""), page
+    assert main_text.main_text(f"<body>{links}</body>") == ""
+    # The article's header has its title, the page's has not.
+    assert main_text.main_text(f"<body><header><h1>Site</h1></header><article><header><h1>Title</h1></header>{first}</article><header>x</header></body>") == "Title One, two, and more words."
+    # A closing sentence in a block of its own, inside a wrapper.
+    assert main_text.main_text(f"<div><div>{first}{second}</div><div>The end, as told.</div></div>") == "One, two, and more words. Three, four, and more. The end, as told."
+    assert main_text.main_text(f"<body><div>{first}{second}</div><div>Made by us.</div></body>") == "One, two, and more words. Three, four, and more."
+
+
 def test_main_text_repairs():
     assert main_text.main_text("\u0130<article><p>First, one, two.</p><SCRIPT>x='</p>'</Script ><p>Second, one.</p></article>") == "First, one, two. Second, one."
     assert main_text.main_text("<article><p>A, b.</p><script>var s='</scripts>';</script><p>C, d.</p></article>") == "A, b. C, d."
