@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -86,7 +86,7 @@ CROSS = ("re", "im", "xx", "yy")
 def jackknifed_coherence(lists: DataFrame, keys: list[str]) -> DataFrame:
     """(keys..., f, coherence, lower, upper) from rows of windows: the cross spectrum and both powers by frequency, as arrays (re, im, xx, yy)."""
     names = CROSS
-    own = lists.select(*keys, F.posexplode(F.arrays_zip(*names)).alias("f", "s")).select(*keys, "f", "s.*")
+    own = lists.select(*keys, F.posexplode(F.arrays_zip(*names)).alias("f", "parts_")).select(*keys, "f", "parts_.*")
     total = own.groupBy(*keys, "f").agg(F.count("*").alias("n"), *(F.sum(c).alias(f"all_{c}") for c in names)).where("n > 1")
 
     def z(re: Column, im: Column, xx: Column, yy: Column) -> Column:
@@ -164,3 +164,54 @@ def coherence_full(c12: float, m: int) -> float:
     """What coherence with a mean of ``m`` trials gains over that with one trial, from the halves' coherence."""
     root = math.sqrt(1 / c12)
     return (1 + root) / (-m + m * root + 2)
+
+
+def snr_spectrum(halves: DataFrame, key: str, index: str, a: str, b: str, trials: str, rate: float, window: int) -> DataFrame:
+    """(f, snr, bits, total): the ratio of signal to noise of a single trial by frequency, over all keys, the information in it and its running total.
+
+    ``a`` and ``b`` are the summed responses of the even and odd half of ``trials`` trials over a key's samples 0, 1, 2... A key's coherence of the halves, over half-overlapping
+    Hann windows, is taken to be 0 unless it is two deviations over the mean of the frequencies from a quarter of ``rate`` up, which is taken off; it parts
+    the power of all trials into signal and noise, which are added up over keys by samples and trials. The ratio of the sums is cleaned in the same way. Keys whose
+    halves do not vary, and those shorter than a window, are left out; no noise is added to keep 0 / 0 away, it counts as 0.
+    """
+    shape = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(window) / window)
+    scale = np.full(window // 2 + 1, 2.0) / (rate * (shape @ shape))
+    scale[0] /= 2
+    if window % 2 == 0:
+        scale[-1] /= 2
+    sizes = halves.groupBy(key).agg(F.count("*").alias("samples"), F.max(trials).alias("k"), F.var_pop(a).alias("va"), F.var_pop(b).alias("vb")).where("va > 0 and vb > 0")
+    cut = windows(halves, key, index, [a, b], window, window // 2).where(F.size("u") == window)
+
+    def spectra(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in batches:
+            if len(g):
+                x, y = (np.stack(g[c].to_numpy()) for c in (a, b))
+                fx, fy = (np.fft.rfft(shape * (v - v.mean(1, keepdims=True)), axis=1) for v in (x, y))
+                xy = fx * fy.conj()
+                yield pd.DataFrame({key: g[key], "re": list(xy.real), "im": list(xy.imag), "xx": list(abs(fx) ** 2), "yy": list(abs(fy) ** 2), "p": list(scale * abs(fx + fy) ** 2)})
+
+    names = ("re", "im", "xx", "yy", "p")
+    kind = halves.schema[key].dataType.simpleString()
+    lists = cut.select(key, a, b).mapInPandas(spectra, f"{key} {kind}, " + ", ".join(f"{c} array<double>" for c in names))
+    means = lists.select(key, F.posexplode(F.arrays_zip(*names)).alias("f", "parts_")).groupBy(key, "f").agg(*(F.avg(f"parts_.{c}").alias(c) for c in names))
+    both = F.col("xx") * F.col("yy")
+    c = F.when(both > 0, (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / both).otherwise(0.0)
+    fast = F.col("f") * (rate / window) >= rate / 4
+
+    def cleaned(df: DataFrame, value: str, bias: DataFrame, on: list[str]) -> DataFrame:
+        df = df.join(bias, on) if on else df.crossJoin(F.broadcast(bias))  # one row
+        less = F.col(value) - F.col("mean")
+        return df.withColumn(value, F.when(less < 2 * F.col("sd"), 0.0).otherwise(less)).drop("mean", "sd")
+
+    rows = means.select(key, "f", c.alias("c"), "p")
+    rows = cleaned(rows, "c", rows.where(fast).groupBy(key).agg(F.avg("c").alias("mean"), F.stddev_pop("c").alias("sd")), [key]).join(sizes, key)
+    root = F.least(F.sqrt("c"), F.lit(1 - 1e-9))
+    snr = 2 * root / (1 - root) / F.col("k")
+    power, noise = F.col("p") / (F.col("k") * F.col("k")), F.col("p") / (F.col("k") * F.col("k")) / (1 + snr)
+    data = F.col("samples") * F.col("k")
+    sums = rows.groupBy("f").agg(F.sum((power - noise) * data).alias("s"), F.sum(noise * data).alias("n"))
+    whole = sums.select("f", F.when(F.col("s") + F.col("n") > 0, F.col("s") / (F.col("s") + F.col("n"))).otherwise(0.0).alias("c"))
+    whole = cleaned(whole, "c", whole.where(fast).agg(F.avg("c").alias("mean"), F.stddev_pop("c").alias("sd")), [])
+    ratio = F.col("c") / (1 - F.col("c"))
+    out = whole.select("f", ratio.alias("snr"), (F.log2(1 + ratio) * (rate / window)).alias("bits"))
+    return out.withColumn("total", F.sum("bits").over(Window.orderBy("f")))  # half a window's rows

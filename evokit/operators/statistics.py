@@ -28,8 +28,10 @@ def total_minus_own(rows: DataFrame, own: list[str], over: list[str], sums: dict
     if not over:  # one row of totals goes to all groups, so they are not gathered in one task
         whole = per.agg(*(F.sum(k).alias(f"all_{k}") for k in sums))
         return per.crossJoin(F.broadcast(whole)).select(*own, *(F.col(k) for k in sums), *((F.col(f"all_{k}") - F.col(k)).alias(f"rest_{k}") for k in sums))
-    w = Window.partitionBy(*over)
-    return per.select(*over, *own, *(F.col(k) for k in sums), *((F.sum(k).over(w) - F.col(k)).alias(f"rest_{k}") for k in sums))
+    # Totals are joined back, so what agrees in ``over`` meets in no one task; nulls agree with nulls.
+    whole = per.groupBy(*(F.col(c).alias(f"over_{c}") for c in over)).agg(*(F.sum(k).alias(f"all_{k}") for k in sums))
+    same = [F.col(c).eqNullSafe(F.col(f"over_{c}")) for c in over]
+    return per.join(whole, same).select(*over, *own, *(F.col(k) for k in sums), *((F.col(f"all_{k}") - F.col(k)).alias(f"rest_{k}") for k in sums))
 
 
 def z_scores(cells: DataFrame, channel: str, value: str, sample: bool = True) -> DataFrame:

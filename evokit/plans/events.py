@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evokit.catalog import query
-from evokit.operators import histograms, intervals, statistics
+from evokit.operators import histograms, intervals, sequences, statistics
 from evokit.session import table
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
@@ -72,6 +72,35 @@ def psth_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.agg(F.corr("n0", "n1").alias("r")).select(F.round(r, 6).alias("r"), F.round(statistics.ceiling_of_halves(r), 6).alias("ceiling_halves"), F.round(statistics.ceiling_of_snr(r), 6).alias("ceiling_snr"))
 
 
+HANN_21 = sequences.hann(21)
+
+
+@query(f"""WITH {_BASE}, half AS (SELECT user_id, trial, s, e, (row_number() OVER (PARTITION BY user_id ORDER BY s, trial) - 1) % 2 AS h FROM tr),
+g AS (SELECT u.user_id, h.i AS h, b.i AS bin FROM (SELECT DISTINCT user_id FROM tr) u, range(2) h(i), range(24) b(i)),
+c AS (SELECT al.user_id, h, CAST(round_even(o / 3600000000.0, 0) AS INT) AS bin, count(*) AS n FROM al JOIN half USING (trial) GROUP BY 1, 2, 3),
+w AS (SELECT user_id, h, b.i AS bin, count(*) FILTER ((e - s) / 3600000000.0 >= b.i) AS w FROM half, range(24) b(i) GROUP BY 1, 2, 3),
+p AS (SELECT user_id, h, bin, coalesce(n, 0)::DOUBLE / greatest(coalesce(w, 0), 1) AS r, coalesce(w, 0) AS w FROM g LEFT JOIN c USING (user_id, h, bin) LEFT JOIN w USING (user_id, h, bin)),
+k(k, v) AS (VALUES {", ".join(f"({k}, {v!r}::DOUBLE)" for k, v in enumerate(HANN_21))}),
+s AS (SELECT a.user_id, a.h, a.bin, sum(v * coalesce(b.r, 0)) AS r, any_value(a.w) AS w FROM p a CROSS JOIN k LEFT JOIN p b ON b.user_id = a.user_id AND b.h = a.h AND b.bin = a.bin + 10 - k GROUP BY 1, 2, 3),
+q AS (SELECT x.r AS x, y.r AS y, x.w + y.w AS w FROM s x JOIN s y USING (user_id, bin) WHERE x.h = 0 AND y.h = 1),
+qm AS (SELECT sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM q), r AS (SELECT sum(w * (x - mx) * (y - my)) / sqrt(sum(w * (x - mx) * (x - mx)) * sum(w * (y - my) * (y - my))) AS r FROM q, qm)
+SELECT round(r, 6) AS r, round(1 / (1 + 2 * (1 / (r * r) - 1)), 6) AS ceiling FROM r""")
+def ceiling_hann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of alternate trials of each user, smoothed over 21 bins within a user, and correlated with the trials as weights: the ceiling of explained variance."""
+    trials, aligned = aligned_spikes(spark, sf_dir)
+    half = trials.withColumn("half", (F.row_number().over(Window.partitionBy("user_id").orderBy("start", "trial")) - 1) % 2)
+    spikes = aligned.join(half.select("trial", "half"), "trial")
+    grid = histograms.bin_grid(trials, "user_id", 24)
+    sides = []
+    for h in (0, 1):
+        psth = histograms.histogram(spikes.where(F.col("half") == h), half.where(F.col("half") == h), "user_id", "offset", "start", "stop", HOUR, 24)
+        filled = grid.join(psth, ["user_id", "bin"], "left").na.fill(0)
+        sides.append(sequences.smooth(filled, "user_id", "bin", "rate", HANN_21).select("user_id", "bin", F.col("smooth").alias(f"r{h}"), F.col("weight").alias(f"w{h}")))
+    both = sides[0].join(sides[1], ["user_id", "bin"])
+    r = both.agg(statistics.weighted_moments(F.col("r0"), F.col("r1"), F.col("w0") + F.col("w1"))["corr_xy"].alias("r"))
+    return r.select(F.round("r", 6).alias("r"), F.round(statistics.ceiling_of_halves(F.col("r")), 6).alias("ceiling"))
+
+
 @query("""WITH iv AS (SELECT user_id, epoch_us(min(ts)) AS a, epoch_us(max(ts)) AS z FROM events WHERE event_type IN ('signup', 'purchase') GROUP BY 1)
 SELECT event_id, user_id FROM events e WHERE event_type = 'view' AND EXISTS (SELECT 1 FROM iv WHERE iv.user_id = e.user_id AND a < epoch_us(e.ts) AND z > epoch_us(e.ts) + 3600000000)""")
 def interval_semi(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -279,3 +279,24 @@ def log_bin_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("p", "v")).withColumn("d", F.col("p") + 1)
     binned = x.withColumn("bin", F.floor(F.log("d") / (math.log(64) / 6)).cast("int"))
     return binned.groupBy("vec_id", "bin").agg(F.round(F.avg(F.col("v").cast("double")), 6).alias("m"))
+
+
+@query()
+def snr_by_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly counts of each type by users with even and odd ids, users being trials: the signal in one user's counts by frequency, and its bits."""
+    e = micros(table(spark, sf_dir, "events")).select(F.col("event_type").alias("band"), "user_id", F.floor(F.col("t") / HOUR).alias("h"))
+    first = e.agg(F.min("h").alias("a"))
+    sides = e.crossJoin(F.broadcast(first)).groupBy("band", (F.col("h") - F.col("a")).alias("t")).agg(*(F.sum((F.col("user_id") % 2 == k).cast("double")).alias(c) for k, c in enumerate("xy")))  # one row
+    users = e.groupBy("band").agg((F.floor(F.countDistinct("user_id") / 2) * 2).alias("trials"))
+    cells = hourly(spark, sf_dir).select("band", "t").join(sides, ["band", "t"], "left").na.fill(0.0, ["x", "y"])
+    smooth = [sequences.smooth(cells, "band", "t", c, HANN).select("band", "t", F.col("smooth").alias(c)) for c in "xy"]
+    out = spectral.snr_spectrum(smooth[0].join(smooth[1], ["band", "t"]).join(users, "band"), "band", "t", "x", "y", "trials", 24.0, 64)
+    return out.select("f", *(F.round(c, 6).alias(c) for c in ("snr", "bits", "total")))
+
+
+@query()
+def coherence_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each band's jackknifed multitaper coherence with clicks, from one cycle to eleven a day: its mean, and the information in it and in its bounds, in bits a day."""
+    c = coherence_mtm_jn(spark, sf_dir).where((F.col("f") * 24 / 128 >= 1) & (F.col("f") * 24 / 128 < 11))
+    bits = lambda v: F.round(-F.lit(24 / 128) * F.sum(F.log2(1 - F.least(F.col(v), F.lit(1 - 1e-12)))), 6)
+    return c.groupBy("band").agg(F.round(F.avg("coherence"), 6).alias("coherence"), bits("coherence").alias("bits"), bits("lower").alias("bits_lower"), bits("upper").alias("bits_upper"))

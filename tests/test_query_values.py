@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from evokit import catalog
-from evokit.operators import direct_fit, event_features, filters, regression, segmented
+from evokit.operators import direct_fit, event_features, filters, regression, segmented, spectral
 from evokit.plans.events import HOURLY_SQL
 from tests import test_direct_fit as dense_direct
 from tests import test_filters as dense_filters
@@ -238,3 +238,64 @@ def test_movie_of_vectors(spark, vectors):
     for t in ids[:: 37].tolist() + [0, n - 1]:
         cube = movie[(np.arange(6) + t - 2) % n].transpose(1, 2, 0) * mask
         assert np.allclose(got[t], abs(np.fft.fftshift(np.fft.fftn(cube)))[:, :, -4:].ravel(), atol=2e-5), t
+
+
+def smoothed(v, n=7):
+    k = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / (n - 1))
+    return np.convolve(v, k / k.sum(), mode="same")
+
+
+def dense_snr(sets, rate, window):
+    """Signal and noise by frequency from {key: (a, b, trials)}, set by set."""
+    shape = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(window) / window)
+    f = np.arange(window // 2 + 1) * rate / window
+    clean = lambda c: np.where(c - c[f >= rate / 4].mean() < 2 * c[f >= rate / 4].std(), 0, c - c[f >= rate / 4].mean())
+    signal = noise = 0.0
+    for a, b, k in sets.values():
+        if a.var() == 0 or b.var() == 0:
+            continue
+        xy, xx, yy, p = 0, 0, 0, []
+        for s in range(0, len(a) - window + 1, window // 2):
+            fa, fb, fc = (np.fft.rfft(shape * (v[s : s + window] - v[s : s + window].mean())) for v in (a, b, a + b))
+            xy, xx, yy = xy + fa * fb.conj(), xx + abs(fa) ** 2, yy + abs(fb) ** 2
+            one = abs(fc) ** 2 / (rate * (shape**2).sum())
+            one[1:-1] *= 2
+            p.append(one)
+        c = clean(abs(xy) ** 2 / (xx * yy))
+        power = np.mean(p, axis=0) / k**2
+        n = power / (1 + 2 * np.sqrt(c) / (1 - np.sqrt(c)) / k)
+        signal, noise = signal + (power - n) * len(a) * k, noise + n * len(a) * k
+    c = clean(signal / (signal + noise))
+    return c / (1 - c)
+
+
+def test_snr_by_frequency(spark):
+    t = duckdb.sql(f"SELECT event_type AS band, user_id, epoch_us(ts) // 3600000000 AS h FROM '{DIR}/events.parquet'").df()
+    span, sets = np.arange(t.h.min(), t.h.max() + 1), {}
+    for b, g in t.groupby("band"):
+        sides = [smoothed(np.array([((g.h == h) & (g.user_id % 2 == k)).sum() for h in span], float)) for k in (0, 1)]
+        sets[b] = (*sides, g.user_id.nunique() // 2 * 2)
+    snr = dense_snr(sets, 24.0, 64)
+    got = sorted(rows_of(spark, "snr_by_frequency"), key=lambda r: r.f)
+    assert np.allclose([r.snr for r in got], snr, atol=2e-6)
+    assert np.allclose([r.total for r in got], np.cumsum(np.log2(1 + snr) * 24 / 64), atol=1e-5)
+
+
+def test_snr_spectrum_finds_the_signal(spark):
+    """A tone in every trial stands out at its frequency; keys that don't vary or are too short are left out."""
+    r = np.random.default_rng(3)
+    n, k = 1024, 10
+    tone = np.sin(2 * np.pi * np.arange(n) * 6 / 64)
+    sides = [k / 2 * tone + np.sqrt(k / 2) * r.normal(size=n) for _ in "ab"]
+    rows = [("x", i, float(sides[0][i]), float(sides[1][i]), k) for i in range(n)] + [("flat", i, 1.0, 1.0, 4) for i in range(200)] + [("short", i, float(i), float(-i), 4) for i in range(30)]
+    got = spectral.snr_spectrum(spark.createDataFrame(rows, "s string, t long, x double, y double, k int"), "s", "t", "x", "y", "k", 64.0, 64).collect()
+    snr = np.array([g.snr for g in sorted(got, key=lambda g: g.f)])
+    assert np.allclose(snr, dense_snr({"x": (*sides, k)}, 64.0, 64)) and snr.argmax() == 6 and snr[6] > 5 and snr[20:].max() < 0.5
+
+
+def test_coherence_info(spark, hours):
+    for r in rows_of(spark, "coherence_info"):
+        a, b = hours[r.band], hours["click"]
+        c = dense_direct.dense_coherence(a - a.mean(), b - b.mean(), 128)
+        at = (np.arange(len(c)) * 24 / 128 >= 1) & (np.arange(len(c)) * 24 / 128 < 11)
+        assert np.isclose(r.coherence, c[at].mean(), atol=1e-5) and np.isclose(r.bits, -24 / 128 * np.log2(1 - c[at]).sum(), rtol=1e-4) and r.bits_lower <= r.bits <= r.bits_upper
