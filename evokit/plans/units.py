@@ -98,10 +98,15 @@ def grad_line_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def scaled_conj_grad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchases from the two hours before by scaled conjugate gradients, with Poisson errors; a round is one pass."""
-    with kept(_lagged(spark, sf_dir)) as rows:
-        weights, errors = glm.scaled_conjugate_gradient(rows, ["x1", "x2"], "y", "poisson")
-        return spark.createDataFrame([(k, round(float(w), 6), round(errors[-1], 9)) for k, w in enumerate(weights)], "term int, weight double, error double")
+    """Purchases from the two hours before by scaled conjugate gradients on standardised counts, with Poisson errors; a round is one pass."""
+    scales = _lagged(spark, sf_dir).agg(*(f(c).alias(f"{n}_{c}") for c in ("x1", "x2") for n, f in (("mean", F.avg), ("sd", F.stddev_pop)))).first()
+    z = [((F.col(c) - scales[f"mean_{c}"]) / (scales[f"sd_{c}"] or 1.0)).alias(c) for c in ("x1", "x2")]
+    with kept(_lagged(spark, sf_dir).select("y", *z)) as rows:
+        weights, errors = glm.scaled_conjugate_gradient(rows, ["x1", "x2"], "y", "poisson", 60, 1e-7)
+    own = [float(w) / (scales[f"sd_{c}"] or 1.0) for w, c in zip(weights, ("x1", "x2"), strict=False)]
+    own.append(float(weights[-1]) - sum(w * scales[f"mean_{c}"] for w, c in zip(own, ("x1", "x2"), strict=True)))
+    return spark.createDataFrame([(k, round(w, 6), round(errors[-1], 9)) for k, w in enumerate(own)], "term int, weight double, error double")
+
 
 
 @query(f"""WITH {HOURLY_SQL}, w AS (SELECT band, k.i AS win, t - 24 * k.i AS u, n, 0.5 - 0.5 * cos(2 * pi() * (t - 24 * k.i) / 47) AS h FROM hourly, hb, unnest(range((z - a + 1) // 24)) k(i) WHERE t - 24 * k.i BETWEEN 0 AND 47 AND 24 * k.i + 48 <= z - a + 1),
