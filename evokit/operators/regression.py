@@ -79,10 +79,15 @@ def moments(rows: DataFrame, features: list[str], y: str, w: str | Column, set_c
 
 
 def array_moments(rows: DataFrame, vector: str, y: str, set_col: str) -> dict[object, Moments]:
-    """Like ``moments`` with unit weights for a column of arrays: one partial product matrix a partition and set."""
+    """Like ``moments`` with unit weights for a column of arrays: one partial product matrix a partition and set.
+
+    Rows without a set, a response or a vector, or with a null or non-finite component, take no part.
+    """
     import pandas as pd
 
     kind = rows.schema[set_col].dataType.simpleString()
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    rows = rows.where(F.col(set_col).isNotNull() & finite(F.col(y)) & F.forall(vector, finite))
 
     def part(batches):
         sums: dict[object, tuple[np.ndarray, int]] = {}
@@ -91,7 +96,8 @@ def array_moments(rows: DataFrame, vector: str, y: str, set_col: str) -> dict[ob
                 x = np.column_stack((np.stack(g["v"].to_numpy()).astype(float), np.ones(len(g)), g["y"].to_numpy(float)))
                 p, n = sums.get(s, (0.0, 0))
                 sums[s] = (p + x.T @ x, n + len(x))
-        yield pd.DataFrame({"s": list(sums), "p": [p.ravel() for p, _ in sums.values()], "n": [n for _, n in sums.values()]})
+        if sums:  # an empty frame has no type for its lists, and a split of a file may be without rows
+            yield pd.DataFrame({"s": list(sums), "p": [p.ravel() for p, _ in sums.values()], "n": [n for _, n in sums.values()]})
 
     parts = rows.select(F.col(set_col).alias("s"), F.col(vector).alias("v"), F.col(y).alias("y")).mapInPandas(part, f"s {kind}, p array<double>, n long")
 

@@ -3,6 +3,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from evokit import catalog
 from evokit.operators import glm, kernels, regression, spectral
 from evokit.operators import statistics as st
 
@@ -140,3 +141,32 @@ def test_grid_components_and_folds(spark):
             rs.append(np.corrcoef(x[test] @ h, y[test])[0, 1])
         assert abs(g["r"] - np.mean(rs)) < 1e-9
     assert best == max(scores, key=lambda g: g["r"])["penalty"] and len(coef) == 4
+
+
+def test_moments_of_partitions_without_rows(spark):
+    """A split of a file may be without rows; rows that are not whole take no part."""
+    r = np.random.default_rng(5)
+    whole = [(i % 3, r.normal(size=4).tolist(), float(i % 2)) for i in range(30)]
+    odd = [(0, None, 1.0), (1, [1.0, None, 2.0, 3.0], 0.0), (2, [1.0, math.nan, 2.0, 3.0], 1.0), (None, [1.0] * 4, 0.0), (0, [1.0] * 4, None), (1, [math.inf] * 4, 1.0)]
+    for rows in (whole, whole + odd):
+        df = spark.createDataFrame(rows, "s int, v array<double>, y double").repartition(2)
+        by = regression.array_moments(df.unionByName(df.where("s > 5").repartition(3)), "v", "y", "s")
+        assert list(by) == [0, 1, 2]
+        for k, m in by.items():
+            z = np.array([[*v, 1, y] for s, v, y in whole if s == k])
+            assert m.rows == 10 and np.allclose(m.products, z.T @ z)
+
+
+def test_array_moments_queries_on_split_files(spark, tmp_path):
+    """Embeddings in one row group that is read as several splits, all but one of them without rows."""
+    spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    names = ("component_regression", "conjugate_gradient_fit", "group_ridge_fit", "lars_path", "lasso_first_knot", "lasso_path", "path_following", "pca_top", "ridge_vectors_loo")
+    want = {n: sorted(map(tuple, catalog.queries()[n](spark, "/root/testdata/sf0.01").collect())) for n in names}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        assert spark.read.parquet(str(tmp_path / "embeddings.parquet")).rdd.getNumPartitions() > 2
+        for n in names:
+            assert sorted(map(tuple, catalog.queries()[n](spark, str(tmp_path)).collect())) == want[n], n
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
