@@ -163,7 +163,7 @@ def search(x: np.ndarray, ids: np.ndarray, labels: np.ndarray, tree: Tree, a: An
                 if not len(some):
                     continue
                 kept = np.concatenate([best[rows[some], w], np.where(seen[some], key[some], _NONE)], 1)
-                kept = -np.sort(-np.partition(kept, kept.shape[1] - a.k, 1)[:, -a.k :], 1)
+                kept = np.sort(np.partition(kept, kept.shape[1] - a.k, 1)[:, -a.k :], 1)[:, ::-1]  # _NONE last; it has no negative
                 best[rows[some], w] = kept
                 full = kept[:, -1] != _NONE
                 a.floor[rows[some][full], w] = np.maximum(a.floor[rows[some][full], w], -(-kept[full, -1] // n))

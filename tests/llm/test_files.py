@@ -138,6 +138,17 @@ def test_hard_negatives(spark, monkeypatch, kind):
     assert got == brute_negatives(f32) and len(got) > 50
 
 
+def test_hard_negatives_places_left_empty(spark):
+    """A bucket with fewer rows than places does not close the search of the others: all places are filled."""
+    r = np.random.default_rng(2)
+    labels = r.integers(0, 10, 700)
+    x = np.float32(r.normal(0, 0.15, (700, 64))[labels] + r.normal(0, 0.03, (700, 64)))
+    rows = [(i, [float(c) for c in v], int((k + 1) % 10 if i % 7 == 0 else k)) for i, (v, k) in enumerate(zip(x, labels, strict=True))]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {tuple(y[c] for c in ("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")) for y in hard_negatives.hard_negatives(d, F.col("id") % 50 == 0).collect()}
+    assert got == brute_negatives(rows)
+
+
 def test_hard_negatives_defined(spark):
     d = spark.createDataFrame([(50, [1.0, 0.0], 1), (51, [1.0, 0.0], 2)], "vec_id long, embedding array<float>, label int")
     none = F.col("id") % 50 == 0
