@@ -7,10 +7,11 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -166,11 +167,22 @@ def modulation_power(windows: DataFrame, key: str, vector: str, rows: int) -> Da
 def poisson_times(units: DataFrame, unit: str, rate_max: float, duration: float, rate: Callable[[Column], Column], seed: int) -> DataFrame:
     """(unit, t): an inhomogeneous Poisson train by thinning; draws are hashes of (unit, number, seed), so tasks may be run again.
 
-    A homogeneous train has exponential gaps, so its times are running sums of a unit's own few draws.
+    A homogeneous train has exponential gaps, so its times are running sums of a unit's own few draws. Units are dealt out before they have
+    draws, so all tasks share the work; a unit's draws stay in its row, and are never shuffled or sorted.
     """
     n = max(1, math.ceil(rate_max * duration + 6 * math.sqrt(rate_max * duration)))
     draw = lambda u, i, salt: (F.pmod(F.xxhash64(u, i, F.lit(seed), F.lit(salt)), F.lit(1 << 53)) + 0.5) / float(1 << 53)
     gaps = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: -F.log(draw(F.col(unit), i, 1)) / rate_max)
-    spread = units.select(F.col(unit), F.posexplode(gaps).alias("i", "gap"))
-    spread = spread.withColumn("t", F.sum("gap").over(Window.partitionBy(unit).orderBy("i").rowsBetween(Window.unboundedPreceding, 0))).where(F.col("t") < duration)
-    return spread.where(draw(F.col(unit), F.col("i"), 2) * rate_max < rate(F.col("t"))).select(unit, "t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = b.column(1).flatten().to_numpy().reshape(-1, n)
+            for k in range(0, len(t), max(1, (1 << 20) // n)):  # about a million times in a batch
+                own = t[k : k + max(1, (1 << 20) // n)].cumsum(axis=1)
+                ends = pa.array(np.arange(len(own) + 1) * n, pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, len(own)), pa.ListArray.from_arrays(ends, own.ravel())], names=["unit", "t"])
+
+    dealt = units.repartition(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), unit).select(F.col(unit).alias("unit"), gaps.alias("gap"))
+    times = dealt.mapInArrow(run, f"unit {units.schema[unit].dataType.simpleString()}, t array<double>")
+    spread = times.select("unit", F.posexplode("t").alias("i", "t")).where(F.col("t") < duration)
+    return spread.where(draw(F.col("unit"), F.col("i"), 2) * rate_max < rate(F.col("t"))).select(F.col("unit").alias(unit), "t")

@@ -66,6 +66,23 @@ def test_poisson_rate(spark):
     assert t.agg(F.max("t")).first()[0] < 30
 
 
+def test_poisson_times_stay_in_their_rows(spark):
+    """All tasks share the units of one partition, nothing is shuffled or sorted but the units, and times are running sums of their gaps."""
+    units = spark.range(60).coalesce(1).withColumnRenamed("id", "u")
+    got = kernels.poisson_times(units, "u", 100.0, 200.0, lambda t: 50 + 40 * F.sin(t), 3)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan and "Sort" not in plan
+    assert got.select(F.spark_partition_id()).distinct().count() > 1
+    n = math.ceil(20_000 + 6 * math.sqrt(20_000))
+    draw = lambda i, salt: (F.pmod(F.xxhash64("u", i, F.lit(3), F.lit(salt)), F.lit(1 << 53)) + 0.5) / float(1 << 53)
+    rows = units.where("u in (0, 31, 59)").select("u", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
+    for u in (0, 31, 59):
+        own = rows.where(F.col("u") == u).select("i", (-F.log(draw(F.col("i") + 1, 1)) / 100.0).alias("gap"), (draw(F.col("i"), 2) * 100.0).alias("cut")).orderBy("i").toPandas()
+        t = own["gap"].to_numpy().cumsum()
+        want = t[(t < 200) & (own["cut"].to_numpy() < 50 + 40 * np.sin(t))]
+        assert np.array_equal(np.sort([x.t for x in got.where(F.col("u") == u).collect()]), want), u
+
+
 def test_noise_and_ragged(spark):
     df = spark.createDataFrame([(1, 2.0), (1, 4.0), (2, 5.0)], "k int, v double")
     got = sorted((x.k, x.v, x.noise_own, x.noise_others) for x in st.trial_noise(df, ["k"], "v").collect())
